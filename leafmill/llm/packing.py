@@ -10,8 +10,8 @@ empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,44 +25,59 @@ CAPACITY, END_ID = 1024, 2
 #: Salts for ranks: a length that a third of all pieces have is ranked in so many parts.
 SALTS = 256
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
-#: White space that makes a text's words depend on their neighbours.
-_TANGLED = re.compile(r"  |\n\n| \n|\n |^[\s]|\s$|[^\S \n]")
+CACHE_WORDS = 800_000
+
+
+def _tangled(text: str, words: list[str]) -> bool:
+    """Whether text has white space besides lone spaces and line feeds between words."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or len(text.split()) != len(words)
 
 
 class WordIds:
     """ids of whole texts by a byte-level BPE file of `tokenizers`, with the ids of words kept.
 
     The vocabulary's pattern never joins a word to what precedes a lone space or line feed, so a text without other
-    white space is the sequence of its words; any other text goes through the library whole.
+    white space is the sequence of its words; any other text goes through the library whole. New words are encoded
+    from the same file's vocabulary by tiktoken, which has less to do for each.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # byte-level vocabularies write a byte as itself where printable, else as the next letter from U+0100
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.word = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kept: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        kept, out, words = self.kept, [], []
+        kept, out = self.kept, []
         for text in texts:
-            if _TANGLED.search(text):
-                words.append(None)
-            else:
-                first, *rest = text.replace("\n", " \n").split(" ")
-                words.append([first, *(w if w[0] == "\n" else " " + w for w in rest)])
-        new = list({w for ws in words if ws for w in ws if w not in kept})
-        for at in range(0, len(new), 20_000):
-            kept.update(zip(part := new[at : at + 20_000], self._whole(part), strict=True))
-        for text, ws in zip(texts, words, strict=True):
-            out.append(self._whole([text])[0] if ws is None else b"".join([kept[w] for w in ws]))
-        if len(kept) > CACHE_WORDS:
-            kept.clear()
+            # a kept word has a space before it unless it begins with a line feed
+            words = text.replace("\n", " \n").split(" ")
+            if _tangled(text, words):
+                out.append(self._whole(text))
+                continue
+            first = array("I", self.word(words[0])).tobytes()
+            try:
+                out.append(first + b"".join([kept[w] for w in words[1:]]))
+            except KeyError:
+                if len(kept) > CACHE_WORDS:
+                    kept.clear()
+                for w in words[1:]:
+                    if w not in kept:
+                        kept[w] = array("I", self.word(w if w[0] == "\n" else " " + w)).tobytes()
+                out.append(first + b"".join([kept[w] for w in words[1:]]))
         return out
 
 
