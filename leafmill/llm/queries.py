@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import lm_scoring, packing, pieces, quality, rules, simhash, suffix_dedup, toxicity, word_dedup
+from leafmill.llm import edit_embedding, lm_scoring, packing, pieces, quality, rules, simhash, suffix_dedup, toxicity, word_dedup
 from leafmill.llm.common import documents
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edited(documents(spark, sf_dir))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
