@@ -37,7 +37,7 @@ def tagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity, threshold, kept) of each row."""
+    """(doc_id, lang, n_bytes, perplexity, threshold, kept, text_hash) of each row."""
     good = labels.where("quality = 1").select("doc_id").distinct()
     texts = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     trusted = texts.join(good, "doc_id", "left_semi")
@@ -48,7 +48,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     pooled = by_tag.where(F.col("key") >= 1 << 56).select(F.col("key").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "n")
     every = by_tag.union(pooled).groupBy("key").agg(F.sum("n").alias("n"))
     model = ngrams.kneser_ney(every, ORDER, LIMIT)
-    rows = cut(ngrams.scores(texts.select("doc_id", "lang", "text", "tag", F.col("tag").alias("model")), model), "scores")
+    rows = cut(ngrams.scores(texts.select("doc_id", "lang", "text", "tag", F.col("tag").alias("model"), F.xxhash64("text").alias("text_hash")), model), "scores")
     checked = rows.join(good, "doc_id", "left_semi").where(held)
     nats = -F.col("log10_prob") / F.log10(F.lit(2.0))
     mean = checked.groupBy("model").agg((F.sum(nats) / F.sum(F.col("n_bytes") + 1)).alias("mean"), F.count("*").alias("m"))
@@ -59,7 +59,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     limits = both.groupBy("model", "mean", "m").agg(F.percentile_approx(bits, quantile, 100_000).alias("limit")).where(f"model = -1 or m >= {LEAST}")
     limits = {r["model"]: (r["mean"], r["limit"]) for r in limits.collect()}
     if not limits:
-        return rows.select("doc_id", "lang", "n_bytes", F.pow(F.lit(2.0), nats / (F.col("n_bytes") + 1)).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        return rows.select("doc_id", "lang", "n_bytes", F.pow(F.lit(2.0), nats / (F.col("n_bytes") + 1)).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"), "text_hash")
     chosen = F.when(F.col("model").isin([m for m in limits if m > 0]), F.col("model")).otherwise(F.lit(-1))
     pick = lambda k: F.create_map(*[F.lit(x) for m, v in limits.items() for x in (m, float(v[k]))])[F.col("model")]
     out = rows.withColumn("model", chosen).withColumn("mean", pick(0))
@@ -70,4 +70,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
         F.pow(F.lit(2.0), bits).alias("perplexity"),
         (F.pow(F.lit(2.0), pick(1)) * SLACK).alias("threshold"),
         (F.pow(F.lit(2.0), bits) <= F.pow(F.lit(2.0), pick(1)) * SLACK).alias("kept"),
+        "text_hash",
     )

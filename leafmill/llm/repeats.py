@@ -241,23 +241,25 @@ def shared_wide(spans: DataFrame, kind: Kind) -> DataFrame:
     return hits.groupBy("kmer", "content").agg(parts.alias("parts"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(id, th, text): what tells a row from others, and its text (null: empty)."""
+def keyed(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """(id, th, text): what tells a row from others, and its text (null: empty); and more columns in a struct."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    kept = [F.struct(*more).alias("more")] if more else []
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), *kept)
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """texts with their UTF-8 compressed, for shuffles."""
+    """texts with z, their UTF-8 compressed for shuffles, in place of text."""
+    more = [f"more {t}" for c, t in texts.dtypes if c == "more"]
 
     def run(batches):
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in merged(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "th", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary()), *batch.columns[3:]], names=["id", "th", "z", *batch.schema.names[3:]])
 
-    return texts.mapInArrow(run, "id long, th long, z binary")
+    return texts.mapInArrow(run, ", ".join(["id long, th long, z binary", *more]))
 
 
 def spans_of(classes: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:

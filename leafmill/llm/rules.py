@@ -52,6 +52,15 @@ def with_repeats(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.when(F.size("z") > 0, covered).otherwise(0).cast("long")).drop("z", "same")
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.array_join(words(F.lower(line)), " "))
+
+
+def without_lines(text: Column, common: Column) -> Column:
+    """text without the lines whose hash is in common."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(common, line_hash(x))), "\n")
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines) of each row.
 
@@ -63,6 +72,7 @@ def counted(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "doc_id",
         "source",
+        F.xxhash64("text").alias("text_hash"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -70,8 +80,7 @@ def counted(docs: DataFrame) -> DataFrame:
         "w",
     )
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    normal = lambda x: F.array_join(words(F.lower(x)), " ")
-    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(words(x)).alias("n"))))
+    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.size(words(x)).alias("n"))))
     return with_repeats(rows)
 
 
@@ -93,12 +102,15 @@ def common_lines(rows: DataFrame, many: int = MANY, share: float = SHARE) -> Dat
 
 
 def judge(docs: DataFrame, many: int = MANY, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """(doc_id, the counts, base_failed, kept, removed_words) of each row."""
+    """(doc_id, the counts, base_failed, kept, removed_words, text_hash, common) of each row.
+
+    common has the hashes of the row's common lines, null without any.
+    """
     rows = cut(counted(docs).withColumn("row", F.monotonically_increasing_id()), "counted")
     common = common_lines(rows, many, share)
     places = rows.select("row", "source", F.explode("lines").alias("x")).select("row", "source", "x.*")
     hits = places.join(common, (places["h"] == common["h"]) & places["source"].eqNullSafe(common["source"]), "left_semi")
-    gone = hits.groupBy("row").agg(F.sum("n").alias("gone"))
+    gone = hits.groupBy("row").agg(F.sum("n").alias("gone"), F.collect_set("h").alias("common"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     removed = F.coalesce("gone", F.lit(0))
     return rows.join(gone, "row", "left").select(
@@ -111,4 +123,6 @@ def judge(docs: DataFrame, many: int = MANY, share: float = SHARE, depleted: flo
         base_failed.alias("base_failed"),
         (~base_failed & (removed <= depleted * F.col("n_words"))).alias("kept"),
         removed.alias("removed_words"),
+        "text_hash",
+        "common",
     )

@@ -49,14 +49,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a long."""
+    """(doc_id, fp, text_hash): fp is the fingerprint's 64 bits as a long."""
 
     def run(batches):
         for batch in slices(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return key_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    texts = key_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, text_hash long")
 
 
 class Planes:
@@ -166,10 +167,16 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row."""
+    """(doc_id, fingerprint, component_id, text_hash, root) of each row; root is the same for a component's rows."""
     marked = cut(fingerprints(docs), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"))).withColumnsRenamed({"node": "fp"})
     rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
+
+
+def representatives(marked: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of one document for each component: the least doc_id (a null one last), then the least hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    return marked.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash")
