@@ -1,7 +1,9 @@
 """Literal cases of the folds that SQL cannot state."""
 
+import numpy as np
+
 from leafmill.functions import english
-from leafmill.operators import html, segment
+from leafmill.operators import html, reading, segment
 
 
 def test_numbers():
@@ -53,3 +55,18 @@ def test_page():
     assert texts[0] == "Name" and "Second line 5" in texts and "Buy" not in texts
     assert [b["text"] for b in got["blocks"] if b["kind"] == "TABLE_HEADER"] == ["a\tb"]
     assert html.page("<body><a href=x>link</a> menu", "https://a.b")["status"] == "EMPTY_CONTENT"
+
+
+def test_dialogue_and_quick_start():
+    text = 'He stood. "Come here," she said. "Now!"'
+    assert [(text[a:b], s) for a, b, s in reading.quoted_parts(text)] == [("He stood.", False), ("Come here,", True), ("she said.", False), ("Now!", True)]
+    assert reading.quoted_parts('The book "War" is long.') is None
+    assert [s for *_, s in reading.quoted_parts("Он сказал: «Привет» и ушёл.", "ru")] == [False, True, False]
+    assert reading.quick_start("a" * 40 + ", " + "b" * 80) == ["a" * 40 + ",", "b" * 80]
+    assert reading.quick_start("short, one") == ["short, one"]
+
+
+def test_loudness():
+    wave = np.sin(np.arange(24_000) * 2 * np.pi * 440 / 24_000) * 0.5
+    assert abs(reading.loudness(np.concatenate([wave, np.zeros(24_000)]), 24_000) - 0.5 / 2**0.5) < 0.01
+    assert reading.loudness(np.zeros(1000), 24_000) == 0
