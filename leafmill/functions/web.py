@@ -92,3 +92,49 @@ def is_paywall(text: Column) -> Column:
 def is_login(url: Column) -> Column:
     """F5, by address: the path of a login page."""
     return F.concat(F.lit("/"), F.regexp_extract(url, "^https?://[^/?#]+([^?#]*)", 1)).rlike(LOGIN)
+
+
+# Hosts that are one site.
+MIRRORS = ["litmir.club", "litmir.me", "litmir.net"]
+PAGE_STEP = "(?i)/p(?:age)?/\\d+$"
+
+
+def _path(url: Column) -> Column:
+    return F.rtrim(F.regexp_extract(url, "^https?://[^/?#]+([^?#]*)", 1), F.lit("/"))
+
+
+def is_page_turn(source: Column, target: Column, labelled: Column) -> Column:
+    """F8: whether a link turns the pages of one list rather than leads to a chapter."""
+    a, b = _path(source), _path(target)
+    page = lambda u: F.nullif(F.regexp_extract(u, "[?&](?:page|p)=(\\d+)", 1), F.lit(""))
+    deeper = F.startswith(b, F.concat(a, F.lit("/")))
+    rest = F.substr(b, F.length(a) + 1)
+    parent = lambda p: F.regexp_replace(p, "/[^/]*$", "")
+    steps = a.rlike(PAGE_STEP) & b.rlike(PAGE_STEP) & (parent(a) == parent(b))
+    moved = ~labelled & page(target).isNotNull() & ~page(target).eqNullSafe(page(source))
+    return F.when(a == b, moved).when(deeper, rest.rlike("(?i)^/p(?:age)?/\\d+$")).otherwise(steps)
+
+
+def family(host: Column) -> Column:
+    """what a redirect has to keep: the site, mirrors taken as one."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(host), "^www\\.", ""), "^m\\.", "")
+    return F.when(bare.isin(MIRRORS), "litmir").otherwise(F.coalesce(site_of(host), bare))
+
+
+def allows_redirect(source: Column, target: Column) -> Column:
+    """https on both sides, one family, and on book pages the same book."""
+    book = lambda u: F.nullif(F.regexp_extract(u, "[?&]b=([^&#]+)", 1), F.lit(""))
+    on_book = _path(source).isin("/br", "/bd") & _path(target).isin("/br", "/bd") & book(source).isNotNull()
+    secure = F.startswith(F.lower(source), F.lit("https://")) & F.startswith(F.lower(target), F.lit("https://"))
+    return secure & (family(host_of(source)) == family(host_of(target))) & (~on_book | book(target).eqNullSafe(book(source)))
+
+
+def reason_of(status: Column) -> Column:
+    """The typed reason of an HTTP status; null for one that is none."""
+    named = F.when(status.isin(401, 403, 404), F.concat(F.lit("HTTP_"), status))
+    return F.when(status >= 400, F.coalesce(named, F.lit("NETWORK")))
+
+
+def retryable(status: Column) -> Column:
+    """Whether to ask again."""
+    return F.coalesce((status >= 500) | (status == 403), F.lit(False))

@@ -124,3 +124,39 @@ def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(value)
     ranked = rows.select(key, value, F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy(key)).alias("n"))
     return ranked.where("r = floor(n / 2) + 1").select(key, F.col(value).alias("median"))
+
+
+def vote(female, male) -> F.Column:
+    """A5: a gender with three times the other's votes, else null."""
+    return F.when((female > 0) & (female >= 3 * male), "F").when((male > 0) & (male >= 3 * female), "M")
+
+
+def without_plain_spelling(words: DataFrame) -> DataFrame:
+    """Words written with a plain letter go where the accented spelling is there too."""
+    accented = words.where(F.contains("word", F.lit("ё"))).select(F.translate("word", "ё", "е").alias("word")).distinct()
+    return words.join(accented, "word", "left_anti")
+
+
+def containing(items: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, item, span): the span that holds a place, else the one with the nearest start, the first on ties.
+
+    An as-of window finds the last start at or before a place and the next one after it; no ranges are joined.
+    """
+    a = items.select(key, F.col("at"), "item", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("end"))
+    b = spans.select(key, F.col("start").alias("at"), F.lit(None).cast(dict(items.dtypes)["item"]).alias("item"), F.lit(0).alias("_side"), F.col("end").cast("long").alias("end"))
+    w = Window.partitionBy(key).orderBy("at", "_side")
+    mark = F.when(F.col("_side") == 0, F.struct("at", "end"))
+    both = a.unionByName(b).select("*", F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("low"), F.first(mark, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("high"))
+    holds = F.col("at") < F.col("low.end")
+    nearer = F.col("high.at") - F.col("at") < F.col("at") - F.col("low.at")
+    span = F.when(holds, F.col("low.at")).when(F.col("low").isNull() | nearer, F.col("high.at")).otherwise(F.col("low.at"))
+    return both.where("_side = 1").select(key, "item", span.alias("span"))
+
+
+def by_rule(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Hosts with the first rule whose name is the host or an ending of it; each ending is an equal key."""
+    labels = F.split("host", "\\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    keyed = hosts.withColumn("name", F.explode(endings)).join(rules, "name")
+    found = keyed.groupBy("host").agg(F.min_by("rule", "ord").alias("rule"))
+    return hosts.join(found, "host", "left")

@@ -180,3 +180,30 @@ def t7_live_session(spark, sf):
     events = table(spark, sf, "events")
     newest = events.where("event_type = 'click'").groupBy("user_id").agg(F.max("ts").alias("since"))
     return events.join(newest, "user_id").where("ts >= since").select("event_id", "user_id")
+
+
+@query("""WITH v AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS f, count(*) FILTER (event_type = 'purchase') AS m FROM events GROUP BY 1)
+    SELECT user_id, CASE WHEN f > 0 AND f >= 3 * m THEN 'F' WHEN m > 0 AND m >= 3 * f THEN 'M' END AS gender FROM v""")
+def a5_votes(spark, sf):
+    votes = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("f"), F.count_if(F.col("event_type") == "purchase").alias("m"))
+    return votes.select("user_id", corpus.vote(F.col("f"), F.col("m")).alias("gender"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderkey * 10 AS start, o_orderkey * 10 + 4 AS "end" FROM orders WHERE o_orderkey % 3 = 0), i AS (SELECT o_custkey AS k, o_orderkey * 10 + o_orderkey % 9 AS "at", o_orderkey AS item FROM orders),
+    c AS (SELECT i.k, i.item, s.start, CASE WHEN i."at" >= s.start AND i."at" < s."end" THEN -1 ELSE abs(i."at" - s.start) END AS d FROM i LEFT JOIN s ON i.k = s.k)
+    SELECT k, item, arg_min(start, (d, start)) AS span FROM c GROUP BY 1, 2""")
+def j10_span_at(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("item"))
+    spans = orders.where("item % 3 = 0").select("k", (F.col("item") * 10).alias("start"), (F.col("item") * 10 + 4).alias("end"))
+    items = orders.select("k", "item", (F.col("item") * 10 + F.col("item") % 9).alias("at"))
+    return corpus.containing(items, spans, "k")
+
+
+@query("""WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages), r(name, rule, ord) AS (VALUES ('example.com', 'div.text', 1), ('m.example.com', 'div.mobile', 0), ('example.org', 'article', 2))
+    SELECT h.host, (SELECT arg_min(rule, ord) FROM r WHERE h.host = r.name OR ends_with(h.host, '.' || r.name)) AS rule FROM h""")
+def j20_site_rules(spark, sf):
+    from leafmill.functions import web
+
+    hosts = table(spark, sf, "pages").select(web.host_of(F.col("url")).alias("host")).distinct()
+    rules = spark.createDataFrame([("example.com", "div.text", 1), ("m.example.com", "div.mobile", 0), ("example.org", "article", 2)], "name string, rule string, ord int")
+    return corpus.by_rule(hosts, rules)

@@ -157,3 +157,26 @@ def v3_voice_decode(spark, sf):
     parts = F.split(coded, "\\|", 3)
     whole = F.size(parts) == 3
     return table(spark, sf, "part").select("p_partkey", F.when(whole, parts[0]).alias("engine"), F.when(whole, parts[2]).alias("voice"))
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 5 AS k, 'https://s.example/book/' || page_id AS u FROM pages)
+    SELECT page_id, CASE k WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS pager FROM p""")
+def f8_page_turn(spark, sf):
+    k, base = F.col("page_id") % 5, F.concat(F.lit("https://s.example/book/"), F.col("page_id"))
+    source = F.when(k == 1, F.concat(base, F.lit("/page/1"))).otherwise(base)
+    target = F.when(k == 0, F.concat(base, F.lit("/page/2"))).when(k == 1, F.concat(base, F.lit("/page/2"))).when(k == 2, F.concat(base, F.lit("/chapter/2"))).otherwise(F.concat(base, F.lit("?page=2")))
+    return table(spark, sf, "pages").select("page_id", web.is_page_turn(source, target, k == 4).alias("pager"))
+
+
+@query("""SELECT page_id, page_id % 4 IN (0, 3) AS allowed FROM pages""")
+def f9_redirects(spark, sf):
+    k = F.col("page_id") % 4
+    source = F.lit("https://www.litmir.me/br/?b=7&p=1")
+    target = F.when(k == 0, "https://litmir.club/br/?b=7").when(k == 1, "https://litmir.club/br/?b=8").when(k == 2, "http://litmir.club/br/?b=7").otherwise("https://m.litmir.net/other")
+    return table(spark, sf, "pages").select("page_id", web.allows_redirect(source, target).alias("allowed"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 400 THEN NULL WHEN s IN (401, 403, 404) THEN 'HTTP_' || s ELSE 'NETWORK' END AS reason, s >= 500 OR s = 403 AS retry FROM (SELECT event_id, 200 + (event_id % 40) * 10 + event_id % 5 AS s FROM events)""")
+def r10_status_reasons(spark, sf):
+    status = 200 + (F.col("event_id") % 40) * 10 + F.col("event_id") % 5
+    return table(spark, sf, "events").select("event_id", web.reason_of(status).alias("reason"), web.retryable(status).alias("retry"))
