@@ -292,7 +292,8 @@ def spans_of(classes: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
 def verdicts(found: DataFrame, texts: DataFrame, kind: Kind, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """(repeated phrases' places, their dictionary): the dictionary has c places, first_id and parts for each phrase."""
     often = found.groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer")
-    again = cut(found.join(often, "kmer"), "again")
+    # written, so that both sides of the join are plain shuffles and a trigger string's many places can be split
+    again = cut(found.join(cut(often, "often"), "kmer"), "again")
     place = F.struct("id", "th", "s", "n")
     classes = again.groupBy("kmer", "content").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     classes = cut(classes.select("kmer", "content", "c", F.col("first.id").alias("first_id"), "first.*"), "dictionary")
@@ -302,7 +303,7 @@ def verdicts(found: DataFrame, texts: DataFrame, kind: Kind, wide: int = WIDE) -
     parts = shared(spans_of(narrow, texts, kind), kind)
     if not broad.isEmpty():
         parts = parts.union(shared_wide(spans_of(broad, texts, kind), kind))
-    return again, classes.select("kmer", "content", "c", "first_id").join(parts, ["kmer", "content"], "left")
+    return again, cut(classes.select("kmer", "content", "c", "first_id").join(parts, ["kmer", "content"], "left"), "verdicts")
 
 
 def covered(again: DataFrame, dictionary: DataFrame, kind: Kind) -> DataFrame:
