@@ -13,16 +13,17 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import ngrams
-from leafmill.llm.common import cut, key_text, merged, slices
+from leafmill.llm.common import cut, key_text, merged, raw, slices
 
-ORDER, LIMIT = 6, 1_000_000
+ORDER, LIMIT = 6, 500_000
 #: Words that are broadcast, at most.
-COMMON = 200_000
+COMMON = 100_000
 FOLDS, HELD_OUT = 5, 1
 
 
@@ -34,7 +35,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of the words of all texts, A-Z lowered; words are binary."""
 
     def run(batches):
-        for batch in merged(batches):
+        for batch in merged(batches, 8 << 20):
             found: Counter = Counter()
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 found.update(text.lower().split())
@@ -58,24 +59,28 @@ def common_words(counts: DataFrame, most: int = COMMON) -> dict[bytes, int]:
     return dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True))
 
 
-def base_scores(scored: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
-    """scored, which has text, with n_tokens, n_known, train_tokens and base_score in place of text."""
-    spark = scored.sparkSession
+def scores(texts: DataFrame, counts: DataFrame, documents: int, table: ngrams.Table) -> DataFrame:
+    """texts with n_tokens, n_known, train_tokens, base_score and score in place of text."""
+    spark = texts.sparkSession
+    model = ngrams.shipped(spark, table)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + documents, total["v"] + (documents > 0)
     floor = math.log10(n + 0.5 * (v + 1))
     end = math.log10(documents + 0.5)
     sent = spark.sparkContext.broadcast({w: math.log10(c + 0.5) for w, c in common_words(counts).items()})
-    others = [(c, t) for c, t in scored.dtypes if c != "text"]
+    others = [(c, t) for c, t in texts.dtypes if c != "text"]
     names = [c for c, _ in others]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in others), "n_tokens long, known long, sum double, rare array<struct<word: binary, tf: int>>"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in others), "score double, n_tokens long, known long, sum double, rare array<struct<word: binary, tf: int>>"])
 
     def run(batches):
-        get = sent.value.get
+        get, lm = sent.value.get, model()
         kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 1 << 20):
             rows = []
-            for text in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
+            column = batch.column(batch.schema.get_field_index("text"))
+            flat, offsets = raw(column)
+            score = lm.score(ngrams.LOWER[flat], offsets, np.zeros(batch.num_rows, np.int64))
+            for text in column.cast(pa.binary()).to_pylist():
                 words = text.lower().split()
                 values = [get(w) for w in words]
                 rare = Counter([w for w, x in zip(words, values, strict=True) if x is None]) if None in values else {}
@@ -83,9 +88,9 @@ def base_scores(scored: DataFrame, counts: DataFrame, documents: int) -> DataFra
                 rows.append((len(words) + 1, len(common) + (documents > 0), math.fsum(common) + end, [{"word": w, "tf": c} for w, c in rare.items()]))
             cols = zip(*rows, strict=True)
             keep = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), kind), strict=True))], names=[*names, "n_tokens", "known", "sum", "rare"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(score), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), kind), strict=True))], names=[*names, "score", "n_tokens", "known", "sum", "rare"])
 
-    part = cut(scored.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    part = cut(texts.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
     rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "word", "left")
     more = rare.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"))
     joined = part.join(more, "row", "left")
@@ -95,15 +100,14 @@ def base_scores(scored: DataFrame, counts: DataFrame, documents: int) -> DataFra
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
+        "score",
     )
 
 
 def score(docs: DataFrame, order: int = ORDER, limit: int = LIMIT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    texts = key_text(docs).select("doc_id", held_out().alias("held_out"), "text", F.lit(0).alias("tag"))
-    train = texts.where(~F.col("held_out"))
+    texts = key_text(docs).select("doc_id", held_out().alias("held_out"), "text")
+    train = texts.where(~F.col("held_out")).withColumn("tag", F.lit(0))
     counts = cut(word_counts(train), "words")
     table = ngrams.ppm(cut(ngrams.counts(train, order, lower=True), "grams"), order, limit)
-    scored = ngrams.scores(texts.withColumn("body", F.col("text")), table, lower=True).withColumnRenamed("body", "text")
-    out = base_scores(scored.select("doc_id", "held_out", F.col("log10_prob").alias("score"), "text"), counts, train.count())
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores(texts, counts, train.count(), table)

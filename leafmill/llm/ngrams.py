@@ -175,16 +175,9 @@ def _shorter(key, order):
 class Table:
     """Grams of all orders in one static hash table: those of a slot stand together, `start` tells where."""
 
-    def __init__(self, order: int, keys: np.ndarray, logp: np.ndarray, weight: np.ndarray):
-        if not len(keys):  # one gram that no text has
-            keys, logp, weight = np.array([~np.uint64(0)]), np.array([-np.inf]), np.zeros(1)
-        self.order, bits = order, max(4, int(len(keys)).bit_length() + 1)
-        self.shift = np.uint64(64 - bits)
-        slot = (keys * _SCATTER) >> self.shift
-        by = np.argsort(slot, kind="stable")
-        self.keys, self.logp, self.weight = keys[by], logp[by].astype(np.float32), weight[by].astype(np.float32)
-        self.start = np.zeros((1 << bits) + 1, np.int32)
-        self.start[1:] = np.cumsum(np.bincount(slot.astype(np.int64), minlength=1 << bits))
+    def __init__(self, order: int, keys: np.ndarray, logp: np.ndarray, weight: np.ndarray, start: np.ndarray):
+        self.order, self.keys, self.logp, self.weight, self.start = order, keys, logp, weight, start
+        self.shift = np.uint64(65 - len(start).bit_length())
 
     @classmethod
     def build(cls, parts, order: int) -> Table:
@@ -194,7 +187,14 @@ class Table:
         logp, weight = np.full(len(every), -np.inf), np.zeros(len(every))
         logp[np.searchsorted(every, np.concatenate(keys))] = np.concatenate([x[2] for x in parts])
         weight[np.searchsorted(every, np.concatenate(contexts))] = np.concatenate([x[4] for x in parts])
-        return cls(order, every, logp, weight)
+        if not len(every):  # one gram that no text has
+            every, logp, weight = np.array([~np.uint64(0)]), np.array([-np.inf]), np.zeros(1)
+        bits = max(4, len(every).bit_length() + 1)
+        slot = ((every * _SCATTER) >> np.uint64(64 - bits)).astype(np.int64)
+        by = np.argsort(slot, kind="stable")
+        start = np.zeros((1 << bits) + 1, np.int32)
+        start[1:] = np.cumsum(np.bincount(slot, minlength=1 << bits))
+        return cls(order, every[by], logp[by].astype(np.float32), weight[by].astype(np.float32), start)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 where there is none."""
@@ -235,21 +235,10 @@ class Table:
         return total
 
 
-_tables: dict[int, Table] = {}
-
-
 def shipped(spark, table: Table):
-    """A function that gives workers the table, rebuilt once in each. Its size is bounded by the model's `limit`."""
-    sent = spark.sparkContext.broadcast((table.order, table.keys, table.logp, table.weight))
-    number = sent._jbroadcast.id() if hasattr(sent, "_jbroadcast") else id(sent)
-
-    def get() -> Table:
-        if number not in _tables:
-            _tables.clear()
-            _tables[number] = Table(*sent.value)
-        return _tables[number]
-
-    return get
+    """A function that gives workers the table. Its size is bounded by the model's `limit`."""
+    sent = spark.sparkContext.broadcast((table.order, table.keys, table.logp, table.weight, table.start))
+    return lambda: Table(*sent.value)
 
 
 def scores(texts: DataFrame, table: Table, lower: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from leafmill.llm import ngrams
 from leafmill.llm.common import cut
 
-ORDER, LIMIT, MOST, LEAST = 5, 600_000, 30, 20
+ORDER, LIMIT, MOST, LEAST = 5, 500_000, 30, 20
 #: Held-out trusted texts below the threshold, and what it is widened by (perplexity is per byte).
 QUANTILE, SLACK = 0.95, 1.15
 #: A short text's perplexity is drawn to its language's mean as if by so many more bytes.
