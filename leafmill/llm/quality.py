@@ -40,10 +40,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """(doc_id, lang, n_bytes, perplexity, threshold, kept, text_hash) of each row."""
     good = labels.where("quality = 1").select("doc_id").distinct()
     texts = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    trusted = texts.join(good, "doc_id", "left_semi")
+    trusted = texts.select("doc_id", "lang").join(good, "doc_id", "left_semi")
     texts = tagged(texts, trusted)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == HELD_OUT
-    learn = texts.where(~held).join(good, "doc_id", "left_semi")
+    # the labels grow with the documents: one plan for all sizes, by shuffle, with the text compressed for it
+    learn = ngrams.squeezed(texts.where(~held)).join(good.hint("merge"), "doc_id", "left_semi")
     by_tag = cut(ngrams.counts(learn, ORDER), "grams")
     pooled = by_tag.where(F.col("key") >= 1 << 56).select(F.col("key").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "n")
     every = by_tag.union(pooled).groupBy("key").agg(F.sum("n").alias("n"))
