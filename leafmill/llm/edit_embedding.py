@@ -6,7 +6,10 @@ together again, so their outputs are at a small Hamming distance. A fingerprint
 slot takes the step whose random number is the least among those that the text's length has, so texts of like lengths
 take like steps, and puts the outputs up to that step into one hexadecimal digit.
 
-A walk starts anew every `PART` characters, which bounds its length and lets all parts of all texts walk side by side.
+A walk starts anew every `PART` characters, which bounds its length and lets all parts of all texts walk side by side. It
+goes on until its pointer has left the part, so every character is put out: about two steps a character, `STEPS` at most
+(should so few be left that the pointer has to move at each of them, it does). A slot whose step lies past the end of a
+full part's walk takes that walk's last step.
 
 `candidates` compares fingerprints: bands of sampled slots give pairs of fingerprint classes, each verified in full.
 
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut
 
-SLOTS, PART, STEPS, REACH = 256, 4096, 7168, 8
+SLOTS, PART, STEPS, REACH = 256, 4096, 9216, 8
 #: Characters walked side by side, and rows handled at once.
 STEP, ROWS = 6 << 20, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -65,24 +68,29 @@ def fingerprints(texts: list[np.ndarray]) -> list[str]:
     sizes = np.array([len(t) for t in texts])
     parts = -(-sizes // PART)
     last = sizes - (parts - 1) * PART
-    # steps that a text has: seven for four characters
-    steps = np.where(sizes > 0, (parts - 1) * STEPS + np.maximum(last * 7 // 4, 1), 1)
-    chosen = np.stack([r[np.searchsorted(r, steps, "left") - 1] for r in _RECORDS], axis=1)
     begins = np.cumsum([0, *parts])[:-1]
     lanes = [t[a : a + PART] for t in texts for a in range(0, len(t), PART)]
     owner = np.repeat(np.arange(len(texts)), parts)
-    lane_of, step_of = begins[:, None] + chosen // STEPS, chosen % STEPS
     order = np.argsort([-len(x) for x in lanes], kind="stable")
     place = np.empty(len(lanes), int)
     place[order] = np.arange(len(lanes))
-    for at in range(0, len(lanes), 2048):
-        group = [lanes[i] for i in order[at : at + 2048]]
-        walks = _walk(group)
-        mine = np.flatnonzero((sizes > 0)[owner[order[at : at + 2048]]])
-        docs = np.unique(owner[order[at : at + 2048]][mine])
+    groups = range(0, len(lanes), 2048)
+    walked = [_walk([lanes[i] for i in order[at : at + 2048]]) for at in groups]
+    length = np.zeros(len(lanes), np.int64)  # steps of each lane's walk
+    for at, walks in zip(groups, walked, strict=True):
+        length[order[at : at + 2048]] = np.count_nonzero(walks, axis=0)
+    full = sizes > 0
+    # steps that a text has: STEPS for each part but the last, and the walk of the last
+    steps = np.ones(len(texts), np.int64)
+    steps[full] = (parts[full] - 1) * STEPS + length[begins[full] + parts[full] - 1]
+    chosen = np.stack([r[np.searchsorted(r, steps, "left") - 1] for r in _RECORDS], axis=1)
+    lane_of, step_of = begins[:, None] + chosen // STEPS, chosen % STEPS
+    for at, walks in zip(groups, walked, strict=True):
+        docs = np.unique(owner[order[at : at + 2048]])
         rank = place[lane_of[docs]] - at
-        d, s = np.nonzero((rank >= 0) & (rank < len(group)))
-        lane, step = rank[d, s], step_of[docs][d, s]
+        d, s = np.nonzero((rank >= 0) & (rank < walks.shape[1]))
+        lane = rank[d, s]
+        step = np.minimum(step_of[docs][d, s], length[order[at + lane]] - 1)
         digit = np.zeros(len(d), np.uint64)
         for t in range(REACH):
             digit = (digit ^ _LETTERS[walks[np.maximum(step - t, 0), lane]]) * _MIX
@@ -99,19 +107,26 @@ def _walk(lanes: list[np.ndarray]) -> np.ndarray:
         flat[k, : len(lane)] = lane
     flat = flat.ravel()
     pointer = np.arange(n) * (longest + 1)
-    total = max(1, longest * 7 // 4)
-    walks = np.zeros((total, n), np.uint8)
-    needed = np.array([max(1, len(x) * 7 // 4) for x in lanes])
-    alive = np.searchsorted(-needed, -np.arange(total), "left")  # lanes that still have step j
     limit = pointer + np.array([len(x) for x in lanes])
-    for j in range(total):
-        m = int(alive[j])
+    walks, m = [], n  # the first m lanes have all that are not at their end
+    for j in range(STEPS):
+        if j % 64 == 0:
+            there = np.flatnonzero(pointer[:m] < limit[:m])
+            if not len(there):
+                break
+            m = int(there[-1]) + 1
         here = pointer[:m]
         letter = flat[here]
-        walks[j, :m] = letter
-        here += _COINS[j][letter]
+        walks.append(letter)
+        move = _COINS[j][letter]
+        if STEPS - j <= longest:
+            move = move | (limit[:m] - here >= STEPS - j)
+        here += move
         np.minimum(here, limit[:m], out=here)
-    return walks
+    out = np.zeros((len(walks), n), np.uint8)
+    for j, letter in enumerate(walks):
+        out[j, : len(letter)] = letter
+    return out
 
 
 def likeness(a: str, b: str) -> float:

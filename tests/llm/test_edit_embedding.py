@@ -71,3 +71,67 @@ def test_candidates(spark, sample):
         assert a in prints
     brute = {frozenset((x, y)) for x in set(prints) for y in set(prints) if x < y and ee.likeness(x, y) >= 0.8}
     assert brute <= linked
+
+
+def whole_walk(part):
+    """One character at a time, until the pointer has left the part."""
+    at, seen = 0, []
+    while at < len(part):
+        c = int(part[at])
+        seen.append(c)
+        at += 1 if len(part) - at >= ee.STEPS - len(seen) + 1 else int(ee._COINS[len(seen) - 1][c])
+    return seen
+
+
+def whole_fingerprint(text):
+    points = ee.letters(text)
+    walks = [whole_walk(points[i : i + ee.PART]) for i in range(0, len(points), ee.PART)]
+    out = []
+    for r in ee._RECORDS:
+        g = int(max(x for x in r if x < (len(walks) - 1) * ee.STEPS + len(walks[-1])))
+        walk, digit = walks[g // ee.STEPS], 0
+        j = min(g % ee.STEPS, len(walk) - 1)
+        for t in range(ee.REACH):
+            digit = ((digit ^ int(ee._LETTERS[walk[max(j - t, 0)]])) * int(ee._MIX)) % (1 << 64)
+        out.append("0123456789abcdef"[digit >> 60])
+    return "".join(out)
+
+
+def test_whole_texts_are_walked():
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh "), n)) for n in (1, 2, 10, 100, 1000, ee.PART, ee.PART + 1, 9000)] + ["x" * 9000]
+    assert ee.fingerprints([ee.letters(t) for t in texts]) == [whole_fingerprint(t) for t in texts]
+    # an edit in the last tenth, and of the last character of a full part, is put out
+    for n, at in ((1000, 950), (1000, 999), (ee.PART, ee.PART - 1), (ee.PART, ee.PART - 300)):
+        text = "".join(rng.choice(list("abcdefgh "), n))
+        a, b = (ee._walk([ee.letters(t)])[:, 0].tolist() for t in (text, text[:at] + "z" + text[at + 1 :]))
+        assert a != b
+    # texts that differ in their last eighth alone have different fingerprints
+    for n in (1000, ee.PART):
+        text = "".join(rng.choice(list("abcdefgh "), n))
+        a, b = ee.fingerprints([ee.letters(t) for t in (text, text[: n - n // 10] + "z" * (n // 10))])
+        assert a != b and ee.likeness(a, b) < 1
+
+
+def test_slowest_walk_still_ends(monkeypatch):
+    monkeypatch.setattr(ee, "_COINS", np.zeros_like(ee._COINS))
+    part = np.arange(ee.PART) % 255 + 1
+    walk = ee._walk([part.astype(np.uint8)])[:, 0]
+    assert len(walk) == ee.STEPS and walk[-1] == part[-1]
+
+
+def test_query_reads_whole_texts(make_docs, sample):
+    """As test_query, whose slow form stops after 7/4 steps a character."""
+    texts = [*sample, "x" * 9000, "long words " * 3000]
+    rows = {r.doc_id: r for r in ee.edited(make_docs(texts)).collect()}
+    assert len(rows) == len(texts)
+    for k, t in enumerate(texts):
+        t, n = t or "", texts[(k + 1) % len(texts)] or ""
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        r = rows[k]
+        if t and (k % 6 == 0 or len(t) > 4096):
+            assert r.fingerprint == whole_fingerprint(t) and r.edited_fingerprint == whole_fingerprint(e)
+        if len(t) > 300 and t != n and len(n) > 300:
+            assert r.near_edited > 0.25
+    plain = [r.near_next for r in rows.values() if r.n_chars > 300 and r.doc_id > 9]
+    assert np.median(plain) < 0.1
