@@ -102,16 +102,24 @@ def by_order(top: DataFrame, order: int, distinct: bool) -> dict[int, DataFrame]
 
 
 def threshold(level: DataFrame, order: int, limit: int) -> int:
-    """The least power of two such that contexts seen so often have `limit` grams at most."""
+    """The least power of two such that contexts seen so often have `limit` grams at most; 1 if all fit."""
     sizes = level.groupBy(context(F.col("key"), order).alias("ctx")).agg(F.sum("r").alias("t"), F.count("*").alias("d"))
     found = sizes.groupBy(F.floor(F.log2("t")).cast("int").alias("b")).agg(F.sum("d").alias("d")).collect()  # 64 rows at most
     total, least = 0, 62
     for row in sorted(found, key=lambda r: -r["b"]):
         total += row["d"]
         if total > limit:
-            break
+            return 1 << least
         least = row["b"]
-    return 1 << least
+    return 1
+
+
+def thresholds(levels: dict[int, DataFrame], order: int, limit: int) -> dict[int, int]:
+    """The cut-off of each order; none is below a shorter order's, so that a kept context's suffixes are kept too."""
+    out = {1: 1}
+    for o in range(2, order + 1):
+        out[o] = max(out[o - 1], threshold(levels[o], o, limit))
+    return out
 
 
 def columns(rows: DataFrame) -> tuple[np.ndarray, ...]:
@@ -124,15 +132,15 @@ def ppm(top: DataFrame, order: int, limit: int) -> Table:
 
     A context with total t and d symbols gives a seen symbol n / (t + d) and the escape d / (t + d). After an escape the
     shorter context leaves out the symbols seen in the longer one, which scales all that it gives by the same factor,
-    so escape times factor is a back-off weight. Contexts rarer than a threshold, chosen so that no order has more than
-    `limit` grams, are no nodes of the trie.
+    so escape times factor is a back-off weight. Contexts rarer than their order's threshold, chosen so that no order has
+    more than `limit` grams, are no nodes of the trie.
     """
     levels = by_order(top, order, distinct=False)
-    least = max(threshold(levels[o], o, limit) for o in range(2, order + 1))
+    least = thresholds(levels, order, limit)
     parts, lower = [], None
     for o in range(1, order + 1):
         level = levels[o].withColumn("ctx", context(F.col("key"), o))
-        nodes = level.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("d")).where(F.col("t") >= (least if o > 1 else 1))
+        nodes = level.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("d")).where(F.col("t") >= least[o])
         rows = level.join(nodes, "ctx").select("key", "n", "t", "d")
         key, n, t, d = columns(rows)
         by = np.argsort(key.view(np.uint64))
@@ -154,13 +162,13 @@ def ppm(top: DataFrame, order: int, limit: int) -> Table:
 
 
 def kneser_ney(top: DataFrame, order: int, limit: int) -> Table:
-    """Interpolated modified Kneser-Ney; contexts rarer than a threshold (see `ppm`) are left out.
+    """Interpolated modified Kneser-Ney; contexts rarer than their order's threshold (see `ppm`) are left out.
 
     Counts are sharded by gram: lower orders count the different symbols before a gram, totals are counted by context,
     and each gram meets its context's totals in a join.
     """
     levels = by_order(top, order, distinct=True)
-    least = max(threshold(levels[o], o, limit) for o in range(2, order + 1))
+    least = thresholds(levels, order, limit)
     parts, lower = [], None
     for o in range(1, order + 1):
         level = levels[o].withColumn("ctx", context(F.col("key"), o))
@@ -169,7 +177,7 @@ def kneser_ney(top: DataFrame, order: int, limit: int) -> Table:
         discount = [min(k, max(0.0, k - (k + 1) * y * r.get(k + 1, 0) / r[k])) if r.get(k) else 0.5 * k for k in (1, 2, 3)]
         share = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
         nodes = level.groupBy("ctx").agg(F.sum("r").alias("r"), F.sum("n").alias("t"), *(x.alias(f"n{k}") for k, x in enumerate(share, 1)))
-        rows = level.join(nodes.where(F.col("r") >= (least if o > 1 else 1)).drop("r"), "ctx").select("key", "n", "t", "n1", "n2", "n3")
+        rows = level.join(nodes.where(F.col("r") >= least[o]).drop("r"), "ctx").select("key", "n", "t", "n1", "n2", "n3")
         key, n, t, *ns = columns(rows)
         by = np.argsort(key.view(np.uint64))
         key, n, t, ns = key.view(np.uint64)[by], n[by], t[by].astype(float), [x[by] for x in ns]

@@ -101,6 +101,28 @@ def test_pruned_model_adds_up(spark):
             assert (10 ** each[:, -2]).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("kind", [ngrams.ppm, ngrams.kneser_ney])
+def test_larger_corpus_keeps_more_contexts(spark, kind):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    corpus = [" ".join(rng.choice(words, 8)) for _ in range(200)]
+
+    def model(texts, limit):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("tag", F.lit(0))
+        keys = kind(ngrams.counts(rows, 4), 4, limit).keys
+        return [int((keys >> np.uint64(61) == o).sum()) for o in range(1, 5)]
+
+    def grams(texts):
+        return [len({c[4 - o :] + bytes([x]) for t in texts for c, x in contexts(t, 4)}) for o in range(1, 5)]
+
+    small, large = model(corpus[:20], 100_000), model(corpus, 100_000)
+    assert all(a >= b for a, b in zip(small, grams(corpus[:20]), strict=True))
+    assert all(a >= b for a, b in zip(large, grams(corpus), strict=True)) and large[3] > small[3]
+    # a limit that the longest order alone exceeds leaves the others whole
+    some, every = model(corpus, grams(corpus)[2]), grams(corpus)
+    assert some[3] < every[3] and all(a >= b for a, b in zip(some[:3], every[:3], strict=True))
+
+
 def test_lm_query(make_docs, sample):
     rows = {r.doc_id: r for r in lm_scoring.score(make_docs(sample), order=4).collect()}
     train = [t or "" for k, t in enumerate(sample) if zlib.crc32(str(k).encode()) % 5 != 1]
