@@ -42,6 +42,24 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, as a path for plain files: the shared folder has to be mounted on all machines.
+
+    It goes when the JVM ends.
+    """
+    import os
+    from urllib.parse import urlparse
+
+    found = urlparse(shared_dir(spark))
+    if found.scheme not in ("", "file"):
+        raise ValueError(f"spark.checkpoint.dir has to be a mounted folder, not {found.geturl()}")
+    path = f"{found.path}/leafmill/{name}-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def slices(batches, limit: int = BATCH_BYTES, rows: int = BATCH_ROWS, column: str = "text"):
     """Record batches, cut so that each holds at most `rows` rows and about `limit` bytes of text (one row at least)."""
     for batch in batches:

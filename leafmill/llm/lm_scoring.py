@@ -1,7 +1,7 @@
 """Log-probability of documents under a language model learnt from the corpus, beside a unigram base line.
 
-Model: prediction by partial matching over bytes (`ngrams.ppm`), learnt from all training documents. Base: word
-unigrams with add-half smoothing. Words that are common in the training part (at most `COMMON` of them) have their
+Model: prediction by partial matching over bytes (`ngrams.ppm`), learnt from all training documents: it has all
+their contexts, in files that workers map. Base: word unigrams with add-half smoothing. Words that are common in the training part (at most `COMMON` of them) have their
 counts in every worker; the others meet their counts in a join.
 
 Defined cases: a null or empty text is one end token; repeated rows count and are scored once per row; without training
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from leafmill.llm import ngrams
 from leafmill.llm.common import cut, key_text, merged, raw, slices
 
-ORDER, LIMIT = 6, 500_000
+ORDER = 6
 #: Words that are broadcast, at most.
 COMMON = 100_000
 FOLDS, HELD_OUT = 5, 1
@@ -104,7 +104,7 @@ def scores(texts: DataFrame, counts: DataFrame, documents: int, table: ngrams.Ta
     )
 
 
-def score(docs: DataFrame, order: int = ORDER, limit: int = LIMIT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, limit: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     texts = key_text(docs).select("doc_id", held_out().alias("held_out"), "text")
     train = texts.where(~F.col("held_out")).withColumn("tag", F.lit(0))

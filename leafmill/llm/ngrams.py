@@ -7,12 +7,16 @@ log10 probability and back-off weight: an unseen gram costs its context's weight
 
 from __future__ import annotations
 
+import functools
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, merged, raw, slices
+from leafmill.llm.common import cut, merged, raw, shared_path, slices
 
 MAX_ORDER, MAX_TAGS = 7, 31
 _TAG, _ORDER = 56, 61
@@ -127,27 +131,28 @@ def columns(rows: DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(table.column(c).to_numpy() for c in table.column_names)
 
 
-def ppm(top: DataFrame, order: int, limit: int) -> Table:
+def ppm(top: DataFrame, order: int, limit: int | None = None) -> Table:
     """Prediction by partial matching, escapes by method C, with symbol exclusion.
 
     A context with total t and d symbols gives a seen symbol n / (t + d) and the escape d / (t + d). After an escape the
     shorter context leaves out the symbols seen in the longer one, which scales all that it gives by the same factor,
-    so escape times factor is a back-off weight. Contexts rarer than their order's threshold, chosen so that no order has
-    more than `limit` grams, are no nodes of the trie.
+    so escape times factor is a back-off weight. With a `limit`, contexts rarer than their order's threshold, chosen so
+    that no order has more than `limit` grams, are no nodes of the trie.
     """
-    levels = by_order(top, order, distinct=False)
-    least = thresholds(levels, order, limit)
-    parts, lower = [], None
-    for o in range(1, order + 1):
-        level = levels[o].withColumn("ctx", context(F.col("key"), o))
-        nodes = level.groupBy("ctx").agg(F.sum("n").alias("t"), F.count("*").alias("d")).where(F.col("t") >= least[o])
-        rows = level.join(nodes, "ctx").select("key", "n", "t", "d")
-        key, n, t, d = columns(rows)
-        by = np.argsort(key.view(np.uint64))
-        key, n, t, d = key.view(np.uint64)[by], n[by], t[by].astype(float), d[by].astype(float)
-        logp = np.log10(n / (t + d))
-        ctx = _context(key, o)
-        firsts = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, int)
+    least, short = dict.fromkeys(range(1, order + 1), 1), {}
+    if limit is None:
+        short[2] = cut(top.groupBy(shorter(F.col("key"), 2).alias("key")).agg(F.sum("n").alias("r"), F.sum("n").alias("n")), "grams")
+        short[1] = by_order(short[2], 2, distinct=False)[1]
+    else:
+        short = by_order(top, order, distinct=False)
+        least = thresholds(short, order, limit)
+
+    def solve(o, key, r, n, lower):
+        ctx, firsts, runs = _runs(key, o)
+        total = np.add.reduceat(n, firsts).astype(float) if len(n) else np.zeros(0)
+        keep = np.repeat(total >= least[o], runs)
+        key, n, t, d = key[keep], n[keep], np.repeat(total, runs)[keep], np.repeat(runs, runs)[keep].astype(float)
+        ctx, firsts, runs = _runs(key, o)
         escape = d[firsts] / (t[firsts] + d[firsts])
         if o == 1:
             weight = escape * 256 / np.maximum(256 - d[firsts], 1e-9)
@@ -156,39 +161,124 @@ def ppm(top: DataFrame, order: int, limit: int) -> Table:
             seen = np.add.reduceat(lower[1][place].astype(float), firsts) if len(firsts) else np.zeros(0)
             tl, dl = lower[2][place[firsts]], lower[3][place[firsts]]
             weight = escape * (tl + dl) / (tl - seen + dl)
-        parts.append((o, key, logp, ctx[firsts], np.log10(np.maximum(weight, 1e-12))))
-        lower = (key, n, t, d)
-    return Table.build(parts, order)
+        return (o, key, np.log10(n / (t + d)), ctx[firsts], np.log10(np.maximum(weight, 1e-12))), (key, n, t, d)
+
+    return _model(top, order, {1: short[1], 2: short[2]}, solve, distinct=False)
 
 
-def kneser_ney(top: DataFrame, order: int, limit: int) -> Table:
-    """Interpolated modified Kneser-Ney; contexts rarer than their order's threshold (see `ppm`) are left out.
+def kneser_ney(top: DataFrame, order: int, limit: int | None = None) -> Table:
+    """Interpolated modified Kneser-Ney; with a `limit`, contexts rarer than their order's threshold (see `ppm`) are left out.
 
-    Counts are sharded by gram: lower orders count the different symbols before a gram, totals are counted by context,
-    and each gram meets its context's totals in a join.
+    Lower orders count the different symbols before a gram, totals are counted by context.
     """
     levels = by_order(top, order, distinct=True)
-    least = thresholds(levels, order, limit)
-    parts, lower = [], None
+    least = dict.fromkeys(range(1, order + 1), 1) if limit is None else thresholds(levels, order, limit)
+    discounts = {}
     for o in range(1, order + 1):
-        level = levels[o].withColumn("ctx", context(F.col("key"), o))
-        r = {x["n"]: x["m"] for x in level.where("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
+        r = {x["n"]: x["m"] for x in levels[o].where("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
         y = r.get(1, 0) / max(1, r.get(1, 0) + 2 * r.get(2, 0))
-        discount = [min(k, max(0.0, k - (k + 1) * y * r.get(k + 1, 0) / r[k])) if r.get(k) else 0.5 * k for k in (1, 2, 3)]
-        share = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
-        nodes = level.groupBy("ctx").agg(F.sum("r").alias("r"), F.sum("n").alias("t"), *(x.alias(f"n{k}") for k, x in enumerate(share, 1)))
-        rows = level.join(nodes.where(F.col("r") >= least[o]).drop("r"), "ctx").select("key", "n", "t", "n1", "n2", "n3")
-        key, n, t, *ns = columns(rows)
-        by = np.argsort(key.view(np.uint64))
-        key, n, t, ns = key.view(np.uint64)[by], n[by], t[by].astype(float), [x[by] for x in ns]
-        gamma = sum(x * m for x, m in zip(discount, ns, strict=True)) / t
+        discounts[o] = np.array([0] + [min(k, max(0.0, k - (k + 1) * y * r.get(k + 1, 0) / r[k])) if r.get(k) else 0.5 * k for k in (1, 2, 3)])
+
+    def solve(o, key, r, n, lower):
+        ctx, firsts, runs = _runs(key, o)
+        keep = np.repeat(np.add.reduceat(r, firsts) >= least[o], runs) if len(n) else np.zeros(0, bool)
+        key, n = key[keep], n[keep]
+        ctx, firsts, runs = _runs(key, o)
+        each = discounts[o][np.minimum(n, 3)]
+        t, gamma = (np.add.reduceat(x.astype(float), firsts) if len(n) else np.zeros(0) for x in (n, each))
+        gamma = gamma / t
         before = 1 / 256 if o == 1 else lower[1][np.searchsorted(lower[0], _shorter(key, o - 1))]
-        p = (n - np.array([0, *discount])[np.minimum(n, 3)]) / t + gamma * before
-        ctx = _context(key, o)
-        firsts = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, int)
-        parts.append((o, key, np.log10(p), ctx[firsts], np.log10(np.maximum(gamma[firsts], 1e-12))))
-        lower = (key, p)
-    return Table.build(parts, order)
+        p = (n - each) / np.repeat(t, runs) + np.repeat(gamma, runs) * before
+        return (o, key, np.log10(p), ctx[firsts], np.log10(np.maximum(gamma, 1e-12))), (key, p)
+
+    return _model(top, order, {1: levels[1], 2: levels[2]}, solve, distinct=True)
+
+
+def _runs(key, order):
+    """Contexts of sorted grams, the first place of each context, and its number of grams."""
+    ctx = _context(key, order)
+    firsts = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, int)
+    return ctx, firsts, np.diff(np.append(firsts, len(ctx)))
+
+
+def _model(top: DataFrame, order: int, short: dict[int, DataFrame], solve, distinct: bool) -> Table:
+    """The model's table, made in shards and joined in files of the shared folder.
+
+    All that a gram of three symbols or more needs has the same two symbols before its last one: its context, the
+    grams of that, and their shorter forms. So grams are dealt by these two; those of orders 1 and 2, which the
+    alphabet bounds, are solved first and sent along. solve(o, key, r, n, lower) gives an order's grams and contexts,
+    and what the next order needs as lower.
+    """
+    spark = top.sparkSession
+    parts, lower = [], None
+    for o in (1, 2):
+        key, r, n = columns(short[o].select("key", "r", "n"))
+        by = np.argsort(key.view(np.uint64))
+        part, lower = solve(o, key.view(np.uint64)[by], r[by], n[by], lower)
+        parts.append(part)
+    lower_two = spark.sparkContext.broadcast(lower)
+    total = top.count() * (order - 2)
+    # twice to four times as many slots as grams if each order had as many as the highest; about 2 ** 19 slots a shard
+    bits = max(4, total.bit_length() + 1)
+    wide = max(0, bits - 19)
+
+    def rows(found):
+        keys = np.concatenate([k | np.uint64(o << _ORDER) for o, k, *_ in found] + [c | np.uint64((o - 1) << _ORDER) for o, _, _, c, _ in found])
+        size = sum(len(x[1]) for x in found)
+        logp, weight = np.full(len(keys), -np.inf, np.float32), np.zeros(len(keys), np.float32)
+        logp[:size] = np.concatenate([x[2] for x in found])
+        weight[size:] = np.concatenate([x[4] for x in found])
+        shard = ((keys * _SCATTER) >> np.uint64(64 - wide)).astype(np.int32) if wide else np.zeros(len(keys), np.int32)
+        for at in range(0, len(keys), 1 << 16):
+            mine = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[mine]), pa.array(keys[mine].view(np.int64)), pa.array(logp[mine]), pa.array(weight[mine])], names=["shard", "key", "logp", "weight"])
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        key, r = np.concatenate([k for k, _ in held]).view(np.uint64), np.concatenate([n for _, n in held])
+        by = np.argsort(key)
+        levels = {order: (key[by], r[by], r[by])}
+        for o in range(order - 1, 2, -1):
+            key, r, _ = levels[o + 1]
+            key, where, n = np.unique(_shorter(key, o), return_inverse=True, return_counts=True)
+            r = np.bincount(where, r).astype(np.int64)
+            levels[o] = (key, r, n if distinct else r)
+        found, low = [], lower_two.value
+        for o in range(3, order + 1):
+            part, low = solve(o, *levels[o], low)
+            found.append(part)
+        yield from rows(found)
+
+    schema = "shard int, key long, logp float, weight float"
+    two = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    entries = top.select("key", "n").repartition(two).mapInArrow(run, schema)
+    entries = entries.union(spark.createDataFrame(pa.Table.from_batches(list(rows(parts)), pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("logp", pa.float32()), ("weight", pa.float32())]))).select(*(F.col(c).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")))))
+    path = shared_path(spark, "model")
+
+    def write(batches):
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        shard, key, logp, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = key.view(np.uint64)
+        del held
+        for k in np.unique(shard):
+            mine = shard == k
+            every, where = np.unique(key[mine], return_inverse=True)
+            lp, w = np.full(len(every), -np.inf, np.float32), np.zeros(len(every), np.float32)
+            np.maximum.at(lp, where, logp[mine])
+            np.add.at(w, where, weight[mine])  # one row of a key has its weight, the other 0
+            slot = ((every * _SCATTER) >> np.uint64(64 - bits)).astype(np.int64)
+            by = np.argsort(slot, kind="stable")
+            sizes = np.bincount(slot - (int(k) << (bits - wide)), minlength=1 << (bits - wide)).astype(np.int32)
+            name = f"{path}/shard-{k}-{uuid.uuid4().hex}.npz"
+            np.savez(name, keys=every[by], logp=lp[by], weight=w[by], sizes=sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([len(every)]), pa.array([name])], names=["shard", "n", "name"])
+
+    done = entries.repartition(max(2, 1 << wide), "shard").mapInArrow(write, "shard long, n long, name string").collect()  # one row a shard
+    return Table.joined(order, path, bits, wide, {r["shard"]: (r["n"], r["name"]) for r in done})
 
 
 def _tag(key):
@@ -204,34 +294,49 @@ def _shorter(key, order):
 
 
 class Table:
-    """Grams of all orders in one static hash table: those of a slot stand together, `start` tells where."""
+    """Grams of all orders in one static hash table: those of a slot stand together, `start` tells where.
 
-    def __init__(self, order: int, keys: np.ndarray, logp: np.ndarray, weight: np.ndarray, start: np.ndarray):
-        self.order, self.keys, self.logp, self.weight, self.start = order, keys, logp, weight, start
-        self.shift = np.uint64(65 - len(start).bit_length())
+    Its arrays are files of the shared folder, mapped and not loaded: processes of a machine share what they read.
+    """
+
+    NAMES = ("keys", "logp", "weight", "start")
+
+    def __init__(self, order: int, path: str):
+        self.order, self.path = order, path
+        # plain views: fancy indices of a memmap are slower
+        self.keys, self.logp, self.weight, self.start = (np.asarray(np.load(f"{path}/{x}.npy", mmap_mode="r")) for x in self.NAMES)
+        self.shift = np.uint64(65 - len(self.start).bit_length())
 
     @classmethod
-    def build(cls, parts, order: int) -> Table:
-        keys = [k | np.uint64(o << _ORDER) for o, k, *_ in parts]
-        contexts = [c | np.uint64((o - 1) << _ORDER) for o, _, _, c, _ in parts]
-        every = np.unique(np.concatenate(keys + contexts))
-        logp, weight = np.full(len(every), -np.inf), np.zeros(len(every))
-        logp[np.searchsorted(every, np.concatenate(keys))] = np.concatenate([x[2] for x in parts])
-        weight[np.searchsorted(every, np.concatenate(contexts))] = np.concatenate([x[4] for x in parts])
-        if not len(every):  # one gram that no text has
-            every, logp, weight = np.array([~np.uint64(0)]), np.array([-np.inf]), np.zeros(1)
-        bits = max(4, len(every).bit_length() + 1)
-        slot = ((every * _SCATTER) >> np.uint64(64 - bits)).astype(np.int64)
-        by = np.argsort(slot, kind="stable")
-        start = np.zeros((1 << bits) + 1, np.int32)
-        start[1:] = np.cumsum(np.bincount(slot, minlength=1 << bits))
-        return cls(order, every[by], logp[by].astype(np.float32), weight[by].astype(np.float32), start)
+    def joined(cls, order: int, path: str, bits: int, wide: int, shards: dict[int, tuple[int, str]]) -> Table:
+        """Shards, {number: (grams, file)}, joined one at a time."""
+        size = sum(n for n, _ in shards.values())
+        kinds = (np.uint64, np.float32, np.float32, np.int32 if size < 1 << 31 else np.int64)
+        sizes = (max(size, 1), max(size, 1), max(size, 1), (1 << bits) + 1)
+        keys, logp, weight, start = (np.lib.format.open_memmap(f"{path}/{x}.npy", "w+", kind, (n,)) for x, kind, n in zip(cls.NAMES, kinds, sizes, strict=True))
+        if not size:  # one gram that no text has
+            keys[0], logp[0] = ~np.uint64(0), -np.inf
+        at, each = 0, 1 << (bits - wide)
+        for k in range(1 << wide):
+            mine = slice(1 + k * each, 1 + (k + 1) * each)
+            if k not in shards:
+                start[mine] = at
+                continue
+            n, name = shards[k]
+            with np.load(name) as shard:
+                keys[at : at + n], logp[at : at + n], weight[at : at + n] = shard["keys"], shard["logp"], shard["weight"]
+                start[mine] = at + np.cumsum(shard["sizes"])
+            os.remove(name)
+            at += n
+        for x in (keys, logp, weight, start):
+            x.flush()
+        return cls(order, path)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 where there is none."""
         slot = ((keys * _SCATTER) >> self.shift).astype(np.int64)
         at, end = self.start[slot], self.start[slot + 1]
-        out = np.full(len(keys), -1, np.int32)
+        out = np.full(len(keys), -1, self.start.dtype)
         left = np.flatnonzero(at < end)
         at = at[left]
         while len(left):
@@ -266,10 +371,15 @@ class Table:
         return total
 
 
+@functools.lru_cache(2)
+def _opened(order: int, path: str) -> Table:
+    return Table(order, path)
+
+
 def shipped(spark, table: Table):
-    """A function that gives workers the table. Its size is bounded by the model's `limit`."""
-    sent = spark.sparkContext.broadcast((table.order, table.keys, table.logp, table.weight, table.start))
-    return lambda: Table(*sent.value)
+    """A function that gives workers the table, from the shared folder."""
+    order, path = table.order, table.path
+    return lambda: _opened(order, path)
 
 
 def scores(texts: DataFrame, table: Table, lower: bool = False) -> DataFrame:

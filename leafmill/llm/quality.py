@@ -2,8 +2,8 @@
 
 Trusted text is that labelled quality 1. Models (byte grams, `ngrams.kneser_ney`) learn from four fifths of it; the
 other fifth sets each language's threshold, a high quantile of perplexity. Counts are sharded by gram and joined to
-their contexts' totals; the finished model has a fixed size limit, so its shards go to the documents, not the
-documents' grams to the shards (README has the figures). Languages beyond the `MOST` with most trusted texts, or with
+their contexts; the finished model, with all contexts, is in files that workers map, so that the documents' grams need
+not go to its shards (README has the figures). Languages beyond the `MOST` with most trusted texts, or with
 fewer than `LEAST` held-out texts, use a model of all trusted text.
 
 Defined cases: a null or empty text is its end symbol alone; a null lang is a language of its own, without a model;
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from leafmill.llm import ngrams
 from leafmill.llm.common import cut
 
-ORDER, LIMIT, MOST, LEAST = 5, 500_000, 30, 20
+ORDER, MOST, LEAST = 5, 30, 20
 #: Held-out trusted texts below the threshold, and what it is widened by (perplexity is per byte).
 QUANTILE, SLACK = 0.95, 1.15
 #: A short text's perplexity is drawn to its language's mean as if by so many more bytes.
@@ -48,7 +48,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     by_tag = cut(ngrams.counts(learn, ORDER), "grams")
     pooled = by_tag.where(F.col("key") >= 1 << 56).select(F.col("key").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "n")
     every = by_tag.union(pooled).groupBy("key").agg(F.sum("n").alias("n"))
-    model = ngrams.kneser_ney(every, ORDER, LIMIT)
+    model = ngrams.kneser_ney(every, ORDER)
     rows = cut(ngrams.scores(texts.select("doc_id", "lang", "text", "tag", F.col("tag").alias("model"), F.xxhash64("text").alias("text_hash")), model), "scores")
     checked = rows.join(good, "doc_id", "left_semi").where(held)
     nats = -F.col("log10_prob") / F.log10(F.lit(2.0))

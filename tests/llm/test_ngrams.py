@@ -150,3 +150,11 @@ def test_empty_and_untrained(make_docs):
     row = lm_scoring.score(make_docs([(held, "a b")])).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0)
     assert row.score == pytest.approx(4 * -math.log10(256))
+
+
+def test_no_cap_on_contexts(make_docs):
+    """720,000 contexts of five letters, nearly all seen once: each symbol of a training text was seen after its context."""
+    rng = np.random.default_rng(9)
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5 != 1][:60]
+    rows = lm_scoring.score(make_docs([(k, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12_000))) for k in ids])).collect()
+    assert len(rows) == 60 and all(r.score > 12_001 * -0.35 for r in rows)
