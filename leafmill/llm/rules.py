@@ -1,8 +1,8 @@
 """Quality rules: base counts of a text, and how much of it is lines that many documents of its host share.
 
 All of it is DataFrame functions. Lines are normalised (case, white space), hashed, and counted once per distinct
-document and host; a line above the limits is removed, and a document that keeps too little is rejected. A document's
-identity in that count is its least other line, so that copies of one document count as one.
+document and host; a line above the limits is removed, and a document that keeps too little is rejected. Distinct
+documents are distinct texts; near copies among them are told by a signature over all their words.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated
 rows are judged alike; an empty table gives an empty result.
@@ -22,6 +22,9 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 MANY, SHARE = 10, 0.002
 #: A document is depleted if common lines hold more than this share of its words.
 DEPLETED = 0.7
+#: Words of a document, the least by hash, that are its signature: documents with over 7 % of their words of their own
+#: (0.93 ** (2 * 16) = 0.1) differ enough in it to count as more than ten.
+SIGNED = 16
 
 
 def words(text: Column) -> Column:
@@ -73,6 +76,7 @@ def counted(docs: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         F.xxhash64("text").alias("text_hash"),
+        F.xxhash64(F.slice(F.sort_array(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))), 1, SIGNED)).alias("signature"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -87,16 +91,14 @@ def counted(docs: DataFrame) -> DataFrame:
 def common_lines(rows: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
     """(source, h) of the lines above the limits.
 
-    Documents that share their least other line count as one document; and the documents must be diverse: of n, with
-    n_i for each identity, n ** 2 / sum(n_i ** 2) has to be above `many` too, so that near copies with a few changed
-    lines do not make their own lines common.
+    Copies of a text count as one; and the texts must be diverse: of n, with n_i for each signature, n ** 2 / sum(n_i ** 2)
+    has to be above `many` too, so that near copies with a few changed words do not make their own lines common. Documents
+    that share a block of lines have words of their own in their signatures.
     """
-    hashes = F.array_sort(F.array_distinct("lines.h"))
-    # get() gives null past the end: a document of one line has no other
-    each = rows.select("source", F.get(hashes, F.lit(0)).alias("m1"), F.get(hashes, F.lit(1)).alias("m2"), F.explode(F.array_distinct("lines.h")).alias("h"))
-    each = each.groupBy("source", "h", F.when(F.col("h") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("who")).agg(F.count("*").cast("double").alias("k"))
-    lines = each.groupBy("source", "h").agg(F.count("*").alias("docs"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("square"))
-    lines = lines.where((F.col("docs") > many) & (F.col("n") * F.col("n") > many * F.col("square")))
+    each = rows.select("source", "text_hash", "signature", F.explode(F.array_distinct("lines.h")).alias("h"))
+    each = each.groupBy("source", "h", "signature").agg(F.count_distinct("text_hash").cast("double").alias("k"))
+    lines = each.groupBy("source", "h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("square"))
+    lines = lines.where(F.col("n") * F.col("n") > many * F.col("square")).withColumn("docs", F.col("n"))
     hosts = rows.groupBy("source").agg(F.count("*").alias("rows"))
     return lines.join(hosts, lines["source"].eqNullSafe(hosts["source"])).where(F.col("docs") > F.col("rows") * share).select(lines["source"], "h")
 

@@ -42,5 +42,28 @@ def test_common_lines(make_docs):
     assert all(out[k].kept and out[k].removed_words == 0 for k in [*range(200, 250), *range(300, 350), *range(400, 403)])
 
 
+def test_blocks_of_common_lines(make_docs):
+    """Documents that share several lines are as many as they are, whatever their own lines are."""
+    shapes = [(5, 5), (5, 3), (10, 3), (2, 1)]
+    rows, want = [], {}
+    for host, (shared, own) in enumerate(shapes):
+        menu = [" ".join(f"h{host}m{i}x{j}" for j in range(10)) for i in range(shared)]
+        for k in range(200):
+            lines = [" ".join(f"h{host}d{k}x{i}x{j}" for j in range(10)) for i in range(own)]
+            rows.append((1000 * host + k, "\n".join(menu + lines), "en", f"host{host}"))
+            want[1000 * host + k] = 10 * shared
+    # many copies of one of them do not hide that the others are distinct
+    rows += [(9000 + k, rows[0][1], "en", "host0") for k in range(500)]
+    out = {r.doc_id: r.removed_words for r in rules.judge(make_docs(rows)).collect()}
+    assert {k: out[k] for k in want} == want
+
+
+def test_few_documents_with_a_block(make_docs):
+    menu = "\n".join(" ".join(f"menu{i}x{j}" for j in range(10)) for i in range(4))
+    rows = [(k, menu + "\n" + "\n".join(" ".join(f"d{k}x{i}x{j}" for j in range(10)) for i in range(4)), "en", "a") for k in range(12)]
+    assert all(r.removed_words == 40 for r in rules.judge(make_docs(rows)).collect())
+    assert all(r.removed_words == 0 for r in rules.judge(make_docs(rows[:10])).collect())
+
+
 def test_empty_table(make_docs):
     assert rules.judge(make_docs([])).count() == 0
