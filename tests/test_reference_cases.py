@@ -70,3 +70,30 @@ def test_loudness():
     wave = np.sin(np.arange(24_000) * 2 * np.pi * 440 / 24_000) * 0.5
     assert abs(reading.loudness(np.concatenate([wave, np.zeros(24_000)]), 24_000) - 0.5 / 2**0.5) < 0.01
     assert reading.loudness(np.zeros(1000), 24_000) == 0
+
+
+def test_page_titles_and_next_links():
+    from leafmill.operators import html
+
+    def link(body, url):
+        return html.next_link(html.parse(body), url)
+
+    here = "https://site.example/book/7/chapter-5"
+    assert link("<p>no link</p>", here) == "https://site.example/book/7/chapter-6"
+    assert link("<p>no link</p>", "https://site.example/read?page=3&x=1") == "https://site.example/read?page=4&x=1"
+    assert link('<a class="next" href="/book/7/chapter-9">2</a>', here) == "https://site.example/book/7/chapter-6"
+    assert link('<a rel="next" href="https://m.site.example/book/7/x">go</a>', here) == "https://m.site.example/book/7/x"
+    assert link('<a rel="next" href="/book/7/page/2">go</a>', "https://site.example/book/7") == "https://site.example/book/8"
+    assert link('<a rel="next" href="/br/?b=2&p=2">Next</a>', "https://site.example/br/?b=1&p=1") is None
+
+    def title(page):
+        root = html.parse(page)
+        return html.title(root, root.find(lambda n: n.tag == "article")[0])
+
+    text = "<article>text</article>"
+    assert title(f"<h1>Site</h1><div class='story'><h1>Story</h1>{text}</div>") == "Story"
+    assert title(f"<h1>Site</h1><h1 itemprop='name'>Named</h1>{text}") == "Named"
+    assert title(f"<h1>One <span class='category'><a rel='up'>Book</a></span></h1>{text}") == "One | Book"
+    crumbs = "".join(f"<span itemprop='name'>{x}</span>" for x in ("Lib", "Book", "Chapter 1"))
+    meta = "<meta property='og:title' content='Long line'><meta property='og:site_name' content='lib'>"
+    assert title(f"{meta}<div itemtype='https://schema.org/BreadcrumbList'>{crumbs}</div>{text}") == "Chapter 1 | Book"
