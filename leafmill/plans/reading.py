@@ -92,7 +92,7 @@ def l11_newest_version(spark, sf):
 
 @query()
 def q1_dialogue_parts(spark, sf):
-    quoted = F.concat(F.lit('He said: "'), F.substring("text", 1, 80), F.lit('!" and left.'))
+    quoted = F.concat(F.lit('He said: "'), "text", F.lit('!" and left.'))
     found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(reading.dialogue(quoted, F.lit("en"))).alias("p"))
     return found.select("conv_id", "turn", "p.*")
 

@@ -97,3 +97,12 @@ def test_page_titles_and_next_links():
     crumbs = "".join(f"<span itemprop='name'>{x}</span>" for x in ("Lib", "Book", "Chapter 1"))
     meta = "<meta property='og:title' content='Long line'><meta property='og:site_name' content='lib'>"
     assert title(f"{meta}<div itemtype='https://schema.org/BreadcrumbList'>{crumbs}</div>{text}") == "Chapter 1 | Book"
+
+
+def test_dialogue_of_whole_turns(spark, tmp_path):
+    from leafmill.plans.reading import q1_dialogue_parts
+
+    texts = ["short", "a long turn " * 30 + "ends here", None]
+    spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = {r.turn: (r.start, r.end) for r in q1_dialogue_parts(spark, str(tmp_path)).where("speech").collect()}
+    assert said == {k: (10, 10 + len(t) + 1) for k, t in enumerate(texts[:2])}
