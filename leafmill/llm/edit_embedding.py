@@ -210,26 +210,81 @@ def edited(docs: DataFrame) -> DataFrame:
 
 #: Bands of slots, slots in a band: texts whose slots agree in 0.8 meet in 32 bands of 8 with probability 0.997.
 BANDS, WIDTH, NEAR = 32, 8, 0.8
+#: Fingerprints of a band that are compared in one place; a larger band is cut into blocks and each pair of blocks compared.
+BLOCK = 2048
+
+
+def _forest(prints: list[str], near: float, split: int | None = None) -> list[tuple[str, str, float]]:
+    """Spanning forest of the pairs (a < b) with likeness near or more, the most alike first; with split, of the pairs
+    between the first split and the others."""
+    rows = np.frombuffer("".join(prints).encode(), np.uint8).reshape(len(prints), SLOTS)
+    found = []
+    for k in range(len(prints) if split is None else split):
+        start = k + 1 if split is None else split
+        same = (rows[start:] == rows[k]).mean(axis=1)
+        alike = np.maximum(0.0, (same - 1 / 16) / (15 / 16))
+        found += [(float(alike[i]), k, start + int(i)) for i in np.flatnonzero(alike >= near)]
+        if len(found) > 1 << 20:
+            found = _spanning(found, len(prints))
+    return [(min(prints[i], prints[j]), max(prints[i], prints[j]), x) for x, i, j in _spanning(found, len(prints))]
+
+
+def _spanning(edges: list[tuple[float, int, int]], n: int) -> list[tuple[float, int, int]]:
+    parent, out = list(range(n)), []
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, i, j in sorted(edges, key=lambda e: -e[0]):
+        a, b = root(i), root(j)
+        if a != b:
+            parent[a] = b
+            out.append((x, i, j))
+    return out
 
 
-def candidates(printed: DataFrame, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
+def candidates(printed: DataFrame, near: float = NEAR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(pairs, classes): verified pairs (a, b, likeness) of different fingerprints, and the rows with their class.
 
-    printed has doc_id and fingerprint; a class is a fingerprint, so copies are one and give no pairs. A band's pairs
-    are met through its least fingerprint: each member is verified against that one, and members that fail go on
-    without it until none is left; so a band of m alike members gives m pairs, not m squared, and all of it stay linked.
+    printed has doc_id and fingerprint; a class is a fingerprint, so copies are one and give no pairs. All members of a
+    band are compared, in pairs of blocks; each gives a spanning forest of its links, so a band of m alike members gives
+    about m pairs, not m squared, and all that are linked in it stay linked, through chains too.
     """
     classes = printed.select("doc_id", "fingerprint")
     prints = cut(classes.select("fingerprint").distinct(), "prints")
     perm = np.random.default_rng(17).permutation(SLOTS)
     picks = [F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", int(i) + 1, 1) for i in perm[k * WIDTH : (k + 1) * WIDTH]]) for k in range(BANDS)]
-    left, found = cut(prints.select("fingerprint", F.explode(F.array(*picks)).alias("band")), "bands"), None
-    same = F.udf(likeness, "double", useArrow=True)
-    while found is None or not left.isEmpty():
-        leader = left.groupBy("band").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = left.withColumnRenamed("fingerprint", "b").join(leader, "band").where("a != b")
-        scored = cut(met.withColumn("likeness", same("a", "b")), "met")
-        pairs = scored.where(F.col("likeness") >= near).select("a", "b", "likeness").distinct()
-        found = pairs if found is None else found.union(pairs).distinct()
-        left = scored.where(F.col("likeness") < near).select(F.col("b").alias("fingerprint"), "band")
-    return found, classes
+    banded = prints.select("fingerprint", F.explode(F.array(*picks)).alias("band"))
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    # a block meets every block of its band once: (i, j) with i <= j
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    dealt = banded.join(sizes, "band").withColumn("own", own).select("fingerprint", "band", "own", F.explode(meets).alias("pair")).select("fingerprint", "band", "own", "pair.*")
+
+    def run(batches):
+        held, key = [], None
+
+        def done():
+            if key[1] == key[2]:
+                edges = _forest([p for p, _ in held], near)
+            else:
+                held.sort(key=lambda x: x[1])
+                edges = _forest([p for p, _ in held], near, sum(o == key[1] for _, o in held))
+            cols = list(zip(*edges, strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["a", "b", "likeness"])
+
+        for batch in batches:
+            for fingerprint, band, o, i, j in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, i, j) != key:
+                    if held:
+                        yield done()
+                    held, key = [], (band, i, j)
+                held.append((fingerprint, o))
+        if held:
+            yield done()
+
+    grouped = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return cut(grouped.mapInArrow(run, "a string, b string, likeness double").distinct(), "pairs"), classes

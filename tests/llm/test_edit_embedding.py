@@ -135,3 +135,19 @@ def test_query_reads_whole_texts(make_docs, sample):
             assert r.near_edited > 0.25
     plain = [r.near_next for r in rows.values() if r.n_chars > 300 and r.doc_id > 9]
     assert np.median(plain) < 0.1
+
+
+def test_chains_stay_linked(spark):
+    """a is like b and b like c, which is not like a; and b and c share only bands that a, the least, is in too."""
+    bands = np.random.default_rng(17).permutation(ee.SLOTS).reshape(ee.BANDS, ee.WIDTH)
+    a = np.full(ee.SLOTS, "0")
+    b = a.copy()
+    b[bands[:4]] = "1"
+    c = b.copy()
+    c[bands[:4, 0]], c[bands[4:8, 1:]] = "2", "3"
+    prints = ["".join(x) for x in (a, b, c)]
+    assert ee.likeness(prints[0], prints[1]) >= ee.NEAR <= ee.likeness(prints[1], prints[2]) and ee.likeness(prints[0], prints[2]) < ee.NEAR
+    rows = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    assert {(r.a, r.b) for r in ee.candidates(rows)[0].collect()} == {(prints[0], prints[1]), (prints[1], prints[2])}
+    # as with blocks of one or two
+    assert {(r.a, r.b) for r in ee.candidates(rows, block=1)[0].collect()} == {(prints[0], prints[1]), (prints[1], prints[2])}
