@@ -6,7 +6,7 @@ from leafmill.llm import quality, rules
 from leafmill.llm.common import cut
 
 from .test_repeats import slow_bytes
-from .test_simhash import slow_components, slow_fingerprint
+from .test_simhash import slow_likeness
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,9 +22,13 @@ def test_stages(spark):
     assert two.columns == names and {r.doc_id for r in two.collect()} == {k for k, r in verdict.items() if r.kept}
     rows = two.orderBy("doc_id").collect()
     assert all(r.n_chars == len(r.text) for r in rows)
-    label = slow_components([slow_fingerprint(r.text) for r in rows])
     three = cut(cp.once(spark, two, SF))
-    assert three.columns == names and {r.doc_id for r in three.collect()} == {rows[i].doc_id for i in set(label)}
+    left = {r.doc_id for r in three.collect()}
+    assert three.columns == names and three.count() == len(left)
+    # texts that share 0.9 of their five-word shingles are one, those that share less than 0.6 are not
+    alike, apart = slow_likeness([r.text for r in rows], 0.9), slow_likeness([r.text for r in rows], 0.6)
+    kept = [i for i, r in enumerate(rows) if r.doc_id in left]
+    assert len({alike[i] for i in kept}) == len(kept) and {apart[i] for i in kept} == set(apart)
     four = cut(cp.without_repeats(spark, three, SF))
     assert four.columns == names
     source, out = three.orderBy("doc_id").collect(), four.orderBy("doc_id").collect()
