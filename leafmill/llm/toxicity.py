@@ -1,24 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries hold the same ordinary text, and beside it one has toxic and one more ordinary words. A
-window of `WINDOW` words is compressed with both; what the toxic one saves is the window's distance. Windows above a
-calibrated threshold, the largest distances and their number go through a logistic curve fitted on labelled texts that
-the dictionaries have not seen.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of `WINDOW` words is compressed
+with both; the bytes that the toxic one saves are the window's distance. Windows at or above calibrated thresholds, those
+that few ordinary windows reach, and the mean distance go through a logistic curve to the text's score.
 
-Which words are toxic: those whose beginnings stand after many different words in toxic texts and hardly in ordinary
-ones (different words before them, not counts, so that copies of one text say little).
+What makes short windows comparable:
 
-Fitting uses at most `SAMPLE` labelled texts of each class, those with the least hash of doc_id, of at most `LONGEST`
-characters; scoring uses every window of every text.
+* Both dictionaries end with the same base, trained on ordinary text, and begin with the same entropy tables. What any
+  text has is then as cheap with either, and they differ in the part of `OWN` bytes that each class trains for itself.
+* Most windows of a toxic text are ordinary. After the first training the own parts are trained again, `ROUNDS` times in
+  all, on the windows that the last dictionaries told apart. A text is always measured by dictionaries trained without
+  it (`PARTS` parts), so that they do not find what they hold by heart; the round that explains the labels best is kept.
 
-Defined cases: a null or empty text is one empty window; repeated rows score alike; without toxic labels every score is
-0; labels, lang, source and doc_id never enter a score; an empty table gives an empty result.
+Fitting uses at most `SAMPLE` different labelled texts of each class, those with the least hash, and of each at most
+`SPREAD` windows, evenly spread over the whole text; scoring uses every window of every text.
+
+Defined cases: a null or empty text is one empty window; repeated rows score alike; of an id's rows the text with the
+least hash is learnt from; with fewer than `LEAST` texts of a class to learn from, or too little text to train on, every
+score is 0; labels, lang, source and doc_id never enter a score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,18 +30,15 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import key_text, slices
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE, LONGEST = 4000, 8000
-#: Words of a window; bytes of ordinary and of toxic text in a dictionary; beginnings of words that are compared.
-WINDOW, SHARED, OWN, BEGIN = 1, 4096, 4096, (5, 6, 7, 8, 9)
-#: Words that stand for a beginning.
-ENDINGS = 40
-#: Windows whose distance a worker keeps.
-CACHE_WINDOWS = 300_000
-#: A beginning is toxic with so many different words before it, and so many times those in ordinary text
-#: (RATIO times what the numbers of texts lead one to expect).
-CONTEXTS, LEAST_RATIO, RATIO = 6, 3, 25
-#: Bytes that every window ends with, so that even a short one makes a compressed block.
-TAIL = 64
+#: Texts of a class that are learnt from, windows of each, and texts below which nothing is learnt.
+SAMPLE, SPREAD, LEAST = 2000, 256, 20
+#: Words of a window; bytes of the dictionaries' common base and of their own parts, and of their segments.
+WINDOW, BASE, OWN, BASE_SEGMENT, SEGMENT = 6, 200_000, 4096, 24, 10
+#: Windows that one training reads.
+TRAIN = 40_000
+PARTS, ROUNDS = 4, 2
+#: Shares of ordinary windows below the thresholds, and below what makes a window worth training on again.
+QUANTILES, TOLD_TOXIC, TOLD_ORDINARY = (0.98, 0.995, 0.999), 0.98, 0.8
 PREDICT = 0.7
 
 
@@ -51,142 +51,172 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(0, len(w), size)] or [b""]
 
 
+def spread(found: list, most: int = SPREAD) -> list:
+    return found if len(found) <= most else [found[i * len(found) // most] for i in range(most)]
+
+
+# The offsets that end the entropy tables of a trained dictionary.
+TABLES_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+
+
+def trained(samples: list[bytes], size: int, segment: int, seed: int) -> tuple[bytes, bytes] | None:
+    """(entropy tables, content) of a dictionary trained on samples; None where there is too little of them."""
+    import zstandard as z
+
+    if len(samples) > TRAIN:
+        samples = [samples[i] for i in np.sort(np.random.default_rng(seed).choice(len(samples), TRAIN, replace=False))]
+    try:
+        whole = z.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except z.ZstdError:
+        return None
+    at = whole.find(TABLES_END) + len(TABLES_END)
+    return whole[:at], whole[at:]
+
+
 def compressor(content: bytes):
     import zstandard as z
 
-    how = z.ZstdCompressionParameters(min_match=5, strategy=z.STRATEGY_DFAST, window_log=16, hash_log=14, chain_log=14, write_content_size=False, write_checksum=False, write_dict_id=False)
-    words = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+    how = z.ZstdCompressionParameters(
+        window_log=17, chain_log=17, hash_log=16, search_log=4, min_match=3, target_length=32, strategy=z.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    words = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_FULLDICT)
     words.precompute_compress(compression_params=how)
     return z.ZstdCompressor(dict_data=words, compression_params=how).compress
 
 
-def beginnings(texts: list[bytes]) -> dict[bytes, int]:
-    """Different words that stand before each beginning of a word."""
-    before: dict[bytes, set[bytes]] = {}
-    for text in set(texts):
-        words = [b" " + w for w in text.lower().split()]
-        for p, w in zip([b"", *words], words, strict=False):
-            for n in BEGIN:
-                before.setdefault(w[:n], set()).add(p)
-    return {w: len(p) for w, p in before.items()}
-
-
-def some_words(texts: list[bytes], size: int, seed: int) -> bytes:
-    rng = np.random.default_rng(seed)
-    out: list[bytes] = []
-    while texts and sum(map(len, out)) < size:
-        words = texts[rng.integers(len(texts))].split() or [b"-"]
-        out += [b" " + words[i][:40] for i in rng.integers(len(words), size=4)]
-    return b"".join(out)[:size]
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, bytes] | None:
-    """(tail, ordinary content, toxic content)."""
-    many, few = beginnings(toxic), beginnings(ordinary)
-    share = len(toxic) / max(1, len(ordinary))
-    marks = {w for w, n in many.items() if n >= CONTEXTS and n > max(LEAST_RATIO, RATIO * share) * (few.get(w, 0) + 1)}
-    marks = {w for w in marks if not any(w[:n] in marks for n in BEGIN if n < len(w))}
-    endings: dict[bytes, Counter] = {}
-    for text in set(toxic):
-        for w in (b" " + w for w in text.split() if len(w) < 40):
-            mark = next((m for n in BEGIN if (m := w[:n].lower()) in marks), None)
-            if mark:
-                endings.setdefault(mark, Counter())[w] += 1
-    if not endings:
-        return None
-    ranked = sorted(endings.items(), key=lambda x: (-x[1].total(), x[0]))
-    chosen = [w for _, c in ranked for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:ENDINGS]]
-    own = b"".join(chosen)[:OWN]
-    base = some_words(ordinary, SHARED, 1)
-    tail = base[:TAIL]
-    return tail, base + some_words(ordinary, len(own), 2) + tail, base + own + tail
-
-
 class Distance:
-    def __init__(self, tail: bytes, ordinary: bytes, toxic: bytes, threshold: int = 4):
-        self.tail, self.threshold = tail, threshold
-        self.ordinary, self.toxic = compressor(ordinary), compressor(toxic)
-        self.kept: dict[bytes, int] = {}
-
-    def savings(self, text: bytes) -> np.ndarray:
-        kept, found = self.kept, windows(text)
-        try:
-            return np.array([kept[w] for w in found])
-        except KeyError:
-            if len(kept) > CACHE_WINDOWS:
-                kept.clear()
-            for w in found:
-                if w not in kept:
-                    kept[w] = len(self.ordinary(w + self.tail)) - len(self.toxic(w + self.tail))
-            return np.array([kept[w] for w in found])
-
-    def features(self, text: bytes) -> list[float]:
-        s = np.sort(self.savings(text))[::-1]
-        top = [*s[:3].tolist(), -5, -5, -5]
-        over = int((s >= self.threshold).sum())
-        return [top[0], sum(top[:2]) / 2, sum(top[:3]) / 3, np.log(len(s)), over / len(s), over**0.5, int((s >= self.threshold + 2).sum()) ** 0.5]
+    """Windows' distances by two dictionaries, (tables, base, toxic part, ordinary part)."""
 
+    def __init__(self, tables: bytes, base: bytes, toxic: bytes, ordinary: bytes):
+        self.toxic, self.ordinary = (compressor(tables + own + base) for own in (toxic, ordinary))
 
-_distances: dict[tuple, Distance] = {}
+    def of(self, found: list[bytes]) -> np.ndarray:
+        toxic, ordinary = self.toxic, self.ordinary
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in found])
 
 
-def shared_distance(content: tuple[bytes, bytes, bytes], threshold: int) -> Distance:
-    """One for each worker, so that later tasks find what it keeps."""
-    if (content, threshold) not in _distances:
-        _distances.clear()
-        _distances[content, threshold] = Distance(*content, threshold)
-    return _distances[content, threshold]
+def features(s: np.ndarray, thresholds: list[int]) -> list[float]:
+    over = [(s >= t).sum() for t in thresholds]
+    return [s.mean(), np.log(len(s)), *(min(30 * x / len(s), 4) for x in over), *(x**0.5 for x in over), min(s.max(), 2 * thresholds[-1])]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights, the constant first; Newton's method."""
     x, w = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """(dictionaries, threshold, mean, scale, weights), or None without toxic words to learn."""
+def probability(x: np.ndarray, mean, scale, weights) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), (x - mean) / scale] @ weights, -30, 30)))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """(windows of each text, labels, how many labelled texts each stands for), in the order of the texts' hashes."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id", F.lit(4))
-    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
-    texts = rows.column("text").cast(pa.binary()).to_pylist()
-    y = np.array(rows.column("toxic").to_pylist(), int)
-    half = np.arange(len(texts)) % 2 == 0
-    parts = [(np.flatnonzero(half), np.flatnonzero(~half)), (np.flatnonzero(~half), np.flatnonzero(half))]
-    pick = lambda at, kind: [texts[i] for i in at if y[i] == kind]
-    content = dictionaries(pick(range(len(texts)), 1), pick(range(len(texts)), 0))
-    halves = [(dictionaries(pick(a, 1), pick(a, 0)), b) for a, b in parts]
-    if content is None or any(d is None or not 0 < y[b].sum() < len(b) for d, b in halves):
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    texts = rows.groupBy("doc_id").agg(F.min("th").alias("th")).join(known, "doc_id").groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}  # one row a class
+    order = F.xxhash64("th", F.lit(4))
+    chosen = texts.where("toxic = 1").orderBy(order, "th").limit(most).union(texts.where("toxic = 0").orderBy(order, "th").limit(most))
+
+    def run(batches):
+        for batch in slices(batches, column="text"):
+            found = [spread(windows(t)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["th", "toxic", "found"])
+
+    text = F.coalesce("text", F.lit(""))
+    # 2 * most rows at most: each has one id and one text, and repeated rows fall to one
+    wanted = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")).join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["th"])
+    got = wanted.select("th", "toxic", "text").mapInArrow(run, "th long, toxic int, found array<binary>").toArrow().sort_by("th")
+    y = np.array(got.column("toxic").to_pylist(), int)
+    each = {c: sizes[c] / max(1, (y == c).sum()) for c in sizes}
+    return got.column("found").to_pylist(), y, np.array([each[c] for c in y])
+
+
+def fit(found: list[list[bytes]], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, parts: int = PARTS):
+    """(dictionaries, thresholds, curve), or None without enough to learn from."""
+    if min((y == 1).sum(), (y == 0).sum()) < LEAST:
+        return None
+    part = np.zeros(len(y), int)
+    for c in (0, 1):
+        part[y == c] = np.arange((y == c).sum()) % parts
+    base = trained([w for f, c in zip(found, y, strict=True) if not c for w in f], BASE, BASE_SEGMENT, 1)
+    if base is None:
         return None
-    # each half is measured with what the other half teaches
-    plain = np.concatenate([Distance(*d).savings(texts[i]) for d, b in halves for i in [i for i in b if not y[i]][:300]])
-    threshold = max(2, int(np.quantile(plain, 0.995)))  # one ordinary window in 200 reaches it
-    x = np.zeros((len(texts), 7))
-    for d, b in halves:
-        distance = Distance(*d, threshold)
-        x[b] = [distance.features(texts[i]) for i in b]
+    tell: list[list[bytes]] = list(found)  # the windows of each text that are trained on
+    best, least = None, np.inf
+    for _ in range(rounds):
+        own = []
+        for p in range(parts + 1):  # the last has all parts
+            both = [trained([w for i in np.flatnonzero((y == c) & (part != p)) for w in tell[i]], OWN, SEGMENT, 2 + c) for c in (1, 0)]
+            own.append(None if None in both else (*base, both[0][1], both[1][1]))
+        if None in own:
+            break
+        distances = [Distance(*x) for x in own[:parts]]
+        s = [distances[p].of(f) for f, p in zip(found, part, strict=True)]
+        plain = np.concatenate([x for x, c in zip(s, y, strict=True) if not c])
+        thresholds = [max(1, int(np.quantile(plain, QUANTILES[0])))]
+        for q in QUANTILES[1:]:
+            thresholds.append(max(thresholds[-1] + 1, int(np.quantile(plain, q))))
+        x = np.array([features(a, thresholds) for a in s])
+        fitted = curve(x, y, weight)
+        p = np.clip(probability(x, *fitted), 1e-6, 1 - 1e-6)
+        loss = -(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum()
+        if loss < least:
+            best, least = (own[parts], thresholds, fitted), loss
+        low = (max(1, np.quantile(plain, TOLD_TOXIC)), np.quantile(plain, TOLD_ORDINARY))
+        tell = [[w for w, d in zip(f, a, strict=True) if d >= low[1 - c]] for f, a, c in zip(found, s, y, strict=True)]
+    return best
+
+
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray):
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    return content, threshold, mean, scale, logistic((x - mean) / scale, y)
+    return mean, scale, logistic((x - mean) / scale, y, weight)
+
+
+_distances: dict[tuple, Distance] = {}
+
+
+def shared_distance(dictionaries: tuple[bytes, ...]) -> Distance:
+    """One for each worker, so that later tasks find it made."""
+    if dictionaries not in _distances:
+        _distances.clear()
+        _distances[dictionaries] = Distance(*dictionaries)
+    return _distances[dictionaries]
+
+
+def scores(texts: list[bytes], model) -> np.ndarray:
+    distance = shared_distance(model[0])
+    return probability(np.array([features(distance.of(windows(t)), model[1]) for t in texts]), *model[2])
+
+
+def score(self, texts: list[bytes]) -> np.ndarray:
+        return probability(np.array([self.features(t) for t in texts]), *self.curve)
+
+
+_scorers: dict[bytes, Scorer] = {}
+
+
+def shared_scorer(model) -> Scorer:
+    """One for each worker, so that later tasks find it made."""
+    key = b"".join(b"".join(d) for d, _ in model[0])
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    model = fit(docs, labels)
+    model = fit(*sample(docs, labels))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        distance = shared_distance(model[0], model[1]) if model else None
         for batch in slices(batches):
-            if model:
-                x = np.array([distance.features(t) for t in batch.column(1).cast(pa.binary()).to_pylist()])
-                z = np.c_[np.ones(len(x)), (x - model[2]) / model[3]] @ model[4]
-                got = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            else:
-                got = np.zeros(batch.num_rows)
+            got = scores(batch.column(1).cast(pa.binary()).to_pylist(), model) if model else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "score"])
 
     scored = key_text(docs).mapInArrow(run, f"doc_id {kind}, score double")
