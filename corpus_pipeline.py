@@ -47,8 +47,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    chosen = simhash.representatives(simhash.near_duplicates(docs))
+    """One document of each group of near copies: five-word shingles, 0.8 of them shared or more."""
+    chosen = simhash.representatives(simhash.near_copies(docs))
     marked = _marked(docs)
     kept = marked.join(chosen, _same(marked, chosen), "left_semi")
     # rows that share id and text stand together after the join
