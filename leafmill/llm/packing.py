@@ -22,8 +22,6 @@ from pyspark.sql.window import Window
 from leafmill.llm.common import cut, key_text, slices
 
 CAPACITY, END_ID = 1024, 2
-#: Salts for ranks: a length that a third of all pieces have is ranked in so many parts.
-SALTS = 256
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 800_000
 
@@ -37,7 +35,8 @@ class WordIds:
     """ids of whole texts by a byte-level BPE file of `tokenizers`, with the ids of words kept.
 
     The vocabulary's pattern never joins a word to what precedes a lone space or line feed, so a text without other
-    white space is the sequence of its words; any other text goes through the library whole. New words are encoded
+    white space is the sequence of its words; any other text, and one with a special token, goes through the library
+    whole. New words are encoded
     from the same file's vocabulary by tiktoken, which has less to do for each.
     """
 
@@ -47,11 +46,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # byte-level vocabularies write a byte as itself where printable, else as the next letter from U+0100
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = tuple(special)
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
         self.word = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kept: dict[str, bytes] = {}
@@ -65,7 +64,7 @@ class WordIds:
         for text in texts:
             # a kept word has a space before it unless it begins with a line feed
             words = text.replace("\n", " \n").split(" ")
-            if _tangled(text, words):
+            if _tangled(text, words) or any(token in text for token in self.special):
                 out.append(self._whole(text))
                 continue
             first = array("I", self.word(words[0])).tobytes()
@@ -151,23 +150,46 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def numbered(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """parts with _task and _rank: a piece's place among those of its length in its task.
+
+    A length's pieces are thus ranked where they are made, however many they are, and whatever rows are alike.
+    """
+    names, at = parts.columns, parts.columns.index("length")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        seen, task = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            length = batch.column(at).to_numpy()
+            order = np.argsort(length, kind="stable")
+            sizes = np.bincount(length, minlength=capacity + 1)
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(seen, sizes)
+            seen += sizes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], names=[*names, "_task", "_rank"])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in parts.dtypes), "_task int, _rank long"])
+    return parts.mapInArrow(run, schema)
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts, which has `length`, with sequence_id and offset."""
     spark = parts.sparkSession
-    salted = cut(parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)).cast("int")), "pieces")
-    by_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    base = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    # capacity * salts rows at most
-    before = by_salt.withColumn("_before", F.coalesce(F.sum("n").over(base), F.lit(0))).drop("n")
-    counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    ranked = cut(numbered(parts, capacity), "pieces")
+    by_task = ranked.groupBy("length", "_task").agg(F.count("*").alias("n"))
+    base = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each length and task: small, but it grows with the tasks, so the engine chooses how to join it
+    before = by_task.withColumn("_before", F.coalesce(F.sum("n").over(base), F.lit(0))).drop("n")
+    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     ranges = plan(counts, capacity)
     slots = spark.createDataFrame(
         [(length, [(a, b, s, e, o) for x, a, b, s, e, o in ranges if x == length]) for length in sorted(counts)],
         "length long, _slots array<struct<first: long, last: long, sequence: long, each: long, offset: long>>",
     )
-    in_salt = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(in_salt) - 1).join(F.broadcast(before), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).join(F.broadcast(slots), "length")
+    ranked = ranked.join(before, ["length", "_task"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = ranked.join(F.broadcast(slots), "length")  # capacity rows at most
     slot = F.filter("_slots", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["last"]))[0]
     at = F.col("_rank") - F.col("_slot.first")
     return (

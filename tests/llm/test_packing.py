@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafmill.llm import packing
@@ -68,5 +69,30 @@ def test_plan_is_best_fit(seed):
     assert len(filled) <= len(rooms) + 1
 
 
+def test_special_tokens_are_as_the_library_has_them(make_docs):
+    """The file as loaded, no flag set: a special token in a text is its id, wherever it stands."""
+    texts = ["hello <|endoftext|> there", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n y", "<|endoftext", "plain words"]
+    t = Tokenizer.from_file(PATH)
+    want = {k: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for k, x in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in packing.pieces(make_docs(texts), PATH).collect()} == want
+    assert 50256 in t.encode(texts[1], add_special_tokens=False).ids
+
+
+def test_equal_rows_and_lengths(make_docs):
+    """Rows equal in all columns, ties of length, null ids and clashing names of columns; one very long text."""
+    rows = [(7, "same words here")] * 900 + [(None, None)] * 50 + [(1, "long text " * 120_000)] + [(k, f"tie {k % 9}") for k in range(300)]
+    docs = make_docs(rows).withColumnsRenamed({"lang": "piece", "source": "sequence_id"}).withColumn("_rank", F.lit("x")).repartition(5)
+    out = packing.pack(packing.pieces(docs, PATH)).collect()
+    places = {(r.sequence_id, r.offset) for r in out}
+    by_seq = {}
+    for r in out:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(places) == len(out) and sum(r.piece == 0 for r in out) == len(rows)
+    for parts in by_seq.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    assert len(by_seq) <= -(-sum(r.length for r in out) // 1024) + 2
+
+
 def test_empty_table(make_docs):
     assert packing.pack(packing.pieces(make_docs([]), PATH)).count() == 0
