@@ -12,7 +12,12 @@ symbols. Phrases make up the dictionary (trigger string, content), their places
   that depth), which tells just which windows they share.
 
 No step brings the places of one string together: counts are map-side combined, and places meet their verdict in a
-join. A trigger string with more than `WIDE` different phrases is compared by rows of window hashes instead.
+join. A trigger string with more than `WIDE` different phrases is compared by rows of window hashes instead, with the
+same result.
+
+Defined cases: a null text is an empty one, without phrases; a null doc_id is the smallest; rows equal in doc_id and text
+are told apart where they count as other places (`ordered` is False), and are one where they do not; an empty table gives
+empty ones.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from leafmill.llm.common import cut, merged, raw
 BASE, FOLD, MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9))
 #: Symbols handled at once, and windows of one text that are searched together.
 STEP = 2 << 20
-#: Phrases of one trigger string that are compared in one place.
-WIDE = 16_384
+#: Phrases of one trigger string that are compared in one place; more of them are compared by rows, see `shared_wide`.
+WIDE = 1024
 #: A null doc_id comes first.
 NO_ID = -(1 << 63)
 
@@ -52,10 +57,10 @@ class Kind:
 
 def rolling(symbols: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k symbols from each place; k is a power of two."""
-    h, m, base = symbols, 1, BASE
+    h, m, base = symbols, 1, int(BASE)
     while m < k:
-        h = h[:-m] * base + h[m:]
-        m, base = 2 * m, base * base
+        h = h[:-m] * np.uint64(base) + h[m:]
+        m, base = 2 * m, base * base % (1 << 64)
     h = (h ^ (h >> np.uint64(32))) * MIX
     return h ^ (h >> np.uint64(29))
 
@@ -186,7 +191,8 @@ SHARED = "kmer long, content long, parts array<struct<a: int, b: int>>"
 def shared(spans: DataFrame, kind: Kind) -> DataFrame:
     """(kmer, content, parts): the windows [a, b) of a phrase that it shares with others of its trigger string.
 
-    spans has kmer, content, n, first_id and span (its symbols, 8 bytes each, or its bytes).
+    spans has kmer, content, n, first_id and span (its symbols, 8 bytes each, or its bytes); a phrase that comes twice
+    counts once.
     """
     dtype = np.uint64 if kind.ordered else np.uint8
 
@@ -203,6 +209,8 @@ def shared(spans: DataFrame, kind: Kind) -> DataFrame:
         done, group, size = [], [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[-1][:2] == row[:2]:
+                    continue  # a phrase counts once
                 if group and group[-1][0] != row[0]:
                     done.extend(group)
                     group = []
@@ -216,7 +224,11 @@ def shared(spans: DataFrame, kind: Kind) -> DataFrame:
 
     arr_size = np.dtype(dtype).itemsize
     chosen = spans.select("kmer", "content", "n", "first_id", "span")
-    return chosen.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(run, SHARED)
+    return chosen.repartition(partitions(spans), "kmer").sortWithinPartitions("kmer", "content").mapInArrow(run, SHARED)
+
+
+def partitions(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def shared_wide(spans: DataFrame, kind: Kind) -> DataFrame:
@@ -284,8 +296,8 @@ def spans_of(classes: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kmer", "content", "n", "first_id", "span"])
 
-    joined = packed(texts).join(wanted, PLACE).select("z", "want")
-    # rows equal in id and text give the same phrases again, which the ranks must count once
+    # rows equal in id and text would give the same phrases again, and all to one place
+    joined = packed(texts).join(wanted, PLACE).dropDuplicates(PLACE).select("z", "want")
     return joined.mapInArrow(run, "kmer long, content long, n int, first_id long, span binary")
 
 
@@ -293,7 +305,10 @@ def verdicts(found: DataFrame, texts: DataFrame, kind: Kind, wide: int = WIDE) -
     """(repeated phrases' places, their dictionary): the dictionary has c places, first_id and parts for each phrase."""
     often = found.groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer")
     # written, so that both sides of the join are plain shuffles and a trigger string's many places can be split
-    again = cut(found.join(cut(often, "often"), "kmer"), "again")
+    again = found.join(cut(often, "often"), "kmer")
+    if kind.ordered:
+        again = again.dropDuplicates(["id", "th", "s"])
+    again = cut(again, "again")
     place = F.struct("id", "th", "s", "n")
     classes = again.groupBy("kmer", "content").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     classes = cut(classes.select("kmer", "content", "c", F.col("first.id").alias("first_id"), "first.*"), "dictionary")
@@ -309,8 +324,7 @@ def verdicts(found: DataFrame, texts: DataFrame, kind: Kind, wide: int = WIDE) -
 def covered(again: DataFrame, dictionary: DataFrame, kind: Kind) -> DataFrame:
     """(id, th, spans): the places [a, b) of each text that windows which count cover, not yet joined up."""
     rows = again.select("id", "th", "s", "n", "kmer", "content").join(dictionary, ["kmer", "content"])
-    whole = F.col("id") > F.col("first_id") if kind.ordered else F.col("c") > 1
-    parts = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("parts"))
+    parts = F.when(F.col("c") > 1, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("parts"))
     rows = rows.select("id", "th", "s", F.explode(parts).alias("p"))
     span = F.struct((F.col("s") + F.col("p.a")).alias("a"), (F.col("s") + F.col("p.b") - 1 + kind.length).alias("b"))
     return rows.select("id", "th", span.alias("span")).distinct().groupBy("id", "th").agg(F.collect_list("span").alias("spans"))
@@ -327,13 +341,10 @@ def union(spans) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(docs: DataFrame, kind: Kind, compact: Callable | None = None) -> DataFrame:
+def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """(id, th, spans) for the texts of docs that have repeated windows."""
     texts = keyed(docs)
-    again, dictionary = verdicts(cut(phrases(texts, kind), "phrases"), texts, kind)
-    if compact:
-        again, dictionary = compact(again, dictionary)
-    return covered(again, dictionary, kind)
+    return covered(*verdicts(cut(phrases(texts, kind), "phrases"), texts, kind), kind)
 
 
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import repeats, suffix_dedup, word_dedup
 
@@ -99,3 +100,53 @@ def test_long_text_in_parts(monkeypatch):
     flat = np.random.default_rng(0).integers(0, 9, 5000).astype(np.uint64)
     seen = [(t, s, len(p)) for p, o, t, s in repeats.chunks(flat, np.array([0, 100, 4700, 4710, 5000]), 200)]
     assert [x[:2] for x in seen] == [(0, 0), (1, 0), (1, 1000), (1, 2000), (1, 3000), (1, 4000), (2, 0)]
+
+
+def test_words_are_compared_at_their_places(make_docs):
+    """Two words with one hash make equal symbols; the digests of the words themselves tell the places apart."""
+    import pyarrow as pa
+
+    def weak(column):
+        texts = [t.replace(b"minus", b"plus") for t in column.cast(pa.binary()).to_pylist()]
+        return repeats.word_symbols(pa.array(texts, pa.binary()))
+
+    text = " ".join(f"w{i}" for i in range(60)) + " plus " + " ".join(f"v{i}" for i in range(60))
+    docs = make_docs([(1, text), (2, text.replace("plus", "minus")), (3, text)])
+    out = {r.doc_id: r.n_removed for r in word_dedup.dedup(docs, repeats.Kind(weak, length=50, k=16, ordered=True)).collect()}
+    assert out == {1: 0, 2: 0, 3: 121}
+
+
+def test_paths_decide(make_docs, sample):
+    """Copies of one text are one path, or one for each place where paths are broken, and each has several places."""
+    text = " ".join(f"w{i}" for i in range(2000))
+    docs = make_docs([(k, text) for k in range(5)] + [(9, "other " * 10)])
+    texts = repeats.keyed(docs)
+    again, dictionary = repeats.verdicts(repeats.phrases(texts, word_dedup.WORDS), texts, word_dedup.WORDS)
+    merged = word_dedup.paths(again, dictionary).collect()
+    assert len(merged) % 5 == 0 and len(merged) < again.count() / 3
+    sources = word_dedup.verified(word_dedup.paths(again, dictionary), texts, word_dedup.WORDS).collect()
+    assert {(r.kmer, r.content) for r in merged} == {(r.kmer, r.content) for r in sources} and {r.first_id for r in sources} == {0}
+
+
+def test_many_equal_rows_are_one_phrase(make_docs):
+    """A text in many rows without an id, and two variants of it: few phrases come to one place."""
+    base = " ".join(f"word{i}" for i in range(120))
+    rows = [(None, base)] * 300 + [(1, base.replace("word60", "x")), (2, base.replace("word61", "y"))]
+    docs = make_docs(rows)
+    for kind in (suffix_dedup.BYTES, word_dedup.WORDS):
+        texts = repeats.keyed(docs)
+        found = repeats.phrases(texts, kind)
+        again, dictionary = repeats.verdicts(found, texts, kind)
+        classes = again.groupBy("kmer", "content").agg(F.min(F.struct("id", "th", "s", "n")).alias("first")).select("kmer", "content", F.col("first.id").alias("first_id"), "first.*")
+        spans = repeats.spans_of(classes, texts, kind)
+        assert spans.groupBy("kmer").count().agg({"count": "max"}).first()[0] <= 6
+
+
+def test_very_long_text(make_docs):
+    text = " ".join(f"n{i % 90_001}" for i in range(200_000))
+    assert len(text) > 1_000_000
+    docs = make_docs([(1, text), (2, "short"), (3, text[500_000:700_000])]).withColumnsRenamed({"lang": "kmer", "source": "content"})
+    out = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(suffix_dedup.dedup(docs)).collect()}
+    assert [out[k] for k in (1, 2, 3)] == slow_bytes([text, "short", text[500_000:700_000]])
+    out = {r.doc_id: tuple(r)[1:] for r in word_dedup.digests(word_dedup.dedup(docs)).collect()}
+    assert [out[k] for k in (1, 2, 3)] == slow_words([(1, text), (2, "short"), (3, text[500_000:700_000])])
