@@ -1,8 +1,11 @@
 """Byte n-grams: counts over a corpus, models with back-off weights, and scores of whole texts.
 
 A text is its bytes and one end symbol (0), after `order - 1` symbols 0. A gram of o symbols is the number whose lowest
-byte is its last symbol, with a model's number (tag) in bits 56-60 and o in bits 61-63. A model is a set of grams with
+byte is its last symbol, with a model's number (tag) in bits 48-60 and o in bits 61-63. A model is a set of grams with
 log10 probability and back-off weight: an unseen gram costs its context's weight and goes on in the shorter context.
+
+Defined cases: an empty text is its end symbol; a byte 0 in a text is the same symbol as an end; a model of no text at all
+gives every symbol 1 / 256; rows that repeat count as often as they come.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut, merged, raw, shared_path, slices
 
-MAX_ORDER, MAX_TAGS = 7, 31
-_TAG, _ORDER = 56, 61
+MAX_ORDER, MAX_TAGS = 6, (1 << 13) - 1
+_TAG, _ORDER = 48, 61
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SCATTER = np.uint64(0x9E3779B97F4A7C15)
@@ -167,24 +170,33 @@ def ppm(top: DataFrame, order: int, limit: int | None = None) -> Table:
 
 
 def kneser_ney(top: DataFrame, order: int, limit: int | None = None) -> Table:
-    """Interpolated modified Kneser-Ney; with a `limit`, contexts rarer than their order's threshold (see `ppm`) are left out.
+    """Interpolated modified Kneser-Ney, each tag with discounts of its own; with a `limit`, contexts rarer than their order's
+    threshold (see `ppm`) are left out.
 
     Lower orders count the different symbols before a gram, totals are counted by context.
     """
     levels = by_order(top, order, distinct=True)
     least = dict.fromkeys(range(1, order + 1), 1) if limit is None else thresholds(levels, order, limit)
-    discounts = {}
+    discounts = {}  # by order: a row for each tag
+    tag = F.shiftright("key", _TAG).bitwiseAND(F.lit(MAX_TAGS)).cast("int")
     for o in range(1, order + 1):
-        r = {x["n"]: x["m"] for x in levels[o].where("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
-        y = r.get(1, 0) / max(1, r.get(1, 0) + 2 * r.get(2, 0))
-        discounts[o] = np.array([0] + [min(k, max(0.0, k - (k + 1) * y * r.get(k + 1, 0) / r[k])) if r.get(k) else 0.5 * k for k in (1, 2, 3)])
+        found = levels[o].where("n <= 4").groupBy(tag.alias("tag"), "n").agg(F.count("*").alias("m")).collect()  # four rows a tag at most
+        r = np.zeros((max([x["tag"] for x in found], default=0) + 1, 5))
+        for x in found:
+            r[x["tag"], x["n"]] = x["m"]
+        y = r[:, 1] / np.maximum(1, r[:, 1] + 2 * r[:, 2])
+        each = np.zeros((len(r), 4))
+        for k in (1, 2, 3):
+            each[:, k] = np.where(r[:, k] > 0, np.clip(k - (k + 1) * y * r[:, k + 1] / np.maximum(1, r[:, k]), 0, k), 0.5 * k)
+        discounts[o] = each
 
     def solve(o, key, r, n, lower):
         ctx, firsts, runs = _runs(key, o)
         keep = np.repeat(np.add.reduceat(r, firsts) >= least[o], runs) if len(n) else np.zeros(0, bool)
         key, n = key[keep], n[keep]
         ctx, firsts, runs = _runs(key, o)
-        each = discounts[o][np.minimum(n, 3)]
+        tags = np.minimum((key >> np.uint64(_TAG)).astype(np.int64) & MAX_TAGS, len(discounts[o]) - 1)
+        each = discounts[o][tags, np.minimum(n, 3)]
         t, gamma = (np.add.reduceat(x.astype(float), firsts) if len(n) else np.zeros(0) for x in (n, each))
         gamma = gamma / t
         before = 1 / 256 if o == 1 else lower[1][np.searchsorted(lower[0], _shorter(key, o - 1))]
@@ -204,8 +216,8 @@ def _runs(key, order):
 def _model(top: DataFrame, order: int, short: dict[int, DataFrame], solve, distinct: bool) -> Table:
     """The model's table, made in shards and joined in files of the shared folder.
 
-    All that a gram of three symbols or more needs has the same two symbols before its last one: its context, the
-    grams of that, and their shorter forms. So grams are dealt by these two; those of orders 1 and 2, which the
+    All that a gram of three symbols or more needs has the same tag and the same two symbols before its last one: its
+    context, the grams of that, and their shorter forms. So grams are dealt by these; those of orders 1 and 2, which the
     alphabet bounds, are solved first and sent along. solve(o, key, r, n, lower) gives an order's grams and contexts,
     and what the next order needs as lower.
     """
@@ -252,7 +264,7 @@ def _model(top: DataFrame, order: int, short: dict[int, DataFrame], solve, disti
         yield from rows(found)
 
     schema = "shard int, key long, logp float, weight float"
-    two = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    two = F.col("key").bitwiseAND(F.lit(0xFFFF00 | MAX_TAGS << _TAG))  # and the model
     entries = top.select("key", "n").repartition(two).mapInArrow(run, schema)
     entries = entries.union(spark.createDataFrame(pa.Table.from_batches(list(rows(parts)), pa.schema([("shard", pa.int32()), ("key", pa.int64()), ("logp", pa.float32()), ("weight", pa.float32())]))).select(*(F.col(c).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")))))
     path = shared_path(spark, "model")

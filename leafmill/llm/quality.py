@@ -1,10 +1,11 @@
 """Quality classifier: perplexity under Kneser-Ney models of trusted text, one for each language.
 
 Trusted text is that labelled quality 1. Models (byte grams, `ngrams.kneser_ney`) learn from four fifths of it; the
-other fifth sets each language's threshold, a high quantile of perplexity. Counts are sharded by gram and joined to
+other fifth sets each language's threshold, a high quantile of its perplexities. Counts are sharded by gram and joined to
 their contexts; the finished model, with all contexts, is in files that workers map, so that the documents' grams need
-not go to its shards (README has the figures). Languages beyond the `MOST` with most trusted texts, or with
-fewer than `LEAST` held-out texts, use a model of all trusted text.
+not go to its shards (README has the figures). Each language has counts, discounts and a threshold of its own; one with
+too few trusted texts for a quantile (`LEAST` held-out ones) uses those of all trusted text. A model's number has 13
+bits, so the `MOST` languages with most trusted texts can have one.
 
 Defined cases: a null or empty text is its end symbol alone; a null lang is a language of its own, without a model;
 repeated rows are scored once per row; without labels nothing is rejected; an empty table gives an empty result.
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from leafmill.llm import ngrams
 from leafmill.llm.common import cut
 
-ORDER, MOST, LEAST = 5, 30, 20
-#: Held-out trusted texts below the threshold, and what it is widened by (perplexity is per byte).
-QUANTILE, SLACK = 0.95, 1.15
+ORDER, MOST, LEAST = 5, ngrams.MAX_TAGS, 20
+#: Held-out trusted texts of a language that its threshold keeps: one in a hundred is given up.
+QUANTILE = 0.99
 #: A short text's perplexity is drawn to its language's mean as if by so many more bytes.
 PRIOR = 60
 FOLDS, HELD_OUT = 5, 1
@@ -46,7 +47,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     # the labels grow with the documents: one plan for all sizes, by shuffle, with the text compressed for it
     learn = ngrams.squeezed(texts.where(~held)).join(good.hint("merge"), "doc_id", "left_semi")
     by_tag = cut(ngrams.counts(learn, ORDER), "grams")
-    pooled = by_tag.where(F.col("key") >= 1 << 56).select(F.col("key").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "n")
+    pooled = by_tag.where(F.col("key") > ngrams.mask(ORDER)).select(F.col("key").bitwiseAND(F.lit(ngrams.mask(ORDER))).alias("key"), "n")
     every = by_tag.union(pooled).groupBy("key").agg(F.sum("n").alias("n"))
     model = ngrams.kneser_ney(every, ORDER)
     rows = cut(ngrams.scores(texts.select("doc_id", "lang", "text", "tag", F.col("tag").alias("model"), F.xxhash64("text").alias("text_hash")), model), "scores")
@@ -69,7 +70,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
         "lang",
         "n_bytes",
         F.pow(F.lit(2.0), bits).alias("perplexity"),
-        (F.pow(F.lit(2.0), pick(1)) * SLACK).alias("threshold"),
-        (F.pow(F.lit(2.0), bits) <= F.pow(F.lit(2.0), pick(1)) * SLACK).alias("kept"),
+        (F.pow(F.lit(2.0), pick(1))).alias("threshold"),
+        (F.pow(F.lit(2.0), bits) <= F.pow(F.lit(2.0), pick(1))).alias("kept"),
         "text_hash",
     )
