@@ -48,9 +48,13 @@ def _up(digits: Column) -> Column:
     return F.when(n < (1 << 63) - 1, (n + 1).cast("string"))
 
 
+#: A query's first parameter that has the number of a page or chapter.
+NUMBERED = "^([^?#]*\\?(?:[^#]*?&)??(?:page|chapter|glava|p)=)(\\d+)((?:&[^#]*)?)(?:#.*)?$"
+
+
 def next_in_query(url: Column) -> Column:
-    """R5, first rule: the page or chapter number of the query one up, all else unchanged."""
-    found = lambda k: F.regexp_extract(url, "^([^?]*\\?(?:[^#]*&)?(?:page|chapter|glava|p)=)(\\d+)((?:&.*)?)$", k)
+    """R5, first rule: the first page or chapter number of the query one up, all else unchanged."""
+    found = lambda k: F.regexp_extract(url, NUMBERED, k)
     return F.when(found(2) != "", F.concat(found(1), _up(found(2)), found(3)))
 
 
@@ -68,8 +72,7 @@ def next_in_path(url: Column) -> Column:
 
 def numeric_next(url: Column) -> Column:
     """The address of the next number."""
-    asks = url.rlike("^[^?]*\\?(?:[^#]*&)?(?:page|chapter|glava|p)=\\d+(?:&.*)?$")
-    return F.when(asks, next_in_query(url)).otherwise(next_in_path(url))
+    return canonical(F.when(url.rlike(NUMBERED), next_in_query(url)).otherwise(next_in_path(url)))
 
 
 def _any(text: Column, words: list[str]) -> Column:

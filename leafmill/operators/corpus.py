@@ -44,10 +44,45 @@ def best(rows: DataFrame, key: str, value: str, score: str, order: str) -> DataF
     return rows.where(F.col(score) > 0).groupBy(key).agg(first.alias(value), F.max(score).alias(score))
 
 
-def repeated_lines(lines: DataFrame, least: int = 3) -> DataFrame:
-    """A10: running heads: lines, digits masked, that stand on at least so many pages."""
-    masked = lines.select("page", F.regexp_replace(F.lower("line"), "[0-9]+", "#").alias("head"))
-    return masked.distinct().groupBy("head").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+# Margins of a page, what a running head is made of, words of a page number.
+MARGIN, LARGE, HEAD_PAGES, SLOT_LINES = 0.1, 1.6, 3, 5
+NUMBER_WORD = "[0-9]|(^|[^\\p{L}\\p{N}_])[ivxlcdm]{1,7}([^\\p{L}\\p{N}_]|$)"
+PAGE_WORDS = ["page", "p.", "стр.", "стр", "страница", "с."]
+HIDDEN_CHARS, HIDDEN_SHARE = 4, 0.3
+
+
+def running_heads(lines: DataFrame, body: float) -> DataFrame:
+    """A10: (page, ord) of the lines that are running heads, feet or page numbers.
+
+    lines has page, ord, text, top, bottom, height, baseline, font and size. A head is a line of one margin whose words,
+    those with numbers left out, stand there on three pages; a line without a text besides numbers is a page number; and a
+    line goes too where five heads have its place and font.
+    """
+    band = F.when(F.col("bottom") <= F.col("height") * MARGIN, "top").when(F.col("top") >= F.col("height") * (1 - MARGIN), "bottom")
+    words = F.filter(F.split(F.lower("text"), "\\s+"), lambda w: (w != "") & ~w.rlike(NUMBER_WORD))
+    slot = F.struct((F.col("page") % 2).alias("side"), F.floor(F.col("baseline") / 3).alias("at"), "font", F.floor(F.col("size") * 2).alias("size"))
+    rows = lines.withColumn("band", band).where("band is not null").select("page", "ord", "band", F.array_join(words, " ").alias("key"), slot.alias("slot"), (F.col("size") <= body * LARGE).alias("small"))
+    pages = rows.groupBy("band", "key").agg(F.count_distinct("page").alias("pages"))
+    rows = rows.join(pages, ["band", "key"]).withColumn("repeated", (F.col("key") != "") & (F.col("pages") >= HEAD_PAGES))
+    number = F.col("key").rlike("^[#\\s\\-–—.|/]*$") | F.col("key").isin(PAGE_WORDS)
+    rows = rows.withColumn("head", (F.col("repeated") & F.col("small")) | number)
+    slots = rows.where("head and repeated").groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= SLOT_LINES)
+    return rows.join(slots.withColumnRenamed("slot", "found"), F.col("slot") == F.col("found"), "left").where("head or (found is not null and small)").select("page", "ord")
+
+
+def watermarks(hidden: DataFrame, pages: int) -> DataFrame:
+    """A10: texts drawn beside the pages, on three pages or more and on 30 % of all."""
+    texts = hidden.where(F.length("text") >= HIDDEN_CHARS).groupBy("text").agg(F.count("*").alias("n"))
+    return texts.where((F.col("n") >= HEAD_PAGES) & (F.col("n") >= pages * HIDDEN_SHARE))
+
+
+def dominant_language(paragraphs: DataFrame, key: str, order: str, fallback: str = "ru", enough: int = 6000) -> DataFrame:
+    """(key, language) by the letters of the first paragraphs, up to the one that makes over `enough` characters."""
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cyrillic, latin = (F.regexp_count("text", F.lit(p)) for p in ("[\\u0400-\\u04FF]", "[A-Za-z]"))
+    first = paragraphs.withColumn("_before", before).where(F.col("_before") <= enough)
+    sums = first.groupBy(key).agg(F.sum(cyrillic).alias("c"), F.sum(latin).alias("l"))
+    return sums.select(key, F.when((F.col("c") == 0) & (F.col("l") == 0), fallback).when(F.col("c") >= F.col("l"), "ru").otherwise("en").alias("language"))
 
 
 def roles_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,9 +130,9 @@ def next_chain(links: DataFrame, hops: int = 3) -> DataFrame:
     return every.select("start", "hop", "url")
 
 
-def same_words(a: str, b: str) -> F.Column:
+def same_words(a, b) -> F.Column:
     """Word sets equal, or one in the other; an empty one fits all."""
-    x, y = F.array_distinct(F.col(a)), F.array_distinct(F.col(b))
+    x, y = (F.array_distinct(F.col(x) if isinstance(x, str) else x) for x in (a, b))
     return (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
 
 
@@ -113,8 +148,8 @@ def confusion(rows: DataFrame, wanted: str, got: str) -> DataFrame:
 
 
 def weighted_mode(rows: DataFrame, key: str, size: str, weight: str) -> DataFrame:
-    """The size, in quarters, with the largest weight of each key; the smallest on ties."""
-    quarter = (F.round(F.col(size) * 4) / 4).alias("q")
+    """The size, cut down to quarters, with the largest weight of each key; the smallest on ties."""
+    quarter = (F.floor(F.col(size) * 4) / 4).alias("q")
     sums = rows.groupBy(key, quarter).agg(F.sum(weight).alias("w"))
     return sums.groupBy(key).agg(F.max_by("q", F.struct("w", -F.col("q"))).alias("mode"), F.max("w").alias("w"))
 

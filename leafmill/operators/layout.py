@@ -48,6 +48,18 @@ def columns(lines: DataFrame) -> DataFrame:
     return ranked.where("r = least(floor(n * 0.9) + 1, n)").select("parity", F.col("column").alias("left"), "right")
 
 
+# What is trimmed off a word of a line, and what closes a sentence before the next one.
+EDGES, QUOTES, CLOSES = ",.;:!?()\"“”«»’'", "\"”»)’", "[.!?:]$"
+
+
+def inner_words(lines: DataFrame) -> DataFrame:
+    """The words of lines that tell how a word is written: not a line's first or last, none that opens a sentence."""
+    words = lines.select(F.split("text", " ").alias("w"))
+    places = words.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i")).where("size(w) > 2 and i < size(w) - 1")
+    rows = places.select(F.trim(F.col("w")[F.col("i")], F.lit(EDGES)).alias("word"), F.rtrim(F.col("w")[F.col("i") - 1], F.lit(QUOTES)).alias("before"))
+    return rows.where((F.length("word") >= 2) & F.col("word").rlike("^\\p{L}+$") & ~F.col("before").rlike(CLOSES)).select("word")
+
+
 def spellings(words: DataFrame, least: int = 3, share: float = 0.8) -> DataFrame:
     """(key, form): words used often enough that are nearly always written one way, and not in lower case."""
     forms = words.groupBy(F.lower("word").alias("key"), "word").agg(F.count("*").alias("n"))

@@ -94,10 +94,14 @@ def parts(title: str, texts: list[str], most: int = CHAPTER_CHARS) -> list[tuple
 
 def _abbreviated(text: str, at: int) -> bool:
     """K7: whether the dot before a boundary belongs to an initial, an abbreviation or a number."""
-    head, tail = text[:at].rstrip(), text[at:].lstrip()
+    look = 16
+    head, tail = text[max(0, at - look) : at].rstrip(), text[at : at + look].lstrip()
+    while (not head and at > look) or (not tail and at + look < len(text)):  # a long stretch of white space
+        look *= 4
+        head, tail = text[max(0, at - look) : at].rstrip(), text[at : at + look].lstrip()
     if not tail or not head.endswith(".") or len(head) < 2:
         return False
-    word = regex.search(r"\p{L}*$", head[:-1])[0]
+    word = regex.search(r"\p{L}{0,4}$", head[-5:-1])[0]
     return tail[0].isdigit() or (0 < len(word) <= 3 and (word.isupper() or word.lower() in ABBREVIATIONS))
 
 

@@ -30,11 +30,13 @@ def a9_text_columns(spark, sf):
     return layout.columns(rows)
 
 
-@query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[\\p{L}]+')) AS word FROM documents), f AS (SELECT lower(word) AS key, word, count(*) AS n FROM w GROUP BY 1, 2),
-    k AS (SELECT key, sum(n) AS uses, max((n, word)) AS top FROM f GROUP BY key) SELECT key, top[2] AS form FROM k WHERE uses >= 3 AND top[1] >= 0.8 * uses AND top[2] <> key""")
+@query("""WITH l AS (SELECT string_split(unnest(string_split(text, chr(10))), ' ') AS w FROM documents), i AS (SELECT w, unnest(range(2, len(w))) AS i FROM l WHERE len(w) > 2),
+    t AS (SELECT trim(w[i], ',.;:!?()"“”«»’' || chr(39)) AS word, rtrim(w[i - 1], '"”»)’') AS before FROM i), k AS (SELECT word FROM t WHERE length(word) >= 2 AND regexp_full_match(word, '\\p{L}+') AND NOT regexp_matches(before, '[.!?:]$')),
+    f AS (SELECT lower(word) AS key, word, count(*) AS n FROM k GROUP BY 1, 2), g AS (SELECT key, sum(n) AS uses, max((n, word)) AS top FROM f GROUP BY key)
+    SELECT key, top[2] AS form FROM g WHERE uses >= 3 AND top[1] >= 0.8 * uses AND top[2] <> key""")
 def a11_spellings(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([\\p{L}]+)"), F.lit(1))).alias("word"))
-    return layout.spellings(words)
+    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n", -1)).alias("text"))
+    return layout.spellings(layout.inner_words(lines))
 
 
 @query("""WITH m AS (SELECT user_id AS doc, event_type AS key, event_id AS "at", coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 1000000) - event_id AS weight FROM events)

@@ -37,16 +37,38 @@ def a3_common_words(spark, sf):
     return corpus.common_words(_histogram(spark, sf))
 
 
-@query("""SELECT source, sum(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS latin, sum(length(regexp_replace(text, '[^\\x{0400}-\\x{04FF}]', '', 'g'))) AS cyrillic FROM documents GROUP BY source""")
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM l),
+    f AS (SELECT doc_id, p[i] AS t, coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) AS before FROM x),
+    s AS (SELECT doc_id, sum(length(regexp_replace(t, '[^A-Za-z]', '', 'g'))) AS l, sum(length(regexp_replace(t, '[^\\x{0400}-\\x{04FF}]', '', 'g'))) AS c FROM f WHERE before <= 6000 GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN c = 0 AND l = 0 THEN 'ru' WHEN c >= l THEN 'ru' ELSE 'en' END AS language FROM s""")
 def a7_dominant_language(spark, sf):
-    cyrillic, latin = tx.letter_counts(F.col("text"))
-    return table(spark, sf, "documents").groupBy("source").agg(F.sum(latin.cast("long")).alias("latin"), F.sum(cyrillic.cast("long")).alias("cyrillic"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
+    return corpus.dominant_language(lines, "doc_id", "ord")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT DISTINCT doc_id, regexp_replace(lower(line), '[0-9]+', '#', 'g') AS head FROM l)
-    SELECT head, count(*) AS pages FROM m GROUP BY head HAVING count(*) >= 3""")
-def a10_repeated_headers(spark, sf):
-    return corpus.repeated_lines(_lines(spark, sf).select(F.col("doc_id").alias("page"), "line"))
+_PLACED = """SELECT doc_id AS page, i AS ord, p[i] AS text, (i - 1) * 20 AS top, (i - 1) * 20 + 12 AS bottom, len(p) * 20 AS height, (i - 1) * 20 + 10 AS baseline, lang AS font, 9 + length(p[i]) % 9 AS size
+    FROM (SELECT doc_id, lang, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS p FROM documents))"""
+
+
+@query(f"""WITH l AS ({_PLACED}), b AS (SELECT *, CASE WHEN bottom <= height * 0.1 THEN 'top' WHEN top >= height * 0.9 THEN 'bottom' END AS band FROM l),
+    k AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]|(^|[^\\p{{L}}\\p{{N}}_])[ivxlcdm]{{1,7}}([^\\p{{L}}\\p{{N}}_]|$)')), ' ') AS key,
+      (page % 2) || '|' || floor(baseline / 3) || '|' || font || '|' || floor(size * 2) AS slot, size <= 10 * 1.6 AS small FROM b WHERE band IS NOT NULL),
+    r AS (SELECT k.*, k.key <> '' AND n >= 3 AS repeated FROM k JOIN (SELECT band, key, count(DISTINCT page) AS n FROM k GROUP BY 1, 2) c ON k.band = c.band AND k.key = c.key),
+    h AS (SELECT *, (repeated AND small) OR regexp_full_match(key, '[#\\s\\-–—.|/]*') OR key IN ('page', 'p.', 'стр.', 'стр', 'страница', 'с.') AS head FROM r),
+    s AS (SELECT slot FROM h WHERE head AND repeated GROUP BY slot HAVING count(*) >= 5)
+    SELECT page, ord FROM h WHERE head OR (small AND slot IN (SELECT slot FROM s))""")
+def a10_running_heads(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.split("text", "\n", -1).alias("p"))
+    rows = docs.select(F.col("doc_id").alias("page"), F.col("lang").alias("font"), F.size("p").alias("n"), F.posexplode("p").alias("i", "text"))
+    at = F.col("i") * 20
+    rows = rows.select("page", (F.col("i") + 1).cast("long").alias("ord"), "text", at.alias("top"), (at + 12).alias("bottom"), (F.col("n") * 20).alias("height"), (at + 10).alias("baseline"), "font", (9 + F.length("text") % 9).alias("size"))
+    return corpus.running_heads(rows, 10)
+
+
+@query("""WITH t AS (SELECT 'mode ' || l_returnflag AS text FROM lineitem) SELECT text, count(*) AS n FROM t WHERE length(text) >= 4 GROUP BY text HAVING count(*) >= 3 AND count(*) >= (SELECT count(*) FROM orders) * 0.3""")
+def a10_watermarks(spark, sf):
+    hidden = table(spark, sf, "lineitem").select(F.concat(F.lit("mode "), "l_returnflag").alias("text"))
+    return corpus.watermarks(hidden, table(spark, sf, "orders").count())
 
 
 @query("""SELECT l_partkey, arg_max(l_suppkey, (l_quantity, -l_orderkey * 10 - l_linenumber)) AS l_suppkey, max(l_quantity) AS l_quantity FROM lineitem WHERE l_quantity > 0 GROUP BY l_partkey""")
@@ -55,10 +77,10 @@ def a12_best_variant(spark, sf):
     return corpus.best(rows, "l_partkey", "l_suppkey", "l_quantity", "line")
 
 
-@query("""WITH q AS (SELECT l_shipdate, l_suppkey, round(l_discount * 400) / 4 AS q, l_quantity FROM lineitem), s AS (SELECT l_suppkey, q, sum(l_quantity) AS w FROM q GROUP BY 1, 2)
+@query("""WITH q AS (SELECT l_suppkey, floor(l_extendedprice / 1000 * 4) / 4 AS q, l_quantity FROM lineitem), s AS (SELECT l_suppkey, q, sum(l_quantity) AS w FROM q GROUP BY 1, 2)
     SELECT l_suppkey, arg_max(q, (w, -q)) AS mode, max(w) AS w FROM s GROUP BY 1""")
 def a8_body_size(spark, sf):
-    return corpus.weighted_mode(table(spark, sf, "lineitem").withColumn("size", F.round(F.col("l_discount") * 400) / 4), "l_suppkey", "size", "l_quantity")
+    return corpus.weighted_mode(table(spark, sf, "lineitem").withColumn("size", F.col("l_extendedprice") / 1000), "l_suppkey", "size", "l_quantity")
 
 
 @query("""SELECT user_id, list_sort(list(value))[CAST(floor(count(*) / 2) AS INT) + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY user_id""")
@@ -158,12 +180,14 @@ def l5_search_topk(spark, sf):
     return library.search(table(spark, sf, "documents").select(F.col("doc_id").alias("book"), F.lit(0).alias("paragraph"), "text"), " The ")
 
 
-@query("""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text[1:40]), '[\\p{L}]+')) AS a, list_distinct(regexp_extract_all(lower(text[1:20]), '[\\p{L}]+')) AS b FROM benchmark)
-    SELECT item_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 OR len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS same FROM t""")
+@query("""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}]+')) AS w FROM benchmark),
+    p AS (SELECT t.item_id, t.w AS a, CASE WHEN t.item_id % 2 = 0 THEN list_filter(t.w, lambda x: length(x) > 4) ELSE coalesce(n.w, []) END AS b FROM t LEFT JOIN t n ON n.item_id = t.item_id + 1)
+    SELECT item_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) = 0 OR len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS same FROM p""")
 def u3_same_words(spark, sf):
-    words = lambda n: F.regexp_extract_all(F.lower(F.substring("text", 1, n)), F.lit("([\\p{L}]+)"), F.lit(1))
-    rows = table(spark, sf, "benchmark").select("item_id", words(40).alias("a"), words(20).alias("b"))
-    return rows.select("item_id", corpus.same_words("a", "b").alias("same"))
+    rows = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}]+)"), F.lit(1)).alias("a"))
+    after = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("next"))
+    b = F.when(F.col("item_id") % 2 == 0, F.filter("a", lambda x: F.length(x) > 4)).otherwise(F.coalesce("next", F.array().cast("array<string>")))
+    return rows.join(after, "item_id", "left").select("item_id", corpus.same_words("a", b).alias("same"))
 
 
 @query("""SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS recent,

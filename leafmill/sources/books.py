@@ -290,6 +290,10 @@ def exported(library: DataFrame, kind: str) -> DataFrame:
     return library.select("path", content("title", "author", "chapters").alias("content"))
 
 
+#: Markers of a JPEG file that stand alone.
+STANDALONE = {0x01, *range(0xD0, 0xDA)}
+
+
 def picture_size(content: bytes) -> tuple[int, int] | None:
     """V4: width and height from the header of a PNG, GIF, JPEG or WebP file."""
     if content[:8] == b"\x89PNG\r\n\x1a\n":
@@ -306,6 +310,9 @@ def picture_size(content: bytes) -> tuple[int, int] | None:
     at = 2 if content[:2] == b"\xff\xd8" else len(content)
     while at + 9 < len(content):
         marker, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4])
+        if marker == 0xFF or marker in STANDALONE:  # a fill byte, or a marker without a length
+            at += 1 if marker == 0xFF else 2
+            continue
         if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             return int.from_bytes(content[at + 7 : at + 9]), int.from_bytes(content[at + 5 : at + 7])
         at += 2 + size
