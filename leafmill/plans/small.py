@@ -1,0 +1 @@
+
