@@ -500,6 +500,37 @@ def normalize(text: str, without_dashes: bool = False) -> str:
     return rewritten(text, rules).strip()
 
 
+# Words with two readings, and beginnings of neighbours that name one.
+CASTLE, LOCK = "средневеков старинн рыцарск королевск феодальн воздушн каменн древн", "двер ключ висяч кодов амбарн навесн врезн запереть отпереть открыть закрыть щелк"
+COST = "сколько дорого дешево дёшево ничего этого того многого вполне"
+WORTH = "отметить сказать попробовать посмотреть подумать помнить заметить упомянуть внимания признать ожидать"
+STAND = "на у в во перед за под над между рядом около возле посреди среди молча неподвижно впереди позади прямо здесь там"
+TORMENT, FLOUR = "страшн адск невыносим ужасн творческ любовн душевн бесконечн", "пшеничн ржан кукурузн овсян близн просеян мешок пачка килограмм мучн тесто пирог хлеб сорт"
+#: Words, and in order: which neighbour (b before, a after), what it begins with, the stressed vowel. The first that fits holds.
+HOMOGRAPHS = [
+    ("замок замка замку замком замке", [("ba", CASTLE, 0), ("ba", LOCK, 1)]),
+    ("стоит стоят", [("b", COST, 0), ("a", WORTH, 0), ("a", STAND, 1), ("b", "не$", 0)]),
+    ("мука муки муке муку мукой", [("ba", TORMENT, 0), ("ba", FLOUR, 1)]),
+]
+READINGS = {word: [(where, regex.compile("|".join(marks.split())), vowel) for where, marks, vowel in rules] for words, rules in HOMOGRAPHS for word in words.split()}
+_MARKED_WORD, _VOWEL = regex.compile(r"[\p{L}+]+"), regex.compile("[аяоёуюэеиы]")
+
+
+def homographs(text: str) -> str:
+    """A plus before the stressed vowel of words whose reading (N1) a neighbour names; marked words stay."""
+    found = list(_MARKED_WORD.finditer(text))
+    around = ["", *(m[0].lower() for m in found), ""]
+    out, at = [], 0
+    for k, m in enumerate(found):
+        near = {"b": around[k], "a": around[k + 2]}
+        vowel = next((v for where, marks, v in READINGS.get(around[k + 1], ()) if any(marks.match(near[w]) for w in where)), None)
+        if vowel is not None:
+            place = m.start() + [v.start() for v in _VOWEL.finditer(around[k + 1])][vowel]
+            out += [text[at:place], "+"]
+            at = place
+    return "".join([*out, text[at:]])
+
+
 @F.pandas_udf(T.StringType())
 def spoken_russian(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normalize(t))

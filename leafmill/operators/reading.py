@@ -66,7 +66,7 @@ def backward_fill(rows: DataFrame, key: str, order: str, value: str) -> DataFram
     return rows.withColumn("ahead", F.first(value, ignorenulls=True).over(w))
 
 
-def _speech(text: str, a: int, b: int) -> bool:
+def is_speech(text: str, a: int, b: int) -> bool:
     inner = text[a + 1 : b].strip()
     if not any(c.isalpha() for c in inner):
         return False
@@ -74,7 +74,7 @@ def _speech(text: str, a: int, b: int) -> bool:
     return inner[-1] in ".!?…,—–" or not before or before[-1] in ":" + DASHES or bool(regex.match(r"[,!?…]+\s*[—–-]", after))
 
 
-def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
+def trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
     part = text[a:b]
     a += len(part) - len(regex.sub(r"^[\s—–\-,.;:!?…]+", "", part))
     b -= len(part) - len(regex.sub(r"[\s—–\-]+$", "", part))
@@ -93,10 +93,10 @@ def quoted_parts(text: str, language: str = "en") -> list[tuple[int, int, bool]]
             pairs.append((marks[-1], len(text)))
     out, at = [], 0
     for a, b in pairs:
-        if b == len(text) or _speech(text, a, b):
+        if b == len(text) or is_speech(text, a, b):
             out += [(at, a, False), (a + 1, b, True)]
             at = b + 1
-    out = [(*place, said) for x, y, said in [*out, (at, len(text), False)] if (place := _trimmed(text, x, y))]
+    out = [(*place, said) for x, y, said in [*out, (at, len(text), False)] if (place := trimmed(text, x, y))]
     return out if any(said for *_, said in out) else None
 
 
@@ -109,15 +109,6 @@ def quick_start(text: str) -> list[str]:
     return [text] if cut is None else [text[:cut], text[cut + 1 :]]
 
 
-_PART = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("speech", T.BooleanType())
-
-
-@F.pandas_udf(T.ArrayType(_PART))
-def dialogue(texts: pd.Series, language: pd.Series) -> pd.Series:
-    rows = [quoted_parts(t or "", x or "") for t, x in zip(texts, language, strict=True)]
-    return pd.Series([None if r is None else [{"start": a, "end": b, "speech": s} for a, b, s in r] for r in rows])
-
-
 def loudness(samples: np.ndarray, rate: int, floor: float = 0.01) -> float:
     """Root mean square of the 20 ms frames that are louder than `floor`; 0 in silence."""
     size = max(1, rate // 50)

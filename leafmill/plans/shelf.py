@@ -263,14 +263,14 @@ def u1_candidates(spark, sf):
     return shelf.united(rows.where("ord % 2 = 0"), rows)
 
 
-_PAGES = "l_suppkey AS book, l_orderkey * 10 + l_linenumber AS page, (l_extendedprice % 400)::INT AS letters, l_discount * 10 AS image_share, (l_partkey % 3)::INT AS clusters, (l_quantity * 20)::INT AS bad_glyphs"
+_PAGES = "l_suppkey AS book, l_orderkey * 10 + l_linenumber AS page, floor(l_extendedprice % 400)::INT AS letters, l_discount * 10 AS image_share, (l_partkey % 3)::INT AS clusters, (l_quantity * 20)::INT AS bad_glyphs"
 
 
 @query(f"""WITH p AS (SELECT {_PAGES} FROM lineitem), s AS (SELECT *, letters < 200 AND ((image_share >= 0.45 AND letters < 120) OR (letters < 20 AND clusters = 0 AND image_share > 0.1)) AS scanned FROM p),
     b AS (SELECT book, count(*) FILTER (scanned) >= greatest(2, count(*) // 4) OR (count(*) <= 3 AND count(*) FILTER (scanned) > 0) AS whole FROM s GROUP BY 1)
     SELECT s.book, page, scanned, (bad_glyphs >= 150 AND letters < bad_glyphs // 4) OR (whole AND scanned) AS recognize FROM s JOIN b ON s.book = b.book""")
 def f11_scanned_pages(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("book"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page"), F.round(F.col("l_extendedprice") % 400).cast("int").alias("letters"), (F.col("l_discount") * 10).alias("image_share"), (F.col("l_partkey") % 3).cast("int").alias("clusters"), (F.col("l_quantity") * 20).cast("int").alias("bad_glyphs"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("book"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page"), F.floor(F.col("l_extendedprice") % 400).cast("int").alias("letters"), (F.col("l_discount") * 10).alias("image_share"), (F.col("l_partkey") % 3).cast("int").alias("clusters"), (F.col("l_quantity") * 20).cast("int").alias("bad_glyphs"))
     return shelf.scanned_pages(rows)
 
 

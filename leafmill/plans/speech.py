@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import russian
+from leafmill.operators import segment, speech
 from leafmill.plans.registry import query, table
 
 
@@ -45,3 +46,23 @@ def g2_spoken_russian(spark, sf):
     for mark, value in (("{d}", F.col("o_orderkey") % 28 + 1), ("{y}", F.col("o_orderkey") % 900 + 1100), ("{n}", F.col("o_orderkey") % 1200 + 1), ("{h}", F.col("o_orderkey") % 24)):
         rows = rows.withColumn("t", F.replace("t", F.lit(mark), value.cast("string")))
     return rows.select("o_orderkey", russian.spoken_russian("t").alias("spoken"))
+
+
+@query()
+def q1_dialogue_parts(spark, sf):
+    forms = [F.concat(F.lit('He said: "'), "text", F.lit('!" and left.')), F.concat(F.lit("— "), "text", F.lit(", — сказал он. — Да.")), F.concat(F.lit("Он встал. — "), F.initcap("text")), F.concat(F.lit("«"), "text", F.lit("!» — ответила она."))]
+    text = F.array(*forms)[(F.col("turn") % 4).cast("int")]
+    found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(speech.dialogue(text, F.lit("en"))).alias("p"))
+    return found.select("conv_id", "turn", "p.*")
+
+
+@query()
+def k8_chapter_segments(spark, sf):
+    found = table(spark, sf, "documents").select("doc_id", F.posexplode(speech.spoken_segments("source", segment.plain_paragraphs("text"))).alias("segment", "s"))
+    return found.select("doc_id", "segment", "s.*")
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\p{L}([\\p{L}\\x{0301}]|[-''’]\\p{L})*') AS w FROM documents) SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM w""")
+def c13_words(spark, sf):
+    found = table(spark, sf, "documents").select("doc_id", speech.tokens("text").alias("w"))
+    return found.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w.word", " ")).alias("digest"))
