@@ -24,6 +24,11 @@ def x1_page_status(spark, sf):
     return read.select("page_id", "p.status", "p.title", "p.next_url", F.size("p.blocks").alias("n_blocks"))
 
 
+@query()
+def s11_imports(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html.import_page("html", "url").alias("r")).select("page_id", "r.*")
+
+
 @query()
 def k1_paragraphs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(segment.plain_paragraphs("text")).alias("para", "text"))

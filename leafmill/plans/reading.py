@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import layout, reading
+from leafmill.operators import layout, reading, speech
 from leafmill.plans.registry import query, table
 
 _BOX = "struct(l_extendedprice % 500 as left, l_quantity * 10 as top, l_extendedprice % 500 + 40 as right, l_quantity * 10 + 12 as bottom)"
@@ -92,6 +92,13 @@ def l11_newest_version(spark, sf):
     return table(spark, sf, "part").select(version.alias("v")).agg(F.max_by("v", reading.version_key(F.col("v"))).alias("newest"))
 
 
+@query()
+def q1_dialogue_parts(spark, sf):
+    quoted = F.concat(F.lit('He said: "'), "text", F.lit('!" and left.'))
+    found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(speech.dialogue(quoted, F.lit("en"))).alias("p"))
+    return found.select("conv_id", "turn", "p.*")
+
+
 @query()
 def a17_speech_level(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", reading.speech_level("embedding", F.lit(400)).alias("level"))

@@ -49,9 +49,9 @@ def g2_spoken_russian(spark, sf):
 
 
 @query()
-def q1_dialogue_parts(spark, sf):
-    forms = [F.concat(F.lit('He said: "'), "text", F.lit('!" and left.')), F.concat(F.lit("— "), "text", F.lit(", — сказал он. — Да.")), F.concat(F.lit("Он встал. — "), F.initcap("text")), F.concat(F.lit("«"), "text", F.lit("!» — ответила она."))]
-    text = F.array(*forms)[(F.col("turn") % 4).cast("int")]
+def q2_turns(spark, sf):
+    forms = [F.concat(F.lit("— "), "text", F.lit(", — сказал он. — Да.")), F.concat(F.lit("Он встал. — "), F.initcap("text")), F.concat(F.lit("«"), "text", F.lit("!» — ответила она."))]
+    text = F.array(*forms)[(F.col("turn") % 3).cast("int")]
     found = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(speech.dialogue(text, F.lit("en"))).alias("p"))
     return found.select("conv_id", "turn", "p.*")
 
