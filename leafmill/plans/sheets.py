@@ -11,10 +11,10 @@ from leafmill.plans.registry import query, table
 
 def _boxes(spark, sf):
     left, top = (F.floor(x).cast("double") for x in (F.col("l_extendedprice") % 500, F.col("l_quantity") * 12))
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).cast("long").alias("block"), left.alias("left"), top.alias("top"), (left + 60).alias("right"), (top + 14).alias("bottom"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 10**11 + F.round(F.col("l_extendedprice") * 100)).cast("long").alias("block"), left.alias("left"), top.alias("top"), (left + 60).alias("right"), (top + 14).alias("bottom"))
 
 
-_SHAPES = "SELECT l_orderkey AS page, (l_linenumber * 10000000 + l_partkey * 100 + l_suppkey % 100)::BIGINT AS i, floor(l_extendedprice % 500) AS l, floor(l_quantity * 12) AS t FROM lineitem"
+_SHAPES = "SELECT l_orderkey AS page, (l_linenumber * 100000000000 + round(l_extendedprice * 100))::BIGINT AS i, floor(l_extendedprice % 500) AS l, floor(l_quantity * 12) AS t FROM lineitem"
 
 
 @query(f"""WITH RECURSIVE s AS ({_SHAPES}), e AS (SELECT a.page, a.i, b.i AS j FROM s a JOIN s b ON a.page = b.page AND a.l - 6 < b.l + 60 AND b.l < a.l + 66 AND a.t - 6 < b.t + 14 AND b.t < a.t + 20),
