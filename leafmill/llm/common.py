@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -63,9 +65,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def released(batches):
+    """batches; after the last one the worker gives the memory that it no longer needs back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches, limit: int = BATCH_BYTES, rows: int = BATCH_ROWS, column: str = "text"):
     """Record batches, cut so that each holds at most `rows` rows and about `limit` bytes of text (one row at least)."""
-    for batch in batches:
+    for batch in released(batches):
         n = batch.num_rows
         if not n:
             continue

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, merged, raw
+from leafmill.llm.common import cut, merged, raw, released
 
 #: Multipliers of the rolling hashes, any odd numbers.
 BASE, FOLD, MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9))
 #: Symbols handled at once, and windows of one text that are searched together.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Phrases of one trigger string that are compared in one place; more of them are compared by rows, see `shared_wide`.
-WIDE = 1024
+WIDE = 16_384
 #: A null doc_id comes first.
 NO_ID = -(1 << 63)
 
@@ -207,7 +207,7 @@ def shared(spans: DataFrame, kind: Kind) -> DataFrame:
 
     def run(batches):
         done, group, size = [], [], 0
-        for batch in batches:
+        for batch in released(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[-1][:2] == row[:2]:
                     continue  # a phrase counts once
@@ -238,7 +238,7 @@ def shared_wide(spans: DataFrame, kind: Kind) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for kmer, content, n, first, span in zip(*(batch.column(c).to_pylist() for c in ("kmer", "content", "n", "first_id", "span")), strict=True):
                 step = np.dtype(dtype).itemsize
@@ -247,8 +247,9 @@ def shared_wide(spans: DataFrame, kind: Kind) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["kmer", "content", "first_id", "w", "hash"])
 
     rows = cut(spans.mapInArrow(run, "kmer long, content long, first_id long, w int, hash binary"), "windows")
-    groups = rows.groupBy("hash").agg(F.count("*").alias("c"), F.min("first_id").alias("least"))
-    hits = rows.join(groups, "hash").where("least < first_id" if ordered else "c > 1")
+    groups = rows.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("c"), F.min("first_id").alias("least"))
+    counts = (F.col("least") < F.col("first_id")) if ordered else F.lit(True)
+    hits = rows.join(groups.where("c > 1"), (F.col("hash") == F.col("h")) & counts, "left_semi")
     parts = F.transform(F.array_sort(F.collect_list("w")), lambda w: F.struct(w.alias("a"), (w + 1).alias("b")))
     return hits.groupBy("kmer", "content").agg(parts.alias("parts"))
 
@@ -274,35 +275,53 @@ def packed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, ", ".join(["id long, th long, z binary", *more]))
 
 
-def spans_of(classes: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
-    """classes, which have a first place, with the symbols that they cover there."""
-    wanted = classes.groupBy("id", "th").agg(F.collect_list(F.struct("kmer", "content", "n", "first_id", "s")).alias("want"))
+def spans_of(wanted: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
+    """wanted, which has (kmer, content, n, first_id, m) and a place (id, th, s), with the place's symbols in a span instead.
+
+    Where m is 0 the span is a digest of the text itself from there on, `n` windows far.
+    """
+    by_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("kmer", "content", "n", "first_id", "m", "s")).alias("want"))
     symbols, length = kind.symbols, kind.length
 
     def run(batches):
         import zstandard
 
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        expand, last = zstandard.ZstdDecompressor().decompress, None
+        for batch in released(batches):
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = []
-                for z, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    flat = expand(z)
-                    step = 1
+                part, rows = batch.slice(k, 256), []
+                for i, th, z, want in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if (i, th) == last:
+                        continue  # rows equal in id and text would give the same phrases again, and all to one place
+                    last = (i, th)
+                    flat, step = expand(z), 1
+                    words = flat.split() if kind.ordered else None
                     if kind.ordered:
                         flat, step = symbols(pa.array([flat], pa.binary()))[0].tobytes(), 8
-                    rows += [(w["kmer"], w["content"], w["n"], w["first_id"], flat[w["s"] * step : (w["s"] + w["n"] - 1 + length) * step]) for w in want]
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kmer", "content", "n", "first_id", "span"])
+                    for w in want:
+                        a, b = w["s"], w["s"] + w["n"] - 1 + length
+                        rows.append((w["kmer"], w["content"], w["n"], w["first_id"], w["m"], flat[a * step : b * step] if w["m"] else words_digest(words[a:b])))
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kmer", "content", "n", "first_id", "m", "span"])
+
+    # a merge join leaves rows in the order of their keys
+    joined = packed(texts).join(by_text.hint("merge"), PLACE).select("id", "th", "z", "want")
+    return joined.mapInArrow(run, "kmer long, content long, n int, first_id long, m long, span binary")
+
 
-    # rows equal in id and text would give the same phrases again, and all to one place
-    joined = packed(texts).join(wanted, PLACE).dropDuplicates(PLACE).select("z", "want")
-    return joined.mapInArrow(run, "kmer long, content long, n int, first_id long, span binary")
+def words_digest(words: list[bytes]) -> bytes:
+    from xxhash import xxh3_128_digest
 
+    return xxh3_128_digest(b" ".join(words))
 
-def verdicts(found: DataFrame, texts: DataFrame, kind: Kind, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
-    """(repeated phrases' places, their dictionary): the dictionary has c places, first_id and parts for each phrase."""
+
+def verdicts(found: DataFrame, texts: DataFrame, kind: Kind, wide: int = WIDE, *, also: Callable | None = None):
+    """(repeated phrases' places, their dictionary, digests).
+
+    The dictionary has c places, first_id, and parts, the windows shared with rivals, phrases of the same trigger string,
+    for each phrase. also(places, phrases without rivals) names further places, (kmer, content, n, first_id, id, th, s),
+    whose digests are taken in the same pass over the texts.
+    """
     often = found.groupBy("kmer").agg(F.count("*").alias("c")).where("c > 1").select("kmer")
     # written, so that both sides of the join are plain shuffles and a trigger string's many places can be split
     again = found.join(cut(often, "often"), "kmer")
@@ -312,13 +331,19 @@ def verdicts(found: DataFrame, texts: DataFrame, kind: Kind, wide: int = WIDE) -
     place = F.struct("id", "th", "s", "n")
     classes = again.groupBy("kmer", "content").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     classes = cut(classes.select("kmer", "content", "c", F.col("first.id").alias("first_id"), "first.*"), "dictionary")
-    several = classes.groupBy("kmer").agg(F.count("*").alias("m")).where("m > 1")
-    rivals = classes.join(several, "kmer")
-    narrow, broad = rivals.where(F.col("m") <= wide), rivals.where(F.col("m") > wide)
-    parts = shared(spans_of(narrow, texts, kind), kind)
+    several = classes.groupBy("kmer").agg(F.count("*").alias("m"))
+    named = ["kmer", "content", "n", "first_id", "id", "th", "s", "m"]
+    wanted = classes.join(several.where("m > 1"), "kmer").select(*named)
+    if also:
+        alone = classes.join(several.where("m = 1"), "kmer", "left_semi")
+        wanted = wanted.union(also(again, alone).withColumn("m", F.lit(0).cast("long")).select(*named))
+    spans = cut(spans_of(wanted, texts, kind), "spans")
+    parts = shared(spans.where(f"m between 1 and {wide}"), kind)
+    broad = spans.where(f"m > {wide}")
     if not broad.isEmpty():
-        parts = parts.union(shared_wide(spans_of(broad, texts, kind), kind))
-    return again, cut(classes.select("kmer", "content", "c", "first_id").join(parts, ["kmer", "content"], "left"), "verdicts")
+        parts = parts.union(shared_wide(broad.dropDuplicates(["kmer", "content"]), kind))
+    dictionary = classes.select("kmer", "content", "c", "first_id").join(parts, ["kmer", "content"], "left")
+    return again, cut(dictionary, "verdicts"), spans.where("m = 0").select("kmer", "content", "first_id", F.col("span").alias("digest")).distinct()
 
 
 def covered(again: DataFrame, dictionary: DataFrame, kind: Kind) -> DataFrame:
@@ -344,7 +369,8 @@ def union(spans) -> list[tuple[int, int]]:
 def repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """(id, th, spans) for the texts of docs that have repeated windows."""
     texts = keyed(docs)
-    return covered(*verdicts(cut(phrases(texts, kind), "phrases"), texts, kind), kind)
+    again, dictionary, _ = verdicts(cut(phrases(texts, kind), "phrases"), texts, kind)
+    return covered(again, dictionary, kind)
 
 
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import repeats
+from leafmill.llm.common import released
 
 BYTES = repeats.Kind(repeats.byte_symbols, length=200, k=64, ordered=False)
 
@@ -32,7 +33,7 @@ def dedup(docs: DataFrame, kind: repeats.Kind = BYTES) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in released(batches):
             for k in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(k, 512), []
                 for z, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
@@ -61,7 +62,7 @@ def applied(docs: DataFrame, kind: repeats.Kind = BYTES) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in released(batches):
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 kept = [without(expand(z), repeats.union(found)).decode(errors="ignore") for z, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]

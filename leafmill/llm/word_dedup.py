@@ -3,8 +3,9 @@
 The graph's nodes are k-mers of words, those that a rolling hash picks (see `repeats`); its edges are the phrases
 between them. Edges that always follow each other, and only each other, are compacted into one path by joins (`paths`).
 A path has its verdict from its own places: the one of the smallest document stays, and the others go if the words at
-their coordinates are those at the first one's, compared by 128-bit digests of the words themselves (`verified`). Where
-the graph branches, an edge that only in part goes the way of another has the windows that they share from `repeats`.
+their coordinates are those at the first one's, compared by 128-bit digests of the words themselves. At a node with several
+edges the graph branches: each of these is a path of its own, and one that goes the way of another in part has the
+windows that they share from `repeats`.
 
 Defined cases: a null or empty text has no words; rows with equal doc_id are one document to the rule; a null doc_id is
 the smallest; a document of fewer than `length` words loses nothing; an empty table gives an empty result.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.llm import repeats
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, released
 
 WORDS = repeats.Kind(repeats.word_symbols, length=50, k=16, ordered=True)
 #: Paths are broken before one edge in BREAK, so that ROUNDS doublings find nearly every head; a path that is longer
@@ -27,13 +28,13 @@ BREAK, ROUNDS = 12, 5
 EDGE = ["kmer", "content"]
 
 
-def paths(again: DataFrame, dictionary: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def paths(again: DataFrame, alone: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(id, th, s, n, kmer, content): places of paths, each named after its first edge.
 
-    Edge u runs into v, and into nothing else, and only u runs into v: then both are in one path. An edge that shares
-    windows with another (it has parts) is a path of its own.
+    Edge u runs into v, and into nothing else, and only u runs into v: then both are in one path. `alone` has the edges
+    whose node has no other.
     """
-    whole = dictionary.where((F.col("c") > 1) & F.col("parts").isNull()).select(*EDGE, "c")
+    whole = alone.where("c > 1").select(*EDGE, "c")
     in_text = Window.partitionBy("id", "th").orderBy("s")
     edge, after = F.struct(*EDGE), F.lead(F.struct("s", *EDGE)).over(in_text)
     places = again.join(whole, EDGE).withColumn("after", after)
@@ -57,41 +58,21 @@ def paths(again: DataFrame, dictionary: DataFrame, rounds: int = ROUNDS) -> Data
     return cut(merged.select("id", "th", "s", "n", "path.*"), "merged")
 
 
-def words_digest(words: list[bytes]) -> bytes:
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(b" ".join(words))
-
-
-def verified(merged: DataFrame, texts: DataFrame, kind: repeats.Kind) -> DataFrame:
-    """(kmer, content, first_id, digest) of the paths with several places: the smallest document, and its words' digest."""
-    length = kind.length
-    first = merged.groupBy(*EDGE).agg(F.min(F.struct("id", "th", "s", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    wanted = first.select("first.*", *EDGE).groupBy("id", "th").agg(F.collect_list(F.struct(*EDGE, "s", "n")).alias("want"))
-
-    def run(batches):
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            rows = []
-            for i, z, want in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = expand(z).split()
-                rows += [(w["kmer"], w["content"], i, words_digest(words[w["s"] : w["s"] + w["n"] - 1 + length])) for w in want]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=[*EDGE, "first_id", "digest"])
-
-    joined = repeats.packed(texts).join(wanted, repeats.PLACE).dropDuplicates(repeats.PLACE).select("id", "z", "want")
-    return cut(joined.mapInArrow(run, "kmer long, content long, first_id long, digest binary"), "sources")
-
-
 def covered(docs: DataFrame, kind: repeats.Kind) -> DataFrame:
     """(id, th, spans): the words [a, b) of each text to remove, with the digest that they have to have, if any."""
-    texts, length = repeats.keyed(docs), kind.length
-    again, dictionary = repeats.verdicts(cut(repeats.phrases(texts, kind), "phrases"), texts, kind)
-    merged = paths(again, dictionary)
+    texts, length, found = repeats.keyed(docs), kind.length, []
+
+    def sources(again, alone):
+        """The first place of each path that has several: that of the smallest document."""
+        found.append(paths(again, alone))
+        first = found[0].groupBy(*EDGE).agg(F.min(F.struct("id", "th", "s", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
+        return first.select(*EDGE, F.col("first.id").alias("first_id"), "first.*")
+
+    again, dictionary, digests = repeats.verdicts(cut(repeats.phrases(texts, kind), "phrases"), texts, kind, also=sources)
     parts = dictionary.where(F.col("parts").isNotNull()).select(*EDGE, "parts")
-    rows = merged.join(verified(merged, texts, kind), EDGE, "left").join(parts, EDGE, "left")
+    # written, so that its join with the places is one of plain shuffles and a path's many places can be split
+    verdict = cut(digests.join(parts, EDGE, "full"), "path-verdicts")
+    rows = found[0].join(verdict, EDGE)
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.col("digest")))
     some = F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.lit(None).cast("binary").alias("digest")))
     rows = rows.select("id", "th", "s", F.explode(F.when(F.col("id") > F.col("first_id"), whole).otherwise(some)).alias("p"))
@@ -108,12 +89,12 @@ def dedup(docs: DataFrame, kind: repeats.Kind = WORDS) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in released(batches):
             for k in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(k, 512), []
                 for z, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = expand(z).split()
-                    gone = repeats.union([x for x in found or [] if x["digest"] is None or x["digest"] == words_digest(words[x["a"] : x["b"]])])
+                    gone = repeats.union([x for x in found or [] if x["digest"] is None or x["digest"] == repeats.words_digest(words[x["a"] : x["b"]])])
                     kept, at = [], 0
                     for a, b in gone:
                         kept += words[at:a]
