@@ -161,7 +161,16 @@ def in_order(docs: DataFrame) -> DataFrame:
     stays = F.array(F.struct(F.col("bucket"), F.lit(0).alias("place")))
     goes = F.transform(also, lambda g: F.struct(g["bucket"].alias("bucket"), g["place"].alias("place")))
     dealt = ranged.select(F.explode(F.concat(stays, goes)).alias("to"), "doc_id", "text").select("to.*", "doc_id", "text")
-    return dealt.repartition(len(firsts), "bucket").sortWithinPartitions("bucket", "place", F.asc_nulls_first("doc_id"), "text")
+    lanes = lanes_of(spark, len(marks) + 1)
+    dealt = dealt.withColumn("lane", F.array(*map(F.lit, lanes))[F.col("bucket")]).repartition(len(lanes), "lane").drop("lane")
+    return dealt.sortWithinPartitions("bucket", "place", F.asc_nulls_first("doc_id"), "text")
+
+
+def lanes_of(spark, n: int) -> list[int]:
+    """For each of n partitions a number that a hash partitioning deals to it, so that each range has a task of its own."""
+    found = spark.range(40 * n).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).collect()  # n rows
+    by_place = {r["p"]: r["v"] for r in found}
+    return [by_place.get(k, k) for k in range(n)]
 
 
 def edited(docs: DataFrame) -> DataFrame:

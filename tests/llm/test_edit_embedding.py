@@ -109,3 +109,29 @@ def test_chains_stay_linked(spark):
     assert {(r.a, r.b) for r in ee.candidates(rows)[0].collect()} == {(prints[0], prints[1]), (prints[1], prints[2])}
     # as with blocks of one or two
     assert {(r.a, r.b) for r in ee.candidates(rows, block=1)[0].collect()} == {(prints[0], prints[1]), (prints[1], prints[2])}
+
+
+def test_ranges_have_tasks_of_their_own(make_docs, spark):
+    docs = make_docs([(k, f"text {k}") for k in range(400)])
+    ranged = ee.in_order(docs)
+    tasks = ranged.where("place = 0").select("bucket", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.bucket for r in tasks}) == len({r.task for r in tasks}) == len(tasks) > 1
+
+
+def test_candidates_find_small_edits(spark):
+    """Pairs at a true edit distance of up to 1 % of the characters, by the query's own numbers."""
+    rng = np.random.default_rng(6)
+    letters = list("etaoin shrdlu")
+    texts = ["".join(rng.choice(letters, 1200)) for _ in range(40)]
+
+    def edited(t, n):
+        for _ in range(n):
+            at, what = rng.integers(len(t)), rng.integers(3)
+            t = t[:at] + ("" if what == 0 else "z") + t[at + (what != 1) :]
+        return t
+
+    pairs = [(t, edited(t, n)) for t, n in zip(texts, [3, 12] * 20, strict=True)]
+    prints = ee.fingerprints([ee.letters(t) for p in pairs for t in p])
+    found = {frozenset((r.a, r.b)) for r in ee.candidates(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"))[0].collect()}
+    hits = [frozenset(prints[2 * k : 2 * k + 2]) in found for k in range(40)]
+    assert np.mean(hits[::2]) >= 0.7 and len(found) == sum(hits)
