@@ -110,12 +110,15 @@ def quick_start(text: str) -> list[str]:
 
 
 def loudness(samples: np.ndarray, rate: int, floor: float = 0.01) -> float:
-    """Root mean square of the 20 ms frames that are louder than `floor`; 0 in silence."""
+    """Root mean square of the 20 ms frames that are louder than `floor`, the last one as long as it is; 0 in silence."""
     size = max(1, rate // 50)
-    n = len(samples) // size
-    power = (samples[: n * size].reshape(n, size).astype(np.float64) ** 2).mean(axis=1)
-    voiced = power[np.sqrt(power) > floor]
-    return float(np.sqrt(voiced.mean())) if len(voiced) else 0.0
+    starts = np.arange(0, len(samples), size)
+    if not len(starts):
+        return 0.0
+    energy = np.add.reduceat(samples.astype(np.float64) ** 2, starts)
+    counts = np.minimum(size, len(samples) - starts)
+    voiced = np.sqrt(energy / counts) > floor
+    return float(np.sqrt(energy[voiced].sum() / counts[voiced].sum())) if voiced.any() else 0.0
 
 
 @F.pandas_udf(T.DoubleType())

@@ -51,7 +51,10 @@ def g4_english_numbers(spark, sf):
     return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", english.spoken_english("text").alias("spoken"))
 
 
-@query()
+@query("""WITH n AS (SELECT unnest(range(1, 4000)) AS i), r AS (SELECT i, ['', 'M', 'MM', 'MMM'][i // 1000 + 1] || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][i // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][i // 10 % 10 + 1]
+    || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][i % 10 + 1] AS w FROM n), d AS (SELECT doc_id, unnest(regexp_extract_all(replace(upper(text), 'IN', 'XI'), '[\\p{L}\\p{N}_]+')) AS numeral FROM documents)
+    SELECT doc_id, numeral, i::INT AS value FROM d LEFT JOIN r ON numeral = w WHERE regexp_full_match(numeral, '[IVXLCDM]+')""")
 def g7_roman(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("\\b([IVXLCDM]+)\\b"), F.lit(1))).alias("numeral"))
+    text = F.replace(F.upper("text"), F.lit("IN"), F.lit("XI"))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(text, F.lit("(?<![\\p{L}\\p{N}_])([IVXLCDM]+)(?![\\p{L}\\p{N}_])"), F.lit(1))).alias("numeral"))
     return words.select("doc_id", "numeral", english.roman_value("numeral").alias("value"))

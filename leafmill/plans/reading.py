@@ -99,6 +99,7 @@ def q1_dialogue_parts(spark, sf):
     return found.select("conv_id", "turn", "p.*")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), f AS (SELECT vec_id, list_transform(range(0, len(e), 8), lambda i: {'s': list_sum(list_transform(e[i + 1:least(i + 8, len(e))], lambda x: x * x)), 'n': least(8, len(e) - i)}) AS f FROM e),
+    v AS (SELECT vec_id, list_filter(f, lambda x: sqrt(x.s / x.n) > 0.01) AS v FROM f) SELECT vec_id, CASE WHEN len(v) > 0 THEN sqrt(list_sum(list_transform(v, lambda x: x.s)) / list_sum(list_transform(v, lambda x: x.n))) ELSE 0 END AS level FROM v""")
 def a17_speech_level(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", reading.speech_level("embedding", F.lit(400)).alias("level"))
