@@ -220,12 +220,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(nodes.select("fp"))).withColumnsRenamed({"node": "fp"})
     rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
+    # written, so that its join with the rows is one of plain shuffles and a fingerprint's many rows can be split
+    return marked.join(cut(named, "named"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
 
 
 #: Near copies by likeness: words of a shingle, 64-bit words of a fingerprint, and how far two may differ: texts that share
 #: 0.8 of their shingles differ in 39 bits of 256 on average, with a deviation of 6.
-WORDS, LANES, LIKE = 5, 4, 48
+WORDS, LANES, LIKE = 5, 4, 46
 #: Keys of a document, and shingles in a key: 0.8 alike texts share a key with probability 0.997.
 KEYS, PICKS = 8, 3
 _ODD = np.random.default_rng(21).integers(0, 1 << 63, LANES + KEYS * PICKS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -282,7 +283,7 @@ def near_copies(docs: DataFrame, radius: int = LIKE, block: int = BLOCK) -> Data
     marked = cut(marked, "fingerprints")
     nodes = marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     keyed = cut(nodes.select("node", F.explode("keys").alias("key"), "fp"), "keys")
-    roots = components(compared(keyed, radius, block))
+    roots = cut(components(compared(keyed, radius, block)), "roots")  # as above
     return marked.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
