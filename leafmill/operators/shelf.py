@@ -197,3 +197,46 @@ def scanned_pages(pages: DataFrame) -> DataFrame:
     books = rows.groupBy("book").agg(F.count_if("scanned").alias("scans"), F.count("*").alias("n"))
     books = books.select("book", ((F.col("scans") >= F.greatest(F.lit(2), F.floor(F.col("n") / 4))) | ((F.col("n") <= 3) & (F.col("scans") > 0))).alias("whole"))
     return rows.join(books, "book").select("book", "page", "scanned", (F.col("unreadable") | (F.col("whole") & F.col("scanned"))).alias("recognize"))
+
+
+def bookmarked(pages: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """(book, page, n): the bookmarks of each page, whose span is half open; places are (paragraph, offset)."""
+    place = F.struct(F.col("paragraph").cast("long").alias("paragraph"), F.col("offset").cast("long").alias("offset"))
+    marks = bookmarks.select("book", place.alias("at"))
+    hits = pages.join(marks, "book").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("past")))
+    return hits.groupBy("book", "page").agg(F.count("*").alias("n"))
+
+
+# Kinds of paragraphs that have a look of their own.
+KINDS = ["HEADING", "SUBHEADING", "NOTE", "CAPTION", "IMAGE", "TABLE_ROW", "TABLE_HEADER"]
+STYLE = "struct<kind: string, image: string, width: int, height: int>"
+
+
+def decoded_styles(json: Column) -> Column:
+    """V1: looks by paragraph from a library's JSON; unknown kinds and keys that are no number are plain text."""
+    kind = f"map<string, {STYLE}>"
+    raw = F.coalesce(F.from_json(json, kind), F.from_json(F.lit("{}"), kind))
+    known = F.map_filter(raw, lambda k, v: k.try_cast("int").isNotNull() & v["kind"].isin(KINDS))
+    image = lambda v: F.when((F.trim(v["image"]) != "") & (v["image"] != "null"), v["image"])
+    tidy = F.transform_values(known, lambda k, v: F.struct(v["kind"].alias("kind"), image(v).alias("image"), F.coalesce(v["width"], F.lit(0)).alias("width"), F.coalesce(v["height"], F.lit(0)).alias("height")))
+    return F.transform_keys(tidy, lambda k, v: k.cast("int"))
+
+
+def encoded_styles(styles: Column) -> Column:
+    """V1: the JSON of looks, in order of paragraphs; sizes stand with pictures only."""
+    entries = F.array_sort(F.map_entries(styles))
+    one = lambda e: F.concat(
+        F.lit('"'), e["key"].cast("string"), F.lit('":'),
+        F.to_json(F.struct(e["value"]["kind"].alias("kind"), e["value"]["image"].alias("image"), F.when(e["value"]["image"].isNotNull(), e["value"]["width"]).alias("width"), F.when(e["value"]["image"].isNotNull(), e["value"]["height"]).alias("height"))),
+    )
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, one), ","), F.lit("}"))
+
+
+def part_styles(styles: Column, first: Column, past: Column) -> Column:
+    """V1: the looks of the paragraphs [first, past) of a chapter that is split, by their new places."""
+    return F.transform_keys(F.map_filter(styles, lambda k, v: (k >= first) & (k < past)), lambda k, v: k - first)
+
+
+def found_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Words with what a lexicon has for exactly them; the lexicon grows, so the join is the engine's choice."""
+    return words.join(lexicon, "word")

@@ -73,3 +73,21 @@ def speaker_in(checkpoint: Column, speaker: Column) -> Column:
 def missing_files(required: Column, found: Column) -> Column:
     """Required files that an archive did not have."""
     return F.array_except(required, found)
+
+
+# What an engine's own pace is, how much a voice varies (level, lengths), tones that raise it.
+OWN_PACE, CALM, RAISED = 1.05, (0.55, 0.65), (0.75, 0.85)
+RAISED_TONES = ["EXCLAIM", "ANGRY", "JOY", "FEAR"]
+
+
+def voice_params(engine: Column, speed: Column, rate: Column, pitch: Column, emotions: Column, role: Column, tone: Column) -> Column:
+    """V8: what an engine is asked for a line: speed, noise (one engine alone) and pitch (system engines alone)."""
+    raised = (emotions != "OFF") & (role != "NARRATOR") & tone.isin(RAISED_TONES)
+    of = lambda k: F.when(engine == "VOSK", F.when(raised, RAISED[k]).otherwise(CALM[k]))
+    pace = speed * rate
+    return F.struct(
+        F.when(engine == "SUPERTONIC", pace * OWN_PACE).otherwise(pace).alias("speed"),
+        of(0).alias("noise"),
+        of(1).alias("length_noise"),
+        F.when(engine == "SYSTEM", pitch).otherwise(1.0).alias("pitch"),
+    )

@@ -335,3 +335,40 @@ def f19_u5_installs(spark, sf):
     found = F.when(size % 2 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("c")))
     speaker = voices.speaker_in(F.when(size % 2 == 0, "DIMA").otherwise("BASE"), key % 4)
     return table(spark, sf, "part").select("p_partkey", voices.install_kind(size % 3 != 0, F.greatest(size - 25, F.lit(0))).alias("kind"), speaker.alias("speaker"), voices.missing_files(F.array(*map(F.lit, "abc")), found).alias("missing"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS book, unnest(range(0, 4)) AS page FROM customer), m AS (SELECT o_custkey AS book, o_orderkey % 9 AS paragraph, o_orderkey % 50 AS o FROM orders)
+    SELECT p.book, page, count(*) AS n FROM p JOIN m ON p.book = m.book WHERE (paragraph, o) >= (page * 2, 10) AND (paragraph, o) < (page * 2 + 2, 10) GROUP BY 1, 2""")
+def f14_bookmarks(spark, sf):
+    place = lambda p: F.struct(p.cast("long").alias("paragraph"), F.lit(10).cast("long").alias("offset"))
+    pages = table(spark, sf, "customer").select(F.col("c_custkey").alias("book"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page"))
+    pages = pages.select("book", F.col("page").cast("long").alias("page"), place(F.col("page") * 2).alias("first"), place(F.col("page") * 2 + 2).alias("past"))
+    marks = table(spark, sf, "orders").select(F.col("o_custkey").alias("book"), (F.col("o_orderkey") % 9).alias("paragraph"), (F.col("o_orderkey") % 50).alias("offset"))
+    return shelf.bookmarked(pages, marks)
+
+
+@query("""SELECT e.user_id, e.event_id, 'stress of ' || event_type AS found FROM events e WHERE event_type IN ('click', 'purchase')""")
+def s20_s21_lexicon(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_id", F.col("event_type").alias("word"))
+    lexicon = events.select("word").distinct().where("word in ('click', 'purchase')").withColumn("found", F.concat(F.lit("stress of "), "word"))
+    return shelf.found_words(events, lexicon).select("user_id", "event_id", "found")
+
+
+@query("""SELECT p_partkey, '{' || '"2":{"kind":"CAPTION"},"' || (10 + p_partkey % 7) || '":{"kind":"IMAGE","image":"p' || p_partkey || '.png","width":' || p_size || ',"height":9}' || '}' AS styles, CASE WHEN p_partkey % 7 < 3 THEN [p_partkey % 7] ELSE [] END AS later FROM part""")
+def v1_styles(spark, sf):
+    key = F.col("p_partkey")
+    json = F.concat(F.lit('{"x":{"kind":"NOTE"},"3":{"kind":"ODD"},"'), 10 + key % 7, F.lit('":{"kind":"IMAGE","image":"p'), key, F.lit('.png","width":'), "p_size", F.lit(',"height":9},"2":{"kind":"CAPTION","image":"null","width":4}}'))
+    rows = table(spark, sf, "part").select("p_partkey", shelf.decoded_styles(json).alias("s"))
+    later = F.map_keys(shelf.part_styles(F.col("s"), F.lit(10), F.lit(13)))
+    return rows.select("p_partkey", shelf.encoded_styles(F.col("s")).alias("styles"), F.transform(later, lambda k: k.cast("long")).alias("later"))
+
+
+@query("""WITH e AS (SELECT event_id, ['SUPERTONIC', 'VOSK', 'SYSTEM', 'KOKORO'][(event_id % 4)::INT + 1] AS engine, ['ANGRY', 'SAD', 'JOY'][(event_id % 3)::INT + 1] AS tone, CASE WHEN event_id % 5 = 0 THEN 'NARRATOR' ELSE 'MALE' END AS role, CASE WHEN event_id % 7 = 0 THEN 'OFF' ELSE 'VIVID' END AS em FROM events)
+    SELECT event_id, CASE WHEN engine = 'SUPERTONIC' THEN 1.2::DOUBLE * 1.1::DOUBLE * 1.05::DOUBLE ELSE 1.2::DOUBLE * 1.1::DOUBLE END AS speed, CASE WHEN engine = 'VOSK' THEN CASE WHEN em <> 'OFF' AND role <> 'NARRATOR' AND tone IN ('ANGRY', 'JOY') THEN 0.75 ELSE 0.55 END END::DOUBLE AS noise,
+    CASE WHEN engine = 'SYSTEM' THEN 1.07 ELSE 1 END::DOUBLE AS pitch FROM e""")
+def v8_voice_params(spark, sf):
+    i = F.col("event_id")
+    pick = lambda names: F.array(*map(F.lit, names))[(i % len(names)).cast("int")]
+    role, emotions = F.when(i % 5 == 0, "NARRATOR").otherwise("MALE"), F.when(i % 7 == 0, "OFF").otherwise("VIVID")
+    params = voices.voice_params(pick(["SUPERTONIC", "VOSK", "SYSTEM", "KOKORO"]), F.lit(1.2), F.lit(1.1), F.lit(1.07), emotions, role, pick(["ANGRY", "SAD", "JOY"]))
+    return table(spark, sf, "events").select("event_id", params.alias("p")).select("event_id", "p.speed", "p.noise", "p.pitch")

@@ -122,3 +122,8 @@ _SOUND = T.StructType().add("rate", T.IntegerType()).add("samples", T.ArrayType(
 def read_wav(content: pd.Series) -> pd.DataFrame:
     found = [wav(bytes(c)) if c is not None else None for c in content]
     return pd.DataFrame({"rate": pd.Series([f and f[0] for f in found], dtype="Int32"), "samples": [None if f is None else f[1] for f in found]})
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A corpus manifest, tabs between columns and their names in the first line; blank lines say nothing."""
+    return spark.read.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -33,3 +33,9 @@ def test_wiki_and_wav():
     head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(body), b"WAVE", b"fmt ", 16, 1, 2, 8000, 32000, 4, 16, b"data", len(body))
     rate, samples = stores.wav(head + body)
     assert rate == 8000 and np.allclose(samples, [0.25, -0.5]) and stores.wav(b"no") is None
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("file\turl\tlabel\na.html\thttps://a.example/1\tCHAPTER\n\nb.html\thttps://a.example/2\tPAYWALL\n")
+    rows = stores.manifest(spark, f"{tmp_path}/m.tsv").collect()
+    assert [tuple(r) for r in rows] == [("a.html", "https://a.example/1", "CHAPTER"), ("b.html", "https://a.example/2", "PAYWALL")]
