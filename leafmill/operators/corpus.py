@@ -195,3 +195,56 @@ def by_rule(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = hosts.withColumn("name", F.explode(endings)).join(rules, "name")
     found = keyed.groupBy("host").agg(F.min_by("rule", "ord").alias("rule"))
     return hosts.join(found, "host", "left")
+
+
+def redirected(requests: DataFrame, answers: DataFrame, allowed, hops: int = 5) -> DataFrame:
+    """(url, at, status, seen) of requests that follow redirects, at most `hops` of them.
+
+    answers has (url, status, location), one row an address; allowed(source, target) is asked before each hop. A hop to an
+    address that was seen is a LOOP, one that is not allowed is BLOCKED, and one too many is TOO_MANY; else the status is
+    that of the last answer, null where there is none. Each hop is one join of what still moves.
+    """
+    answers = answers.select(F.col("url").alias("at"), F.col("status").cast("string").alias("answer"), F.col("location").alias("to"))
+    going = requests.select("url", F.col("url").alias("at"), F.array("url").alias("seen"))
+    done = []
+    for hop in range(hops + 1):
+        met = going.join(answers, "at", "left").withColumn("to", F.when(F.col("answer").startswith("3"), F.col("to")))
+        end = (
+            F.when(F.col("to").isNull(), F.col("answer"))
+            .when(F.array_contains("seen", F.col("to")), "LOOP")
+            .when(~F.coalesce(allowed(F.col("at"), F.col("to")), F.lit(False)), "BLOCKED")
+            .when(F.lit(hop == hops), "TOO_MANY")
+            .otherwise("")
+        )
+        met = met.withColumn("status", end)
+        done.append(met.where("status is null or status != ''").select("url", "at", "status", F.size("seen").alias("seen")))
+        going = met.where("status = ''").select("url", F.col("to").alias("at"), F.array_append("seen", F.col("to")).alias("seen"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out
+
+
+def debounced(events: DataFrame, key: str, at: str, tie: str, quiet: int) -> DataFrame:
+    """The events of each key after which nothing comes for so long; of equal times the last by tie."""
+    w = Window.partitionBy(key).orderBy(at, tie)
+    return events.withColumn("_next", F.lead(at).over(w)).where(F.col("_next").isNull() | (F.col("_next") - F.col(at) >= quiet)).drop("_next")
+
+
+def resolved(uses: DataFrame, things: DataFrame) -> DataFrame:
+    """Uses (book, ord, id) with what is kept under the id, null where nothing is; of several the last by place holds."""
+    last = things.groupBy("book", "id").agg(F.max_by("content", "place").alias("content"))
+    return uses.join(last, ["book", "id"], "left").select("book", "ord", "id", "content")
+
+
+def warnings(found: DataFrame, most: int = 2) -> DataFrame:
+    """(book, warnings): what is said of a book's skipped pictures and guessed letters, at most so many."""
+    counts = found.groupBy("book").agg(F.count_if(F.col("content").isNull()).alias("skipped"), F.count("*").alias("all"), F.max(F.col("guessed").cast("int")).alias("guessed"))
+    said = F.array_compact(
+        F.array(
+            F.when(F.col("skipped") > 0, F.concat(F.lit("Пропущено рисунков: "), "skipped")),
+            F.when(F.col("guessed") == 1, "Кодировка определена по буквам"),
+            F.when(F.col("skipped") == F.col("all"), "Рисунков нет"),
+        )
+    )
+    return counts.select("book", F.slice(said, 1, most).alias("warnings"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import words as wd
-from leafmill.operators import shelf, voices
+from leafmill.operators import corpus, shelf, voices
 from leafmill.plans.registry import query, table
 
 
@@ -372,3 +372,30 @@ def v8_voice_params(spark, sf):
     role, emotions = F.when(i % 5 == 0, "NARRATOR").otherwise("MALE"), F.when(i % 7 == 0, "OFF").otherwise("VIVID")
     params = voices.voice_params(pick(["SUPERTONIC", "VOSK", "SYSTEM", "KOKORO"]), F.lit(1.2), F.lit(1.1), F.lit(1.07), emotions, role, pick(["ANGRY", "SAD", "JOY"]))
     return table(spark, sf, "events").select("event_id", params.alias("p")).select("event_id", "p.speed", "p.noise", "p.pitch")
+
+
+@query("""WITH RECURSIVE a AS (SELECT page_id AS url, CASE WHEN page_id % 3 = 0 THEN '200' ELSE '302' END AS s, CASE WHEN page_id % 3 = 0 THEN NULL ELSE (page_id * 7 + 1) % 53 END AS l FROM pages),
+    w AS (SELECT url, url AS "at", [url] AS seen, 0 AS hop, '' AS status FROM a UNION ALL SELECT w.url, CASE WHEN n.status = '' THEN a.l ELSE w."at" END, CASE WHEN n.status = '' THEN list_append(w.seen, a.l) ELSE w.seen END, hop + 1, n.status
+      FROM w LEFT JOIN a ON a.url = w."at", LATERAL (SELECT CASE WHEN a.l IS NULL THEN coalesce(a.s, 'none') WHEN list_contains(w.seen, a.l) THEN 'LOOP' WHEN a.l % 11 = 5 THEN 'BLOCKED' WHEN hop = 5 THEN 'TOO_MANY' ELSE '' END AS status) n WHERE w.status = '')
+    SELECT url, "at", nullif(status, 'none') AS status, len(seen)::INT AS seen FROM w WHERE status <> ''""")
+def s14_u6_redirects(spark, sf):
+    pages, key = table(spark, sf, "pages"), F.col("page_id")
+    answers = pages.select(key.alias("url"), F.when(key % 3 == 0, "200").otherwise("302").alias("status"), F.when(key % 3 > 0, (key * 7 + 1) % 53).alias("location"))
+    return corpus.redirected(answers.select("url"), answers, lambda source, target: target % 11 != 5)
+
+
+@query("""SELECT event_id FROM (SELECT event_id, user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events) WHERE n IS NULL OR n - t >= 3600000000""")
+def t9_debounced(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return corpus.debounced(events, "user_id", "t", "event_id", 3_600_000_000).select("event_id")
+
+
+@query("""WITH u AS (SELECT l_orderkey AS book, l_linenumber AS ord, l_suppkey % 10 AS id, l_quantity > 45 AS g FROM lineitem), t AS (SELECT o_orderkey AS book, o_custkey % 10 AS id, 'p' || o_custkey AS c FROM orders),
+    r AS (SELECT u.book, count(*) FILTER (t.c IS NULL) AS s, count(*) AS n, bool_or(g) AS g FROM u LEFT JOIN t ON u.book = t.book AND u.id = t.id GROUP BY 1)
+    SELECT book, list_filter([CASE WHEN s > 0 THEN 'Пропущено рисунков: ' || s END, CASE WHEN g THEN 'Кодировка определена по буквам' END, CASE WHEN s = n THEN 'Рисунков нет' END], lambda x: x IS NOT NULL)[1:2] AS warnings FROM r""")
+def j2_a15_l9_pictures(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("ord"), (F.col("l_suppkey") % 10).alias("id"), (F.col("l_quantity") > 45).alias("guessed"))
+    kept = table(spark, sf, "orders").select(F.col("o_orderkey").alias("book"), (F.col("o_custkey") % 10).alias("id"), F.concat(F.lit("p"), "o_custkey").alias("content"), F.lit(0).alias("place"))
+    found = corpus.resolved(rows, kept)
+    guessed = rows.groupBy("book").agg(F.max("guessed").alias("guessed"))
+    return corpus.warnings(found.join(guessed, "book"))
