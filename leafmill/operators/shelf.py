@@ -240,3 +240,21 @@ def part_styles(styles: Column, first: Column, past: Column) -> Column:
 def found_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Words with what a lexicon has for exactly them; the lexicon grows, so the join is the engine's choice."""
     return words.join(lexicon, "word")
+
+
+def look_ahead(segments: DataFrame, most: int = 24, seconds: int = 60) -> DataFrame:
+    """Segments (book, index, length) with how many may be made ahead of each: so many, or so much sound, whichever is less.
+
+    A segment's sound is told by its letters, 14 a second.
+    """
+    w = Window.partitionBy("book").orderBy("index")
+    rows = segments.withColumn("at", F.sum(F.col("length") / 14.0).over(w) - F.col("length") / 14.0)
+    near = Window.partitionBy("book").orderBy("at").rangeBetween(Window.currentRow, seconds)
+    return rows.withColumn("ahead", F.least(F.count("*").over(near), F.lit(most))).drop("at")
+
+
+def neighbours(texts: DataFrame) -> DataFrame:
+    """(doc_id, place, word, before, after) of the words of texts, in lower case; null at the ends."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}+]+)"), F.lit(1))
+    around = F.transform(F.col("w"), lambda x, i: F.struct(x.alias("word"), F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))
+    return texts.select("doc_id", found.alias("w")).select("doc_id", F.posexplode(around).alias("place", "x")).select("doc_id", "place", "x.*")

@@ -399,3 +399,17 @@ def j2_a15_l9_pictures(spark, sf):
     found = corpus.resolved(rows, kept)
     guessed = rows.groupBy("book").agg(F.max("guessed").alias("guessed"))
     return corpus.warnings(found.join(guessed, "book"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS book, l_linenumber * 100000000000 + round(l_extendedprice * 100)::BIGINT AS i, l_partkey % 300 + 1 AS n FROM lineitem), c AS (SELECT book, i, sum(n) OVER (PARTITION BY book ORDER BY i) - n AS "at" FROM s)
+    SELECT a.book, a.i AS "index", least(count(*), 24) AS ahead FROM c a JOIN c b ON a.book = b.book AND b."at" >= a."at" AND b."at" <= a."at" + 840 GROUP BY 1, 2""")
+def t1_look_ahead(spark, sf):
+    index = (F.col("l_linenumber") * 10**11 + F.round(F.col("l_extendedprice") * 100)).cast("long")
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), index.alias("index"), ((F.col("l_partkey") % 300 + 1) * 14).alias("length"))
+    return shelf.look_ahead(rows, seconds=840).select("book", "index", "ahead")
+
+
+@query("""WITH w AS (SELECT item_id AS doc_id, regexp_extract_all(lower(text), '[\\p{L}+]+') AS w FROM benchmark), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)
+    SELECT doc_id, (i - 1)::INT AS place, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before, w[i + 1] AS after FROM p""")
+def n1_neighbours(spark, sf):
+    return shelf.neighbours(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
