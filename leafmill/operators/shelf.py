@@ -258,3 +258,30 @@ def neighbours(texts: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}+]+)"), F.lit(1))
     around = F.transform(F.col("w"), lambda x, i: F.struct(x.alias("word"), F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))
     return texts.select("doc_id", found.alias("w")).select("doc_id", F.posexplode(around).alias("place", "x")).select("doc_id", "place", "x.*")
+
+
+def positions(log: DataFrame) -> DataFrame:
+    """(book, chapter, progress, opened) after all updates in order of seq, clamped; no opening time keeps the one before."""
+    last = log.groupBy("book").agg(F.max_by(F.struct("chapter", "progress"), "seq").alias("p"), F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("seq"))).alias("opened"))
+    return last.select("book", F.greatest(F.col("p.chapter"), F.lit(0)).alias("chapter"), F.least(F.greatest(F.col("p.progress"), F.lit(0.0)), F.lit(1.0)).alias("progress"), "opened")
+
+
+def last_others(turns: DataFrame) -> DataFrame:
+    """Turns (talk, ord, speaker) with the last speaker before the present one's run who is someone else, and how many of the last six are not the present one's."""
+    w = Window.partitionBy("talk").orderBy("ord")
+    starts = turns.withColumn("_before", F.lag("speaker").over(w))
+    changes = F.when(~F.col("speaker").eqNullSafe(F.col("_before")), F.col("_before"))
+    runs = starts.withColumn("other", F.last(changes, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    recent = F.collect_list("speaker").over(w.rowsBetween(-6, -1))
+    return runs.withColumn("_six", recent).withColumn("others", F.size(F.filter("_six", lambda s: s != F.col("speaker")))).drop("_before", "_six")
+
+
+def is_zip(content: Column) -> Column:
+    """V6: the header of an archive."""
+    return F.hex(F.substring(content, 1, 4)) == "504B0304"
+
+
+def looks_like_fb2(content: Column) -> Column:
+    """V6: an archive, or the first 2,048 bytes name the format."""
+    head = F.lower(F.decode(F.substring(content, 1, 2048), "ISO-8859-1"))
+    return is_zip(content) | F.contains(head, F.lit("<fictionbook"))

@@ -91,3 +91,25 @@ def voice_params(engine: Column, speed: Column, rate: Column, pitch: Column, emo
         of(1).alias("length_noise"),
         F.when(engine == "SYSTEM", pitch).otherwise(1.0).alias("pitch"),
     )
+
+
+# The name of each engine in settings, and the last speaker it has.
+CODES = {"supertonic": ("SUPERTONIC", 9), "kokoro": ("KOKORO", (1 << 31) - 1), "kokoroRu": ("KOKORO_RU", 2), "vosk": ("VOSK", 56)}
+
+
+def decoded_choice(code: Column) -> Column:
+    """V3: (engine, speaker, package, voice) of a stored choice, speakers clamped; null for what is none."""
+    parts = F.split(code, ":", 3)
+    number = F.get(parts, F.lit(1)).try_cast("int")
+    struct = lambda engine, speaker, package, voice: F.struct(engine.alias("engine"), speaker.cast("int").alias("speaker"), package.alias("package"), voice.alias("voice"))
+    none = F.lit("")
+    found = F.when((parts[0] == "system") & (F.size(parts) == 3) & (F.trim(F.get(parts, F.lit(1))) != ""), struct(F.lit("SYSTEM"), F.lit(0), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))))
+    for name, (engine, last) in CODES.items():
+        found = found.when((parts[0] == name) & number.isNotNull(), struct(F.lit(engine), F.least(F.greatest(number, F.lit(0)), F.lit(last)), none, none))
+    return F.when(F.trim(code) != "", found)
+
+
+def encoded_choice(choice: Column) -> Column:
+    """V3: a choice as it is stored."""
+    names = F.create_map(*[F.lit(x) for name, (engine, _) in CODES.items() for x in (engine, name)])
+    return F.when(choice["engine"] == "SYSTEM", F.concat(F.lit("system:"), choice["package"], F.lit(":"), choice["voice"])).otherwise(F.concat(names[choice["engine"]], F.lit(":"), choice["speaker"]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
 from leafmill.functions import web
-from leafmill.operators import library
+from leafmill.operators import library, shelf, voices
 from leafmill.plans.registry import query, table
 
 _CHAPTER = r"^(?:(?i:(?:глава|chapter|часть|part)\s+(?:\d+|[ivxlcdm]+)(?:[. :—–-].*)?|пролог|эпилог|prologue|epilogue)(?:[. :—–-].*)?)$"
@@ -146,19 +146,22 @@ def f1_library_filter(spark, sf):
     return table(spark, sf, "documents").where(library.matches(" SRC1 ", "reading", F.col("text"), F.col("source"), F.col("lang"), progress)).select("doc_id")
 
 
-@query("SELECT page_id, upper(hex(encode(html))[1:8]) = '504B0304' AS zip, contains(html, '<FictionBook') AS fb2, sha256(html) AS digest FROM pages")
+@query("""SELECT page_id, upper(hex(encode(h))[1:8]) = '504B0304' AS zip, upper(hex(encode(h))[1:8]) = '504B0304' OR contains(lower(substr(h, 1, 500)), '<fictionbook') AS fb2, sha256(h) AS digest, sha1(h) AS short FROM
+    (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'PK' || chr(3) || chr(4) || html WHEN 1 THEN '<?xml?><FictionBook>' || html ELSE html END AS h FROM pages)""")
 def v5_v6_magic(spark, sf):
-    content = F.encode("html", "UTF-8")
-    return table(spark, sf, "pages").select("page_id", (F.hex(F.substring(content, 1, 4)) == "504B0304").alias("zip"), F.contains("html", F.lit("<FictionBook")).alias("fb2"), F.sha2("html", 256).alias("digest"))
+    k = F.col("page_id") % 3
+    html = F.when(k == 0, F.concat(F.lit("PK\x03\x04"), "html")).when(k == 1, F.concat(F.lit("<?xml?><FictionBook>"), "html")).otherwise(F.col("html"))
+    content = F.encode(html, "UTF-8")
+    return table(spark, sf, "pages").select("page_id", shelf.is_zip(content).alias("zip"), shelf.looks_like_fb2(content).alias("fb2"), F.sha2(content, 256).alias("digest"), F.sha1(content).alias("short"))
 
 
-@query("""SELECT p_partkey, CASE WHEN len(s) = 3 THEN s[1] END AS engine, CASE WHEN len(s) = 3 THEN s[3] END AS voice FROM
-    (SELECT p_partkey, string_split(CASE WHEN p_partkey % 3 = 0 THEN 'bad' ELSE 'VOSK|' || p_partkey || '|v' || p_partkey % 5 END, '|') AS s FROM part)""")
+_CODES = ["supertonic:12", "kokoro:-3", "kokoroRu:2", "vosk:99", "system:com.x:voice:1", "system: :v", "vosk:x", "bad", " ", "system:a"]
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_CODES}[(p_partkey % 10)::INT + 1] AS c FROM part) SELECT p_partkey, CASE c WHEN 'supertonic:12' THEN 'supertonic:9' WHEN 'kokoro:-3' THEN 'kokoro:0' WHEN 'vosk:99' THEN 'vosk:56' WHEN 'kokoroRu:2' THEN c WHEN 'system:com.x:voice:1' THEN c END AS code FROM c""")
 def v3_voice_decode(spark, sf):
-    coded = F.when(F.col("p_partkey") % 3 == 0, "bad").otherwise(F.concat(F.lit("VOSK|"), "p_partkey", F.lit("|v"), F.col("p_partkey") % 5))
-    parts = F.split(coded, "\\|", 3)
-    whole = F.size(parts) == 3
-    return table(spark, sf, "part").select("p_partkey", F.when(whole, parts[0]).alias("engine"), F.when(whole, parts[2]).alias("voice"))
+    code = F.array(*map(F.lit, _CODES))[(F.col("p_partkey") % 10).cast("int")]
+    return table(spark, sf, "part").select("p_partkey", voices.encoded_choice(voices.decoded_choice(code)).alias("code"))
 
 
 @query("""WITH p AS (SELECT page_id, page_id % 5 AS k, 'https://s.example/book/' || page_id AS u FROM pages)

@@ -413,3 +413,16 @@ def t1_look_ahead(spark, sf):
     SELECT doc_id, (i - 1)::INT AS place, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before, w[i + 1] AS after FROM p""")
 def n1_neighbours(spark, sf):
     return shelf.neighbours(table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+
+
+@query("""SELECT user_id AS book, greatest(arg_max(event_id % 9 - 2, event_id), 0) AS chapter, least(greatest(arg_max(value, event_id), 0.0), 1.0) AS progress, arg_max(event_id, event_id) FILTER (event_id % 3 > 0) AS opened FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def w3_positions(spark, sf):
+    i = F.col("event_id")
+    log = table(spark, sf, "events").where("value is not null").select(F.col("user_id").alias("book"), i.alias("seq"), (i % 9 - 2).alias("chapter"), F.col("value").alias("progress"), F.when(i % 3 > 0, i).alias("opened"))
+    return shelf.positions(log)
+
+
+@query("""WITH t AS (SELECT user_id AS talk, event_id AS ord, event_type AS speaker FROM events), b AS (SELECT *, lag(speaker) OVER w AS before, list(speaker) OVER (PARTITION BY talk ORDER BY ord ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS six FROM t WINDOW w AS (PARTITION BY talk ORDER BY ord))
+    SELECT talk, ord, speaker, last_value(CASE WHEN speaker IS DISTINCT FROM before THEN before END IGNORE NULLS) OVER (PARTITION BY talk ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS other, coalesce(len(list_filter(six, lambda s: s <> speaker)), 0)::INT AS others FROM b""")
+def n3_last_others(spark, sf):
+    return shelf.last_others(table(spark, sf, "events").select(F.col("user_id").alias("talk"), F.col("event_id").alias("ord"), F.col("event_type").alias("speaker")))

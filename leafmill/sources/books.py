@@ -6,6 +6,8 @@ out for each file, with a status in place of an error.
 
 from __future__ import annotations
 
+import codecs
+import contextlib
 import io
 import posixpath
 import zipfile
@@ -62,6 +64,19 @@ def legacy_charset(content: bytes) -> str:
         return "windows-1251" if small >= large else "koi8-r"
 
 
+NAMED_CHARSET = regex.compile(rb"(?i)charset\s*=\s*[\"']?([a-zA-Z0-9_.:-]+)")
+
+
+def charset(header: str | None, content: bytes) -> str:
+    """The header's word, else that of the first 8 KB, else a guess; names that are none are passed over."""
+    named = NAMED_CHARSET.search(content[:8192])
+    for name in ((header or "").strip(), named[1].decode() if named else ""):
+        with contextlib.suppress(LookupError):
+            if name:
+                return codecs.lookup(name).name
+    return legacy_charset(content)
+
+
 def zip_path(base: str, href: str) -> str | None:
     """The entry that a link in an archive means; None for one that leaves it."""
     plain = unquote(regex.split("[#?]", href)[0])
