@@ -83,3 +83,26 @@ def v9_v10_sounds(spark, sf):
 @query()
 def a20_pitch(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", sound.median_pitch("embedding", F.lit(800)).alias("hz"))
+
+
+@query("""WITH l AS (SELECT doc_id AS page, i // 3 AS block, i, p[i + 1] AS text, 9 + doc_id % 4 * 2 + i % 2 AS size, doc_id % 5 = 0 AS bold, lang AS font FROM (SELECT doc_id, lang, p, unnest(range(0, len(p))) AS i FROM (SELECT doc_id, lang, string_split(CASE WHEN doc_id % 7 = 0 THEN 'Fig. 3 ' || text ELSE text END, chr(10)) AS p FROM documents))),
+    b AS (SELECT page, block, array_to_string(list(text ORDER BY i), ' ') AS text, count(*) AS n, list_sort(list(size))[(count(*) // 2)::INT + 1] AS size, min(size) AS least, bool_and(bold) AS bold, bool_or(font = 'en' AND NOT bold) AS plain FROM l GROUP BY 1, 2)
+    SELECT page, block::BIGINT AS block, CASE WHEN regexp_matches(text, '^(?i:figure|fig\\.|table)\\s*[\\dA-ZА-Я]+') THEN 'CAPTION' WHEN n <= 4 AND length(text) <= 200 AND least >= 11.5 THEN CASE WHEN size >= 15 THEN 'HEADING' ELSE 'SUBHEADING' END
+    WHEN n <= 2 AND length(text) <= 80 AND bold AND size >= 9.5 AND NOT regexp_matches(text, '[.,;]$') AND NOT plain THEN 'SUBHEADING' END AS kind FROM b""")
+def p9_block_kinds(spark, sf):
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Fig. 3 "), "text")).otherwise(F.col("text"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("page"), F.col("lang").alias("font"), F.posexplode(F.split(text, "\n", -1)).alias("i", "text"))
+    lines = rows.select("page", F.floor(F.col("i") / 3).alias("block"), F.col("i").alias("ord"), "text", (9 + F.col("page") % 4 * 2 + F.col("i") % 2).alias("size"), (F.col("page") % 5 == 0).alias("bold"), "font")
+    return typeset.block_kinds(lines, 10.0, "en").select("page", "block", "kind")
+
+
+@query("""WITH g AS (SELECT item_id AS page, i // 40 AS line, i, substr(text, i + 1, 1) AS c, CASE WHEN i % 40 < 20 THEN 'Sans' ELSE 'Serif' END AS font, 8 + i % 3 AS size FROM (SELECT item_id, text, unnest(range(0, length(text))) AS i FROM benchmark)),
+    l AS (SELECT page, line, array_to_string(list(CASE WHEN c IN (' ', chr(10)) THEN ' ' WHEN i % 40 = 13 AND lead_ink THEN ' ' || c ELSE c END ORDER BY i), '') AS t, list_sort(list(size) FILTER (c NOT IN (' ', chr(10)))) AS s, max((CASE WHEN font = 'Sans' THEN a ELSE z END, font)) AS f
+      FROM (SELECT *, coalesce(lag(c) OVER (PARTITION BY page, line ORDER BY i) NOT IN (' ', chr(10)), false) AS lead_ink, count(*) FILTER (font = 'Sans' AND c NOT IN (' ', chr(10))) OVER (PARTITION BY page, line) AS a, count(*) FILTER (font = 'Serif' AND c NOT IN (' ', chr(10))) OVER (PARTITION BY page, line) AS z FROM g) GROUP BY page, line)
+    SELECT page, line::BIGINT AS line, trim(regexp_replace(t, ' +', ' ', 'g')) AS text, f[2] AS font, s[len(s) // 2 + 1] AS size FROM l WHERE trim(t) <> ''""")
+def p2_finished_lines(spark, sf):
+    letters = table(spark, sf, "benchmark").select(F.col("item_id").alias("page"), F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "text"))
+    place = F.col("i") % 40
+    x = F.col("i") * 10 + F.when(place >= 13, 5).otherwise(0)  # a gap before the fourteenth
+    glyphs = letters.select("page", F.floor(F.col("i") / 40).alias("line"), x.alias("x"), F.lit(10).alias("width"), "text", F.when(place < 20, "Sans").otherwise("Serif").alias("font"), (8 + F.col("i") % 3).alias("size"))
+    return typeset.finished_lines(glyphs).select("page", "line", "text", "font", "size")
