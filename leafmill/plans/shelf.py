@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import words as wd
-from leafmill.operators import corpus, shelf, voices
+from leafmill.operators import corpus, library, shelf, voices
 from leafmill.plans.registry import query, table
 
 
@@ -426,3 +426,42 @@ def w3_positions(spark, sf):
     SELECT talk, ord, speaker, last_value(CASE WHEN speaker IS DISTINCT FROM before THEN before END IGNORE NULLS) OVER (PARTITION BY talk ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS other, coalesce(len(list_filter(six, lambda s: s <> speaker)), 0)::INT AS others FROM b""")
 def n3_last_others(spark, sf):
     return shelf.last_others(table(spark, sf, "events").select(F.col("user_id").alias("talk"), F.col("event_id").alias("ord"), F.col("event_type").alias("speaker")))
+
+
+@query("""WITH w AS (SELECT DISTINCT replace(unnest(regexp_extract_all(lower(text), '\\p{L}+')), 'q', 'ё') AS word FROM benchmark UNION SELECT DISTINCT replace(unnest(regexp_extract_all(lower(text), '\\p{L}+')), 'on', 'ё') FROM benchmark UNION SELECT DISTINCT replace(unnest(regexp_extract_all(lower(text), '\\p{L}+')), 'on', 'е') FROM benchmark)
+    SELECT word FROM w WHERE word NOT IN (SELECT translate(word, 'ё', 'е') FROM w WHERE contains(word, 'ё'))""")
+def j7_plain_spellings(spark, sf):
+    w = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1))).alias("w"))
+    forms = w.select(F.explode(F.array(*[F.replace("w", F.lit(a), F.lit(b)) for a, b in (("q", "ё"), ("on", "ё"), ("on", "е"))])).alias("word")).distinct()
+    return corpus.without_plain_spelling(forms)
+
+
+@query("""SELECT s_suppkey, regexp_replace(regexp_replace(translate(lower(trim('  ' || s_name || chr(39) || 's Ёж ')), 'ё' || chr(769), 'е'), '(\\S)[''’]s(\\s|$)', '\\1\\2', 'g'), 'x^', '') AS key FROM supplier""")
+def c12_name_keys(spark, sf):
+    from leafmill.functions import text as tx
+
+    return table(spark, sf, "supplier").select("s_suppkey", tx.name_key(F.concat(F.lit("  "), "s_name", F.lit("'s Ёж "))).alias("key"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 - 1 >= 0 THEN ((least(o_orderkey % 7 - 1, 4) + (least(o_orderkey % 300, 100)::FLOAT / 100::FLOAT)::FLOAT)::FLOAT / 5::FLOAT)::FLOAT ELSE 0 END::FLOAT AS progress FROM orders""")
+def v2_progress(spark, sf):
+    key = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", library.to_progress(key % 7 - 1, key % 300, F.lit(100), F.lit(5)).alias("progress"))
+
+
+@query("""SELECT o_custkey AS book_id, k AS kind, c AS chapter, count(*) AS n FROM (SELECT o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'BOOKMARK' WHEN 1 THEN 'HIGHLIGHT' ELSE 'ODD' END AS k, (o_orderkey % 4)::INT AS c FROM orders) WHERE k <> 'ODD' GROUP BY 1, 2, 3""")
+def s17_l4_annotations(spark, sf):
+    from leafmill.sources import stores
+
+    one = F.struct(F.when(F.col("o_orderkey") % 3 == 0, "BOOKMARK").when(F.col("o_orderkey") % 3 == 1, "HIGHLIGHT").otherwise("ODD").alias("kind"), (F.col("o_orderkey") % 4).alias("chapter"), F.lit(1).alias("paragraph"), F.lit(2).alias("start"))
+    rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("book_id")).agg(F.to_json(F.collect_list(one)).alias("json"))
+    return stores.annotations(rows).groupBy("book_id", "kind", "chapter").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN ['маша', 'n' || s_suppkey] ELSE ['маша'] END AS names FROM supplier""")
+def s19_choices(spark, sf):
+    from leafmill.sources import stores
+
+    key = F.col("s_suppkey")
+    json = F.concat(F.lit('{"маша":"f","odd":"x","n'), key, F.lit('":"'), F.when(key % 2 == 0, "m").otherwise("?"), F.lit('"}'))
+    return table(spark, sf, "supplier").select("s_suppkey", F.map_keys(stores.choices(json)).alias("names"))
