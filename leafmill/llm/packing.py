@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from leafmill.llm.common import cut, key_text, slices
 
 CAPACITY, END_ID = 1024, 2
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 800_000
+#: Words whose ids a worker keeps, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 800_000, 64 << 20
 
 
 def _tangled(text: str, words: list[str]) -> bool:
@@ -54,6 +54,7 @@ class WordIds:
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
         self.word = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kept: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -71,11 +72,13 @@ class WordIds:
             try:
                 out.append(first + b"".join([kept[w] for w in words[1:]]))
             except KeyError:
-                if len(kept) > CACHE_WORDS:
+                if len(kept) > CACHE_WORDS or self.held > CACHE_BYTES:
                     kept.clear()
+                    self.held = 0
                 for w in words[1:]:
                     if w not in kept:
                         kept[w] = array("I", self.word(w if w[0] == "\n" else " " + w)).tobytes()
+                        self.held += len(w) + len(kept[w])
                 out.append(first + b"".join([kept[w] for w in words[1:]]))
         return out
 

@@ -23,8 +23,10 @@ from leafmill.llm.common import key_text, slices
 
 codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 SPACE = "▁"
-#: Words whose ids a worker keeps, and pairs of pieces whose verdict it keeps.
-CACHE_WORDS, CACHE_PAIRS = 700_000, 700_000
+#: Words whose ids a worker keeps, their bytes, and pairs of pieces whose verdict it keeps.
+CACHE_WORDS, CACHE_BYTES, CACHE_PAIRS = 700_000, 64 << 20, 700_000
+#: What a normalizer would change: a ligature, an enclosed and a wide letter, two spaces, a tab.
+PROBE = "ﬁ ①  x\tＡ é"
 _UNITS = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 
@@ -34,6 +36,8 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE):
+            raise ValueError("the model's normalizer changes texts, which is not known here")
         n = model.get_piece_size()
         self.end = model.eos_id()
         self.byte = [0] * 256
@@ -60,6 +64,7 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
         self.joined = {(a, b): self.ids[p] for p in self.ids for k in range(1, len(p)) if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None}
         self.kept: dict[str, bytes] = {}
+        self.held = 0
         self.end_bytes = array("I", [self.end]).tobytes()
         self.strange = re.compile(f"[^{re.escape(''.join(self.known))}]").search
 
@@ -146,13 +151,15 @@ class Pieces:
         try:
             found = [kept[w] for w in words]
         except KeyError:
-            if len(kept) > CACHE_WORDS:
+            if len(kept) > CACHE_WORDS or self.held > CACHE_BYTES:
                 kept.clear()
+                self.held = 0
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             for w in words:
                 if w not in kept:
                     kept[w] = self.word(w if w[:1] == "\n" else SPACE + w)
+                    self.held += len(w) + len(kept[w])
             found = [kept[w] for w in words]
         found.append(self.end_bytes)
         return b"".join(found)

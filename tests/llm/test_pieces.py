@@ -43,3 +43,18 @@ def test_query_columns(make_docs, sample, lib):
 
 def test_empty_table(make_docs):
     assert pieces.digests(pieces.decode(pieces.encode(make_docs([]), PATH), PATH)).count() == 0
+
+
+def test_kept_words_are_bounded_by_bytes(monkeypatch, lib):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 1000)
+    model = pieces.Pieces(PATH)
+    for k in range(50):
+        text = f"word{k} " + "z" * 400
+        assert np.frombuffer(model.encode(text), "<u4").tolist() == lib.encode(text, add_eos=True)
+        assert model.held < 4000
+
+
+def test_other_normalizers_are_refused(monkeypatch):
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, text: "changed", raising=False)
+    with pytest.raises(ValueError, match="normalizer"):
+        pieces.Pieces(PATH)
