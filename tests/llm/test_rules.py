@@ -1,6 +1,9 @@
+import random
 import re
 from collections import Counter
 
+import xxhash
+
 from leafmill.llm import rules
 
 
@@ -67,3 +70,58 @@ def test_few_documents_with_a_block(make_docs):
 
 def test_empty_table(make_docs):
     assert rules.judge(make_docs([])).count() == 0
+
+
+def test_twenty_shared_lines(make_docs):
+    menu = [" ".join(f"menu{i}x{j}" for j in range(9)) for i in range(20)]
+    rows = [(k, "\n".join(menu + [" ".join(f"d{k}x{i}x{j}" for j in range(9)) for i in range(6)]), "en", "one") for k in range(400)]
+    out = rules.judge(make_docs(rows)).collect()
+    assert len(out) == 400 and all(r.removed_words == 180 and not r.kept for r in out)
+
+
+def slow_verdicts(rows, many=rules.MANY, share=rules.SHARE, depleted=rules.DEPLETED):
+    """(removed words, kept) of each row by loops: rows are (text, host)."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    lines_of, words_of, signature = [], [], []
+    for text, _ in rows:
+        text = text or ""
+        lines = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in text.split("\n")]
+        lines_of.append([(" ".join(x.lower() for x in line), len(line)) for line in lines if line])
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        words_of.append(words)
+        signature.append(tuple(sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words})[: rules.SIGNED]))
+    hosts = Counter(host for _, host in rows)
+    texts = {}
+    for (text, host), lines, sign in zip(rows, lines_of, signature, strict=True):
+        for line, _ in lines:
+            texts.setdefault((host, line), {}).setdefault(sign, set()).add(text or "")
+    common = set()
+    for (host, line), by_sign in texts.items():
+        k = [len(x) for x in by_sign.values()]
+        n = sum(k)
+        if n * n > many * sum(x * x for x in k) and n > hosts[host] * share:
+            common.add((host, line))
+    out = []
+    for (text, host), lines, words in zip(rows, lines_of, words_of, strict=True):
+        gone, (n, _, _, _, repeated) = sum(m for line, m in lines if (host, line) in common), slow(text)
+        failed = n < rules.MIN_WORDS or 100 * repeated > rules.MAX_REPEAT * n
+        out.append((gone, not failed and gone <= depleted * n))
+    return out
+
+
+def test_verdicts_against_loops(make_docs, sample):
+    rnd = random.Random(2)
+    blocks = [[" ".join(f"b{b}l{i}w{j}" for j in range(6)) for i in range(rnd.randint(1, 12))] for b in range(6)]
+    rows = [(k, t, "en", f"host{k % 2}") for k, t in enumerate(sample)]
+    for k in range(260):
+        lines = [x.upper() if rnd.random() < 0.2 else f"  {x} " for b in rnd.sample(blocks, rnd.randint(0, 3)) for x in b]
+        lines += [" ".join(f"own{rnd.randrange(9000)}" for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(0, 8))]
+        rnd.shuffle(lines)
+        rows.append((1000 + k, "\n".join(lines), "en", rnd.choice(["host0", "host1", None])))
+    rows += [rows[-1], rows[-2], (None, None, "en", None), (None, "", "en", "host0")]
+    for k in range(40):  # near copies of one text
+        rows.append((2000 + k, rows[30][1].replace("a", "a", 1) + f"\nend {k}", "en", "host0"))
+    got = sorted((str(r.doc_id), r.n_words, r.removed_words, r.kept) for r in rules.judge(make_docs(rows)).collect())
+    want = slow_verdicts([(t, host) for _, t, _, host in rows])
+    assert got == sorted((str(r[0]), slow(r[1])[0], gone, kept) for r, (gone, kept) in zip(rows, want, strict=True))
+    assert sum(gone > 0 for gone, _ in want) > 100 and 20 < sum(kept for _, kept in want) < len(rows) - 20
