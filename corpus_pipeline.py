@@ -11,7 +11,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leafmill.llm import packing, quality, rules, simhash, suffix_dedup
 from leafmill.llm.common import cut, documents
@@ -51,9 +50,8 @@ def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = simhash.representatives(simhash.near_copies(docs))
     marked = _marked(docs)
     kept = marked.join(chosen, _same(marked, chosen), "left_semi")
-    # rows that share id and text stand together after the join
-    first = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash"))
-    return kept.withColumn("_row", first).where("_row = 1").select(*docs.columns)
+    # repeated rows become one where they are read, so they are no hot group
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
