@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions import text as tx
 from leafmill.operators import corpus, library
 from leafmill.plans.registry import query, table
 
