@@ -174,11 +174,11 @@ def w5_w7_upserts(spark, sf):
 
 
 @query("""WITH p AS (SELECT event_type AS word, user_id AS book, event_id AS "at", 'v' || event_id AS spoken, event_id % 3 = 0 AS e FROM events), l AS (SELECT book, word, arg_max({'s': spoken, 'e': e}, "at") AS p, max("at") AS "at" FROM p GROUP BY ALL),
-    o AS (SELECT c_custkey AS book, 'click' AS word, 'old' AS spoken FROM customer UNION ALL SELECT NULL, w, 'shared' FROM (VALUES ('click'), ('other')) v(w)), k AS (SELECT word, arg_max(p, "at") AS p FROM l GROUP BY word)
+    o AS (SELECT c_custkey AS book, CASE WHEN c_custkey % 2 = 0 THEN 'click' ELSE 'quiet' END AS word, 'old' AS spoken FROM customer UNION ALL SELECT NULL, w, 'shared' FROM (VALUES ('click'), ('other')) v(w)), k AS (SELECT word, arg_max(p, "at") AS p FROM l GROUP BY word)
     SELECT book, word, spoken FROM o WHERE book IS NOT NULL AND (book, word) NOT IN (SELECT (book, word) FROM l) UNION ALL SELECT NULL, word, spoken FROM o WHERE book IS NULL AND word NOT IN (SELECT word FROM l)
     UNION ALL SELECT book, word, p.s FROM l WHERE NOT p.e UNION ALL SELECT NULL, word, p.s FROM k WHERE p.e""")
 def w6_put_words(spark, sf):
-    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("book"), F.lit("click").alias("word"), F.lit("old").alias("spoken"))
+    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("book"), F.when(F.col("c_custkey") % 2 == 0, "click").otherwise("quiet").alias("word"), F.lit("old").alias("spoken"))
     old = old.union(spark.createDataFrame([(None, "click", "shared"), (None, "other", "shared")], "book long, word string, spoken string"))
     puts = table(spark, sf, "events").select(F.col("user_id").alias("book"), F.upper("event_type").alias("word"), F.concat(F.lit("v"), "event_id").alias("spoken"), (F.col("event_id") % 3 == 0).alias("everywhere"), F.col("event_id").alias("at"))
     return shelf.put_word(old, puts)
