@@ -41,6 +41,15 @@ def is_odd_case(word: Column) -> Column:
     return (F.length(word) >= 3) & ~word.rlike(spelled)
 
 
+def plain_words(text: Column) -> Column:
+    """C13, words alone: letters, with stress marks, hyphens and apostrophes inside.
+
+    Marks before no letter are blanked out first; then a word is a letter and a run of one class, which takes no recursion.
+    """
+    marked = F.regexp_replace(text, "[-'’](?!\\p{L})", " ")
+    return F.regexp_extract_all(marked, F.lit("(\\p{L}[\\p{L}\\u0301'’-]*+)"), F.lit(1))
+
+
 def sentences(text: Column) -> Column:
     """C14: sentences, cut after closing marks before white space; those without a letter are none."""
     return F.filter(F.transform(F.split(text, "(?<=[.!?…])(?=\\s)"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s.rlike("\\p{L}"))

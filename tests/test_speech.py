@@ -1,5 +1,6 @@
 """Literal cases for dialogue, segments, respelled words and labels."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,33 @@ def test_homographs(text, marked):
     from leafmill.functions import russian
 
     assert russian.homographs(text) == marked
+
+
+def test_words_in_small_parts(spark, monkeypatch):
+    """Many words are not held at once: the texts of a batch are read in parts, and long texts alone."""
+    texts = ["one two—three", None, "", "it's " * 40, "a", "last"]
+    monkeypatch.setattr(s, "WORDS_OF", 20)
+    parts = [list(p) for p in s.tokens.func(iter([pd.Series(texts[:3]), pd.Series(texts[3:]), pd.Series([], dtype=object)]))]
+    assert max(len(p) for p in parts) <= 3
+    assert [p for part in parts for p in part] == [[dict(zip(("word", "start", "gap", "opens"), w, strict=True)) for w in s.words(t or "")] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r["id"]: r["w"] for r in rows.select("id", s.tokens("text").alias("w")).collect()}
+    assert {k: [tuple(w) for w in ws] for k, ws in got.items()} == {k: s.words(t or "") for k, t in enumerate(texts)}
+
+
+ODD_WORDS = ["it's -a- b--c 'tis rock’n’roll d'", "за́мок по-русски-", "a-́b x́-y ́z", "", None, "1 2", "x" * 20000, "a-" * 20000, "𝔘𝔫i-co𝔡e straße\nnew"]
+
+
+def test_plain_words_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from leafmill.plans import registry
+
+    rows = [(k, t) for k, t in enumerate(ODD_WORDS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["c13_words"](spark, str(tmp_path))
+    assert "Python" not in got._jdf.queryExecution().toString()  # a word costs no Python object
+    with duckdb.connect() as con:
+        con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.sql(registry.oracle_sql()["c13_words"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
