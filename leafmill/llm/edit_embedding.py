@@ -20,16 +20,18 @@ of the only one is itself; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, released, slices
 
 SLOTS, PART, STEPS, REACH = 256, 4096, 9216, 8
-#: Characters walked side by side, and rows handled at once.
-STEP, ROWS = 6 << 20, 4096
+#: Characters walked side by side, and rows handled at once: a task holds some 50 MB meanwhile.
+STEP, ROWS = 2 << 20, 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,11 +158,12 @@ def in_order(docs: DataFrame) -> DataFrame:
     before = {}
     for k, r in enumerate(firsts):
         before[r["bucket"]] = (firsts[k - 1]["bucket"], 1 if k else 2, None if r["nulls"] else r["least"])
-    guest = F.array(*[F.struct(F.lit(b).alias("own"), F.lit(t).cast("int").alias("bucket"), F.lit(p).alias("place"), F.lit(i).cast("long").alias("least")) for b, (t, p, i) in before.items()])
-    also = F.filter(guest, lambda g: (g["own"] == F.col("bucket")) & g["least"].eqNullSafe(F.col("doc_id")))
-    stays = F.array(F.struct(F.col("bucket"), F.lit(0).alias("place")))
-    goes = F.transform(also, lambda g: F.struct(g["bucket"].alias("bucket"), g["place"].alias("place")))
-    dealt = ranged.select(F.explode(F.concat(stays, goes)).alias("to"), "doc_id", "text").select("to.*", "doc_id", "text")
+    # by range, so that a row looks at its own alone; ranges without rows are never looked at
+    places = [before.get(b, (0, 1, None)) for b in range(len(marks) + 1)]
+    guest = F.get(F.array(*[F.struct(F.lit(t).cast("int").alias("bucket"), F.lit(p).alias("place"), F.lit(i).cast("long").alias("least")) for t, p, i in places]), F.col("bucket"))
+    stays, goes = F.struct(F.col("bucket"), F.lit(0).alias("place")), F.struct(guest["bucket"].alias("bucket"), guest["place"].alias("place"))
+    to = F.when(guest["least"].eqNullSafe(F.col("doc_id")), F.array(stays, goes)).otherwise(F.array(stays))
+    dealt = ranged.select(F.explode(to).alias("to"), "doc_id", "text").select("to.*", "doc_id", "text")
     lanes = lanes_of(spark, len(marks) + 1)
     dealt = dealt.withColumn("lane", F.array(*map(F.lit, lanes))[F.col("bucket")]).repartition(len(lanes), "lane").drop("lane")
     return dealt.sortWithinPartitions("bucket", "place", F.asc_nulls_first("doc_id"), "text")
@@ -173,48 +176,50 @@ def lanes_of(spark, n: int) -> list[int]:
     return [by_place.get(k, k) for k in range(n)]
 
 
+_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _solve(rows: list[tuple]) -> pa.RecordBatch:
+    """rows: (doc_id, text) in order, the last only as the next of the one before it."""
+    half = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in zip(rows, rows[1:], strict=False)]
+    prints = fingerprints([letters(t) for t in (*(t for _, t in rows), *half)])
+    own, new = prints[: len(rows)], prints[len(rows) :]
+    out = [
+        (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b), likeness(a, c))
+        for (i, t), e, a, b, c in zip(rows, half, own, new, own[1:], strict=False)
+    ]
+    cols = list(zip(*out, strict=True)) or [[]] * 7
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[n.split()[0] for n in _EDITED.split(", ")])
+
+
+def _edit(batches):
+    """Results of batches of `in_order`, for about STEP characters and ROWS rows at a time."""
+    held, size, bucket, closed = [], 0, None, False
+    for batch in slices(batches, STEP, ROWS):
+        for b, place, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket:
+                if len(held) > 1:
+                    yield _solve(held)
+                held, size, bucket, closed = [], 0, b, False
+            if closed:
+                continue  # the next range's first document is enough
+            closed = place > 0
+            held.append((i, text))
+            size += len(text)
+            if len(held) > 1 and (size > STEP or len(held) > ROWS):
+                yield _solve(held)
+                held, size = held[-1:], len(text)
+    if len(held) > 1:
+        yield _solve(held)
+
+
 def edited(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     The edited text has the last half of a text's characters replaced by the first as many of the next document.
     """
-    import hashlib
-
-    def solve(rows):
-        """rows: (doc_id, text) in order, the last only as the next of the one before it."""
-        whole = [letters(t) for _, t in rows]
-        half = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in zip(rows, rows[1:], strict=False)]
-        prints = fingerprints([*whole, *map(letters, half)])
-        own, new = prints[: len(rows)], prints[len(rows) :]
-        out = [
-            (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b), likeness(a, c))
-            for (i, t), e, a, b, c in zip(rows, half, own, new, own[1:], strict=False)
-        ]
-        cols = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[n.split()[0] for n in schema.split(", ")])
-
-    def run(batches):
-        held, size, bucket, closed = [], 0, None, False
-        for batch in batches:
-            for b, place, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket:
-                    if len(held) > 1:
-                        yield solve(held)
-                    held, size, bucket, closed = [], 0, b, False
-                if closed:
-                    continue  # the next range's first document is enough
-                closed = place > 0
-                held.append((i, text))
-                size += len(text)
-                if len(held) > 1 and (size > STEP or len(held) > ROWS):
-                    yield solve(held)
-                    held, size = held[-1:], len(text)
-        if len(held) > 1:
-            yield solve(held)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).mapInArrow(run, schema)
+    return in_order(docs).mapInArrow(lambda batches: released(_edit(batches)), _EDITED)
 
 
 #: Bands of slots, slots in a band: texts whose slots agree in 0.8 meet in 32 bands of 8 with probability 0.997.

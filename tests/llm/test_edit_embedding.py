@@ -135,3 +135,21 @@ def test_candidates_find_small_edits(spark):
     found = {frozenset((r.a, r.b)) for r in ee.candidates(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"))[0].collect()}
     hits = [frozenset(prints[2 * k : 2 * k + 2]) in found for k in range(40)]
     assert np.mean(hits[::2]) >= 0.7 and len(found) == sum(hits)
+
+
+def test_memory_of_a_task_is_bounded():
+    """A task holds some 50 MB of texts, walks and slots at most, for short rows as for long ones, whatever the size of Arrow's batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string())
+    for n, chars in ((4500, 200), (1200, 4000)):
+        rows = [(0, 0, k, f"{k} " + "some words " * (chars // 11)) for k in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "place", "doc_id", "text"])
+        del rows
+        tracemalloc.start()
+        done = sum(out.num_rows for out in ee._edit(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert done == n - 1 and peak < 64 << 20
