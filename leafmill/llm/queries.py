@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import edit_embedding, lm_scoring, packing, pieces, quality, rules, simhash, suffix_dedup, toxicity, word_dedup
+from leafmill.llm import decontamination, edit_embedding, fill_middle, lm_scoring, packing, pieces, quality, rules, simhash, spelling, suffix_dedup, toxicity, word_dedup
 from leafmill.llm.common import documents
 
 
@@ -55,9 +55,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_spelling_variants": spelling.SQL, "op12_decontamination": decontamination.SQL, "op13_fill_middle": fill_middle.SQL}
