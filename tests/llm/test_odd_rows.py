@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import edit_embedding, lm_scoring, packing, pieces, quality, rules, simhash, suffix_dedup, toxicity, word_dedup
+from leafmill.llm import decontamination, edit_embedding, fill_middle, lm_scoring, packing, pieces, quality, rules, simhash, spelling, suffix_dedup, toxicity, word_dedup
 
 BPE, UNIGRAM = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Names that operators give to columns of their own.
@@ -15,6 +15,10 @@ def no_labels(docs):
     return docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
 
 
+def items(docs):
+    return docs.sparkSession.createDataFrame([(1, "same text same text same text same text same text same"), (None, "w1 w2"), (3, None), (3, "")], "item_id long, text string")
+
+
 OPERATORS = {
     "op1": edit_embedding.edited,
     "op2": lambda d: pieces.digests(pieces.decode(pieces.encode(d, UNIGRAM), UNIGRAM)),
@@ -27,6 +31,8 @@ OPERATORS = {
     "op8": lambda d: suffix_dedup.digests(suffix_dedup.dedup(d)),
     "op9": lambda d: word_dedup.digests(word_dedup.dedup(d)),
     "op10": lm_scoring.score,
+    "op12": lambda d: decontamination.digests(decontamination.search(d, items(d))),
+    "op13": lambda d: fill_middle.digests(fill_middle.transform(d)),
 }
 
 
@@ -49,6 +55,16 @@ def test_odd_tables(make_docs, name):
     assert OPERATORS[name](make_docs([])).count() == 0
 
 
+def test_odd_tables_of_words(make_docs):
+    """Operator 11 has a row for each word instead of each document."""
+    docs = make_docs([(None, None), (None, "same text " * 40), (1, "longer " * 6), (1, "longer " * 6), (2, "abcdef" * 200_000), (3, " \n\t ")])
+    plain = rows_of(spelling.variants(docs))
+    assert [(r[0], r[3]) for r in plain] == [("longer", 12)]
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit("x"))
+    assert rows_of(spelling.variants(docs)) == plain
+
+
 def test_ties_of_the_sample(make_docs, spark):
     """Equal texts under many ids are one text of the sample, and equal rows one row."""
     rows = [(k, "alike " * 30) for k in range(60)] * 2 + [(100 + k, f"text {k} own words") for k in range(60)]

@@ -6,6 +6,8 @@ import xxhash
 
 from leafmill.llm import rules
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 def slow(t):
     t = t or ""
@@ -79,36 +81,82 @@ def test_twenty_shared_lines(make_docs):
     assert len(out) == 400 and all(r.removed_words == 180 and not r.kept for r in out)
 
 
+def sketch_bands(text):
+    """The bands of a text: hashes of the parts of its sketch."""
+    chain = lambda parts, h=42: chain(parts[1:], xxhash.xxh64_intdigest(parts[0], h)) if parts else h
+    words, half, bits = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)], 1 << 33, (1 << 34) - 1
+    hashes = sorted((((chain(list(x)) & bits) ^ half) - half for x in zip(words, words[1:], words[2:], strict=False)))
+    sketch = list(dict.fromkeys(hashes[: 2 * rules.SKETCH]))[: rules.SKETCH]
+    bands = [[v.to_bytes(8, "little", signed=True) for v in sketch if v % rules.BANDS == b] for b in range(rules.BANDS)]
+    return [chain(b) - (chain(b) >> 63 << 64) for b in bands if b]
+
+
 def slow_verdicts(rows, many=rules.MANY, share=rules.SHARE, depleted=rules.DEPLETED):
-    """(removed words, kept) of each row by loops: rows are (text, host)."""
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    lines_of, words_of, signature = [], [], []
-    for text, _ in rows:
-        text = text or ""
-        lines = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in text.split("\n")]
-        lines_of.append([(" ".join(x.lower() for x in line), len(line)) for line in lines if line])
-        words = re.findall(r"[^\x20\x09-\x0D]+", text)
-        words_of.append(words)
-        signature.append(tuple(sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words})[: rules.SIGNED]))
-    hosts = Counter(host for _, host in rows)
-    texts = {}
-    for (text, host), lines, sign in zip(rows, lines_of, signature, strict=True):
-        for line, _ in lines:
-            texts.setdefault((host, line), {}).setdefault(sign, set()).add(text or "")
-    common = set()
-    for (host, line), by_sign in texts.items():
-        k = [len(x) for x in by_sign.values()]
-        n = sum(k)
-        if n * n > many * sum(x * x for x in k) and n > hosts[host] * share:
-            common.add((host, line))
+    """(removed words, kept) of each row, from the rule: rows are (text, host).
+
+    A line goes if more than `many` documents of the host have it that are no copies or near copies of one another, and
+    more than `share` of the host's documents, counted in the same way, and if these are more than a twenty-fifth of all
+    different texts with the line.
+    """
+    hosts = {}
+    for text, host in rows:
+        hosts.setdefault(host, set()).add(text or "")
+    gone_lines = {}
+    for host, texts in hosts.items():
+        bands = {t: sketch_bands(t) for t in texts}
+        liked = Counter(b for some in bands.values() for b in some)
+        kind = {t: max(((liked[b], b) for b in some if liked[b] > 1), default=t) for t, some in bands.items()}
+        kinds_of, texts_of = {}, Counter()
+        for t in texts:
+            for line in {" ".join(WORD.findall(x.lower())) for x in t.split("\n")}:
+                kinds_of.setdefault(line, set()).add(kind[t])
+                texts_of[line] += 1
+        gone_lines[host] = {line for line, kinds in kinds_of.items() if line and len(kinds) > max(many, share * len(set(kind.values())), texts_of[line] / 25)}
     out = []
-    for (text, host), lines, words in zip(rows, lines_of, words_of, strict=True):
-        gone, (n, _, _, _, repeated) = sum(m for line, m in lines if (host, line) in common), slow(text)
-        failed = n < rules.MIN_WORDS or 100 * repeated > rules.MAX_REPEAT * n
-        out.append((gone, not failed and gone <= depleted * n))
+    for text, host in rows:
+        n, _, _, _, repeated = slow(text)
+        gone = sum(len(WORD.findall(line)) for line in (text or "").split("\n") if " ".join(WORD.findall(line.lower())) in gone_lines[host])
+        out.append((gone, n >= rules.MIN_WORDS and 100 * repeated <= rules.MAX_REPEAT * n and gone <= depleted * n))
     return out
 
 
+def test_a_family_does_not_hide_others(make_docs):
+    """100 different documents of a host share a footer; 1,000 near copies of one other have it too."""
+    footer = " ".join(f"foot{i}" for i in range(12))
+    body = lambda k, n=12: [" ".join(f"b{k}x{i}x{j}" for j in range(10)) for i in range(n)]
+    rows = [(k, "\n".join([*body(k), footer]), "en", "a") for k in range(100)]
+    family = body("f")
+    rows += [(1000 + k, "\n".join([*family[: k % 12], f"{family[k % 12]} edit{k}", *family[k % 12 + 1 :], footer]), "en", "a") for k in range(1000)]
+    out = {r.doc_id: r for r in rules.judge(make_docs(rows)).collect()}
+    assert all(r.removed_words == 12 and r.kept for r in out.values())
+    # near copies alone do not make their own lines common
+    out = rules.judge(make_docs([r for r in rows if r[0] >= 1000])).collect()
+    assert all(r.removed_words == 0 for r in out)
+
+
+def test_copies_do_not_hide_others(make_docs, spark):
+    """50 different documents share a line; 40,000 copies of another text do not have it."""
+    rows = [(k, "\n".join([" ".join(f"d{k}x{i}x{j}" for j in range(10)) for i in range(8)] + ["the shared line of this host"]), "en", "a") for k in range(50)]
+    other = " ".join(f"copy{i}" for i in range(60))
+    copies = spark.range(1000, 41_000).selectExpr("id as doc_id", f"'{other}' as text", "'en' as lang", "'a' as source", "0L as n_chars")
+    out = rules.judge(make_docs(rows).union(copies))
+    assert out.where("doc_id < 50 and removed_words = 6").count() == 50
+    assert out.where("doc_id >= 1000 and removed_words = 0 and kept").count() == 40_000
+
+
+def test_large_families_with_heavier_edits(make_docs):
+    """Of 3,000 near copies with a twentieth of the words changed, lines stay."""
+    rnd = random.Random(5)
+    base = [[f"w{i}x{j}" for j in range(10)] for i in range(40)]
+    rows = []
+    for k in range(3000):
+        lines = [list(x) for x in base]
+        for e in range(4):
+            lines[rnd.randrange(40)][rnd.randrange(10)] = f"e{k}x{e}"
+        rows.append((k, "\n".join(map(" ".join, lines)), "en", "a"))
+    assert rules.judge(make_docs(rows)).where("removed_words > 0").count() == 0
+
+
 def test_verdicts_against_loops(make_docs, sample):
     rnd = random.Random(2)
     blocks = [[" ".join(f"b{b}l{i}w{j}" for j in range(6)) for i in range(rnd.randint(1, 12))] for b in range(6)]
