@@ -27,7 +27,7 @@ SPACE = "▁"
 CACHE_WORDS, CACHE_BYTES, CACHE_PAIRS = 700_000, 64 << 20, 700_000
 #: What a normalizer would change: a ligature, an enclosed and a wide letter, two spaces, a tab.
 PROBE = "ﬁ ①  x\tＡ é"
-_UNITS = re.compile(" +[^ \n]*|[^ \n]+|\n")
+_UNITS = re.compile(" +[^ \n]*|\n[^ \n]*")
 
 
 class Pieces:
@@ -42,7 +42,7 @@ class Pieces:
         self.end = model.eos_id()
         self.byte = [0] * 256
         self.surface = [b""] * n
-        self.ids, self.rank = {}, {}
+        self.ids, self.rank, self.size = {}, {}, [0] * n
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -51,7 +51,7 @@ class Pieces:
             elif model.is_unknown(i):
                 self.surface[i] = " ⁇ ".encode()
             elif not (model.is_control(i) or model.is_unused(i)):
-                self.ids[piece], self.rank[i] = i, -model.get_score(i)
+                self.ids[piece], self.rank[i], self.size[i] = i, -model.get_score(i), len(piece)
                 self.surface[i] = piece.replace(SPACE, " ").encode()
         self.known = {p for p in self.ids if len(p) == 1}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -63,8 +63,13 @@ class Pieces:
         self.automaton = automaton
         self.pairs: dict[int, bool] = {}
         self.joined = {(a, b): self.ids[p] for p in self.ids for k in range(1, len(p)) if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None}
+        #: Words' ids, in two generations: when the younger one is full it becomes the older, and words in use come back.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
+        #: Two characters that stand together in some piece; where two others meet, no piece goes over the seam.
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.single = {c: array("I", [self.ids[c]]).tobytes() for c in self.known}
         self.end_bytes = array("I", [self.end]).tobytes()
         self.strange = re.compile(f"[^{re.escape(''.join(self.known))}]").search
 
@@ -105,23 +110,23 @@ class Pieces:
 
     def _merge(self, word: str) -> list[int]:
         n = len(word)
-        last, size, pairs = [-1] * (n + 1), [0] * (n + 1), self.pairs
+        last, pairs, get = [-1] * (n + 1), self.pairs, self.pairs.get
         for end, (i, length) in self.automaton.iter(word):
             end += 1
             if last[end] >= 0:
                 continue
-            if end > length:
-                before = last[end - length]
-                fits = pairs.get(before << 20 | i)
+            if start := end - length:
+                pair = last[start] << 20 | i
+                fits = get(pair)
                 if fits is None:
-                    fits = pairs[before << 20 | i] = self.compatible(before, i)
+                    fits = pairs[pair] = self.compatible(last[start], i)
                 if not fits:
                     continue
-            last[end], size[end] = i, length
-        out = []
+            last[end] = i
+        out, size = [], self.size
         while n:
             out.append(last[n])
-            n -= size[n]
+            n -= size[last[n]]
         out.reverse()
         return out
 
@@ -138,29 +143,36 @@ class Pieces:
             ids = self._merge(word)
         return array("I", ids).tobytes()
 
+    def _new(self, w: str) -> bytes:
+        """Ids of a word that the younger generation hasn't, by those of the word before its last mark if that stands alone."""
+        found = self.older.get(w)
+        if found is not None:
+            return found
+        if w[-2:] not in self.inside and len(w) > 1 and (last := self.single.get(w[-1])) is not None:
+            base = self.kept.get(w[:-1]) or self.older.get(w[:-1])
+            if base is not None:
+                return base + last
+        return self.word(w if w[:1] in ("\n", SPACE) else SPACE + w)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers, the end id included. No piece joins a word to the next."""
         if not text:
             return self.end_bytes
         text = text.replace(SPACE, " ")
+        # a word has one space before it, unless it begins with a line feed; more spaces stand as SPACE
         if "  " in text or text[0] == " " or " \n" in text:
-            return b"".join([*(self.word(u.replace(" ", SPACE)) for u in _UNITS.findall(" " + text)), self.end_bytes])
+            words = [u[1:] if u[0] == " " and u[1:2] != " " else u.replace(" ", SPACE) for u in _UNITS.findall(" " + text)]
+        else:
+            words = text.replace("\n", " \n").split(" ")
+        if len(self.kept) > CACHE_WORDS // 2 or self.held > CACHE_BYTES // 2:
+            self.older, self.kept, self.held = self.kept, {}, 0
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
         kept = self.kept
-        # a kept word has a space before it unless it begins with a line feed
-        words = text.replace("\n", " \n").split(" ")
-        try:
-            found = [kept[w] for w in words]
-        except KeyError:
-            if len(kept) > CACHE_WORDS or self.held > CACHE_BYTES:
-                kept.clear()
-                self.held = 0
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            for w in words:
-                if w not in kept:
-                    kept[w] = self.word(w if w[:1] == "\n" else SPACE + w)
-                    self.held += len(w) + len(kept[w])
-            found = [kept[w] for w in words]
+        for w in set(words).difference(kept):
+            kept[w] = self._new(w)
+            self.held += len(w) + len(kept[w])
+        found = list(map(kept.__getitem__, words))
         found.append(self.end_bytes)
         return b"".join(found)
 
