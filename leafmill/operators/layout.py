@@ -43,9 +43,15 @@ def columns(lines: DataFrame) -> DataFrame:
     starts = rows.groupBy("parity", F.floor(F.col("left") / 2).alias("step")).agg(F.count("*").alias("n"))
     left = starts.groupBy("parity").agg(F.max_by(F.col("step") * 2, F.struct("n", -F.col("step"))).alias("column"))
     near = rows.join(F.broadcast(left), "parity").where(F.abs(F.col("left") - F.col("column")) <= 4)
-    w = Window.partitionBy("parity", "column")
-    ranked = near.withColumn("r", F.row_number().over(w.orderBy("right"))).withColumn("n", F.count("*").over(w))
-    return ranked.where("r = least(floor(n * 0.9) + 1, n)").select("parity", F.col("column").alias("left"), "right")
+    # which point of the page holds the element, by counts of points; then which of the values in that point
+    points = near.groupBy("parity", "column", F.floor("right").alias("point")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("parity", "column").orderBy("point").rowsBetween(Window.unboundedPreceding, 0)
+    points = points.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("parity", "column")))
+    points = points.withColumn("nth", F.least(F.floor(F.col("all") * 0.9) + 1, "all")).where("upto >= nth and upto - n < nth")
+    inside = near.withColumn("point", F.floor("right")).join(F.broadcast(points.select("parity", "column", "point", (F.col("nth") - (F.col("upto") - F.col("n"))).alias("nth"))), ["parity", "column", "point"])
+    values = inside.groupBy("parity", "column", "right", "nth").agg(F.count("*").alias("n"))
+    values = values.withColumn("upto", F.sum("n").over(Window.partitionBy("parity", "column").orderBy("right").rowsBetween(Window.unboundedPreceding, 0)))
+    return values.where("upto >= nth").groupBy("parity", F.col("column").alias("left")).agg(F.min("right").alias("right"))
 
 
 # What is trimmed off a word of a line, and what closes a sentence before the next one.

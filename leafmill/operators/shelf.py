@@ -200,11 +200,17 @@ def scanned_pages(pages: DataFrame) -> DataFrame:
 
 
 def bookmarked(pages: DataFrame, bookmarks: DataFrame) -> DataFrame:
-    """(book, page, n): the bookmarks of each page, whose span is half open; places are (paragraph, offset)."""
+    """(book, page, n): the bookmarks of each page, whose span is half open; places are (paragraph, offset).
+
+    A running count of a book's bookmarks in order of place tells how many lie before each edge of a page.
+    """
     place = F.struct(F.col("paragraph").cast("long").alias("paragraph"), F.col("offset").cast("long").alias("offset"))
-    marks = bookmarks.select("book", place.alias("at"))
-    hits = pages.join(marks, "book").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("past")))
-    return hits.groupBy("book", "page").agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    asks = pages.select("book", "page", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(-1).alias("side")), F.struct(F.col("past").alias("at"), F.lit(1).alias("side")))).alias("x")).select("book", "page", "x.at", "x.side")
+    marks = bookmarks.select("book", none.cast(dict(pages.dtypes)["page"]).alias("page"), place.alias("at"), F.lit(0).alias("side"))
+    w = Window.partitionBy("book").orderBy("at", F.col("side") == 0).rowsBetween(Window.unboundedPreceding, 0)
+    counted = asks.unionByName(marks).withColumn("_before", F.sum((F.col("side") == 0).cast("long")).over(w)).where("side != 0")
+    return counted.groupBy("book", "page").agg(F.sum(F.col("_before") * F.col("side")).alias("n")).where("n > 0")
 
 
 # Kinds of paragraphs that have a look of their own.
@@ -242,17 +248,24 @@ def found_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.join(lexicon, "word")
 
 
+# Letters that sound for a second.
+LETTERS_A_SECOND = 14
+
+
 def look_ahead(segments: DataFrame, most: int = 24, seconds: int = 60) -> DataFrame:
-    """(book, index, ahead) of segments (book, index, length): how many may be made ahead of each, so many, or so much sound, whichever is less.
+    """(book, index, ahead) of segments (book, index, length): how many may be in the queue from each on.
 
-    A segment's sound is told by its letters, 14 a second. Segments of one index stand at one place: it has one row, with
-    what may be made ahead of all of them. Segments without a book or a length are left out.
+    A queue takes another segment while it has less than `seconds` of sound and less than `most` segments; sound is told by
+    letters. Segments of one index are one place, with all their letters; so a book of five segments has five at most.
+    Segments without a book, an index or a length are left out.
     """
-    w = Window.partitionBy("book").orderBy(F.asc_nulls_last("index"))
-    rows = segments.withColumn("at", F.sum(F.col("length") / 14.0).over(w) - F.col("length") / 14.0).where("book is not null and at is not null")
-    near = Window.partitionBy("book").orderBy("at").rangeBetween(Window.currentRow, seconds)
-    counted = rows.withColumn("ahead", F.count("*").over(near))
-    return counted.groupBy("book", "index").agg(F.least(F.sum("ahead"), F.lit(most)).alias("ahead"))
+    places = segments.where("book is not null and index is not null and length is not null").groupBy("book", "index").agg(F.sum("length").alias("_n"))
+    w = Window.partitionBy("book").orderBy("index")
+    places = places.withColumn("_at", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    # places follow each other, so the next `most` are all that can count
+    later = F.collect_list("_at").over(w.rowsBetween(0, most - 1))
+    near = F.filter("_later", lambda x: x - F.col("_at") < seconds * LETTERS_A_SECOND)
+    return places.withColumn("_later", later).select("book", "index", F.greatest(F.size(near), F.lit(1)).cast("long").alias("ahead"))
 
 
 def neighbours(texts: DataFrame) -> DataFrame:

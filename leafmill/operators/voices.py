@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Engines that know one language, the best voices and the men among those of one engine.
 ENGLISH_ONLY, RUSSIAN_ONLY = "KOKORO", "KOKORO_RU"
@@ -52,12 +53,30 @@ def distinct_voices(mode: Column, single: Column, male: Column, female: Column,
 
 def voice_order(voices: DataFrame) -> DataFrame:
     """The recommended first, then men, then by number."""
-    return voices.orderBy(F.desc("recommended"), F.desc("male"), "speaker")
+    return voices.orderBy(*_voice_order())
+
+
+def voice_places(voices: DataFrame) -> DataFrame:
+    """Voices with place, from 1, in the order of their engine."""
+    return voices.withColumn("place", F.row_number().over(Window.partitionBy("engine").orderBy(*_voice_order())))
+
+
+def _voice_order() -> list[Column]:
+    return [F.desc("recommended"), F.desc("male"), F.asc("speaker")]
 
 
 def system_voices(voices: DataFrame) -> DataFrame:
     """Russian and English voices of a system: Russian, offline, installed and good ones first, then by name."""
-    return voices.where("language in ('ru', 'en')").orderBy(F.col("language") != "ru", "needs_network", "not_installed", F.desc("quality"), "name")
+    return voices.where("language in ('ru', 'en')").orderBy(*_system_order())
+
+
+def system_places(voices: DataFrame) -> DataFrame:
+    """The same voices with place, from 1, in the order of their engine."""
+    return voices.where("language in ('ru', 'en')").withColumn("place", F.row_number().over(Window.partitionBy("engine").orderBy(*_system_order())))
+
+
+def _system_order() -> list[Column]:
+    return [F.col("language") != "ru", F.asc("needs_network"), F.asc("not_installed"), F.desc("quality"), F.asc("name")]
 
 
 def install_kind(complete: Column, fast_bytes: Column) -> Column:

@@ -222,11 +222,15 @@ def a6_j19_members(spark, sf):
     return shelf.members(mentions, spark.createDataFrame([("мир",)], "name string"))
 
 
-@query("""WITH w(word, sentence, member) AS (VALUES ('цин', 'сказала вэнь цин', 'вэнь цин'), ('маши', 'у маши', 'маша'), ('лань', 'лань чжань ушел', 'лань чжань'), ('ивана', 'ивана нет', 'иван')) SELECT word, sentence, member FROM w""")
+@query("""WITH n AS (SELECT DISTINCT w[1] || CASE WHEN len(w) > 9 THEN ' ' || w[2] ELSE '' END AS name FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark) WHERE len(w) > 1), m AS (SELECT name, length(name) * 1000 + ascii(name) AS ord FROM n), p AS (SELECT DISTINCT name, ord, unnest(string_split(name, ' ')) AS part FROM m),
+    s AS (SELECT DISTINCT lower(text) AS sentence, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE length(text) < 600), f AS (SELECT DISTINCT word, sentence, name, ord FROM s JOIN p ON substr(part, 1, 2) = substr(word, 1, 2) WHERE length(word) >= 2 AND (part = word OR (least(length(part), length(word)) >= 3 AND abs(length(part) - length(word)) <= 2 AND substr(part, 1, greatest(3, least(length(part), length(word)) - 2)) = substr(word, 1, greatest(3, least(length(part), length(word)) - 2))))),
+    g AS (SELECT word, sentence, arg_min(name, (ord, name)) FILTER (contains(sentence, name)) AS named, count(*) AS n, min(name) AS sole FROM f GROUP BY 1, 2) SELECT word, sentence, coalesce(named, CASE WHEN n = 1 THEN sole END) AS member FROM g WHERE named IS NOT NULL OR n = 1""")
 def j18_characters(spark, sf):
-    cast = spark.createDataFrame([("вэнь цин", 0), ("маша", 1), ("лань чжань", 2), ("лань сычжуй", 3), ("иван", 4)], "name string, ord int")
-    words = [("цин", "сказала вэнь цин"), ("маши", "у маши"), ("лань", "лань чжань ушел"), ("лань", "кто-то из них"), ("ивана", "ивана нет"), ("дом", "дом"), ("а", "а")]
-    return shelf.characters_of(spark.createDataFrame(words, "word string, sentence string"), cast)
+    tokens = lambda text: F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+    w = table(spark, sf, "benchmark").select(tokens("text").alias("w")).where("size(w) > 1")
+    cast = w.select(F.when(F.size("w") > 9, F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).otherwise(F.get("w", F.lit(0))).alias("name")).distinct()
+    words = table(spark, sf, "documents").where("length(text) < 600").select(F.lower("text").alias("sentence"), F.explode(tokens("text")).alias("word")).distinct()
+    return shelf.characters_of(words, cast.withColumn("ord", F.length("name") * 1000 + F.ascii("name")))
 
 
 @query("""WITH f AS (SELECT user_id AS line, event_id AS frame FROM events), m AS (SELECT user_id AS line, event_id AS frame FROM events WHERE event_id % 5 = 0)
@@ -311,19 +315,19 @@ def f16_distinct_voices(spark, sf):
     return table(spark, sf, "events").select("event_id", picked["male"].alias("male"), picked["female"].alias("female"))
 
 
-@query("""SELECT c_custkey AS speaker FROM customer ORDER BY c_custkey % 7 <> 0, c_nationkey % 2 <> 0, c_custkey LIMIT 20""")
+@query("""SELECT c_custkey AS speaker, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey % 7 <> 0, c_nationkey % 2 <> 0, c_custkey) AS place FROM customer""")
 def l8_voice_order(spark, sf):
-    """The first twenty, as a picker shows them."""
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("speaker"), (F.col("c_custkey") % 7 == 0).alias("recommended"), (F.col("c_nationkey") % 2 == 0).alias("male"))
-    return voices.voice_order(rows).select("speaker").limit(20)
+    """Each engine's voices in their order; market segments are the engines."""
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("engine"), F.col("c_custkey").alias("speaker"), (F.col("c_custkey") % 7 == 0).alias("recommended"), (F.col("c_nationkey") % 2 == 0).alias("male"))
+    return voices.voice_places(rows).select("speaker", "place")
 
 
-@query("""SELECT c_name AS name FROM (SELECT c_name, CASE c_custkey % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' ELSE 'de' END AS l, c_custkey % 2 = 0 AS net, c_custkey % 5 = 0 AS absent, c_nationkey AS q FROM customer) WHERE l <> 'de' ORDER BY l <> 'ru', net, absent, q DESC, c_name LIMIT 5""")
+@query("""SELECT c_name AS name, row_number() OVER (PARTITION BY seg ORDER BY l <> 'ru', net, absent, q DESC, c_name) AS place FROM (SELECT c_name, c_mktsegment AS seg, CASE c_custkey % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' ELSE 'de' END AS l, c_custkey % 2 = 0 AS net, c_custkey % 5 = 0 AS absent, c_nationkey AS q FROM customer) WHERE l <> 'de'""")
 def s24_system_voices(spark, sf):
     k = F.col("c_custkey")
     language = F.when(k % 3 == 0, "ru").when(k % 3 == 1, "en").otherwise("de")
-    rows = table(spark, sf, "customer").select(F.col("c_name").alias("name"), language.alias("language"), (k % 2 == 0).alias("needs_network"), (k % 5 == 0).alias("not_installed"), F.col("c_nationkey").alias("quality"))
-    return voices.system_voices(rows).select("name").limit(5)
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("engine"), F.col("c_name").alias("name"), language.alias("language"), (k % 2 == 0).alias("needs_network"), (k % 5 == 0).alias("not_installed"), F.col("c_nationkey").alias("quality"))
+    return voices.system_places(rows).select("name", "place")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'ABSENT' WHEN p_size > 25 THEN 'FAST' ELSE 'LEGACY' END AS kind, CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_partkey % 4 = 2 THEN 0 END WHEN p_partkey % 4 IN (0, 1) THEN p_partkey % 4 END AS speaker,
@@ -399,8 +403,8 @@ def j2_a15_l9_pictures(spark, sf):
     return corpus.warnings(found.join(guessed, "book"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS book, l_linenumber * 100000000000 + round(l_extendedprice * 100)::BIGINT AS i, l_partkey % 300 + 1 AS n FROM lineitem), c AS (SELECT book, i, sum(n) OVER (PARTITION BY book ORDER BY i) - n AS "at" FROM s)
-    SELECT a.book, a.i AS "index", least(count(*), 24) AS ahead FROM c a JOIN c b ON a.book = b.book AND b."at" >= a."at" AND b."at" <= a."at" + 840 GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT l_orderkey AS book, l_linenumber * 100000000000 + round(l_extendedprice * 100)::BIGINT AS i, sum((l_partkey % 300 + 1) * 14) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT book, i, sum(n) OVER (PARTITION BY book ORDER BY i) - n AS "at" FROM s)
+    SELECT a.book, a.i AS "index", least(count(*), 24) AS ahead FROM c a JOIN c b ON a.book = b.book AND b.i >= a.i AND b."at" - a."at" < 840 * 14 GROUP BY 1, 2""")
 def t1_look_ahead(spark, sf):
     index = (F.col("l_linenumber") * 10**11 + F.round(F.col("l_extendedprice") * 100)).cast("long")
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), index.alias("index"), ((F.col("l_partkey") % 300 + 1) * 14).alias("length"))
