@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from leafmill.plans import folds, reading, relational, scalars, sheets, shelf, speech  # noqa: F401  they register on import
+    from leafmill.plans import folds, growth, people, reading, relational, scalars, sheets, shelf, speech  # noqa: F401  they register on import
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
