@@ -257,10 +257,10 @@ def look_ahead(segments: DataFrame, most: int = 24, seconds: int = 60) -> DataFr
 
     A queue takes another segment while it has less than `seconds` of sound and less than `most` segments; sound is told by
     letters. Segments of one index are one place, with all their letters; so a book of five segments has five at most.
-    Segments without a book, an index or a length are left out.
+    Segments without an index are the last place; those without a book or a length are left out.
     """
-    places = segments.where("book is not null and index is not null and length is not null").groupBy("book", "index").agg(F.sum("length").alias("_n"))
-    w = Window.partitionBy("book").orderBy("index")
+    places = segments.where("book is not null and length is not null").groupBy("book", "index").agg(F.sum("length").alias("_n"))
+    w = Window.partitionBy("book").orderBy(F.asc_nulls_last("index"))
     places = places.withColumn("_at", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
     # places follow each other, so the next `most` are all that can count
     later = F.collect_list("_at").over(w.rowsBetween(0, most - 1))

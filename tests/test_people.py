@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import cast, cues, scan, speakers
+from leafmill.operators import cast, clues, cues, scan, speakers
 
 ZERO = dict.fromkeys(speakers.CUES, 0)
 
@@ -215,3 +215,38 @@ def test_trie_walk_is_plain_matching(spark):
         if w in patterns or stems:
             want[w] = patterns[w] if w in patterns else min(stems)
     assert got == want
+
+
+MARKED = [
+    *((k, "actor", "FEMALE") for k in ("она", "мама", "сестра")), *((k, "actor", "MALE") for k in ("он", "брат")), ("маша", "name", "FEMALE"), ("громов", "name", "?"),
+    ("сказала", "verb", "FEMALE"), ("ответил", "verb", "MALE"), ("пришла", "verb", "FEMALE"), ("ответил", "says", "1"), ("ответила", "says", "1"), ("не", "negates", "1"), ("кто-то", "unnamed", "1"),
+    ("милая", "address", "FEMALE"), ("моя", "own", "1"), ("и", "clause", "1"), ("который", "clause", "1"), ("я", "self", "1"),
+]
+
+
+def told(spark, texts, f, *more):
+    tokens = cues.token_rows(spark.createDataFrame(list(enumerate(texts)), "n int, text string"), "n")
+    return f(tokens, ["n"], spark.createDataFrame(MARKED, "key string, mark string, value string"), *more).collect()
+
+
+def test_subjects(spark):
+    texts = ["сказала она тихо", "ответил Громов", "крикнул кто-то, и она ушла", "Она не ответила", "Маша не встала", "ушёл, и она вздохнула", "сказала", "", None, "дом", "Громов молчал. Она ушла"]
+    got = {r["n"]: tuple(r)[1:] for r in told(spark, texts, clues.subjects, True)}
+    assert got == {
+        0: ("FEMALE", None, False, False, False, False), 1: ("MALE", "громов", False, False, False, False), 2: (None, None, False, True, False, False),
+        3: ("FEMALE", None, False, False, True, False), 4: ("FEMALE", "маша", False, False, False, True), 6: ("FEMALE", None, True, False, False, False), 10: (None, "громов", False, False, False, False)}
+    assert 6 not in {r["n"] for r in told(spark, texts, clues.subjects, False)}
+
+
+def test_vocatives(spark):
+    texts = ["Мама, иди сюда", "Иди сюда, моя милая Маша!", "Маша ушла, брат", "Громов! Где сестра моя и брат мой", "нет", "Мама, брат, тише", None]
+    rows = told(spark, texts, clues.vocatives)
+    got = sorted((r["n"], r["gender"], r["name"], r["opening"]) for r in rows if r["name"] or r["gender"])
+    assert got == [(0, "FEMALE", None, True), (1, "FEMALE", "маша", False), (2, "MALE", None, False), (3, None, "громов", True), (5, "FEMALE", None, True), (5, "MALE", None, False)]
+    calls = spark.createDataFrame(rows)
+    assert {tuple(r) for r in clues.addressees(calls, ["n"]).collect()} == {(0, "FEMALE"), (1, "FEMALE"), (2, "MALE")}
+
+
+def test_self_genders(spark):
+    texts = ["Я уже пришла домой", "я, пришла", "Он сказал, что я вчера не ответил и я пришла", "я и она тут пришла", "пришла я", ""]
+    assert {tuple(r) for r in told(spark, texts, clues.self_genders)} == {(0, "FEMALE")}
