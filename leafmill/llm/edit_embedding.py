@@ -21,10 +21,11 @@ of the only one is itself; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut, released, slices
@@ -139,6 +140,14 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (float(same.mean()) - 1 / 16) / (15 / 16))
 
 
+def _marks_up_to(value: Column, marks: list[int]) -> Column:
+    """How many of the sorted marks are no more than value: first how many blocks of them, then how many of one block."""
+    size = max(1, math.isqrt(len(marks)))
+    count = lambda array: F.size(F.filter(array, lambda m: m <= value))
+    whole = count(F.array(*map(F.lit, marks[size - 1 :: size])).cast("array<bigint>"))
+    return whole * size + count(F.slice(F.array(*map(F.lit, marks)).cast("array<bigint>"), whole * size + 1, F.lit(size)))
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(bucket, place, doc_id, text): documents in ranges of doc_id, each range followed by the first of the next one.
 
@@ -147,10 +156,9 @@ def in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    marks = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.002)})
-    # marks are sorted: a document's range is the number of marks up to its id, and 0 without one
-    bucket = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col("doc_id"))) if marks else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket)
+    # as many ranges as partitions: the marks' error is a quarter of a range, at any number of them
+    marks = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)})
+    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(_marks_up_to(F.col("doc_id"), marks))
     ranged = rows.withColumn("bucket", bucket.cast("int"))
     firsts = ranged.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("bucket").collect()  # one row a range
     if not firsts:
@@ -164,18 +172,10 @@ def in_order(docs: DataFrame) -> DataFrame:
     stays, goes = F.struct(F.col("bucket"), F.lit(0).alias("place")), F.struct(guest["bucket"].alias("bucket"), guest["place"].alias("place"))
     to = F.when(guest["least"].eqNullSafe(F.col("doc_id")), F.array(stays, goes)).otherwise(F.array(stays))
     dealt = ranged.select(F.explode(to).alias("to"), "doc_id", "text").select("to.*", "doc_id", "text")
-    lanes = lanes_of(spark, len(marks) + 1)
-    dealt = dealt.withColumn("lane", F.array(*map(F.lit, lanes))[F.col("bucket")]).repartition(len(lanes), "lane").drop("lane")
+    dealt = dealt.repartitionById(len(marks) + 1, "bucket")
     return dealt.sortWithinPartitions("bucket", "place", F.asc_nulls_first("doc_id"), "text")
 
 
-def lanes_of(spark, n: int) -> list[int]:
-    """For each of n partitions a number that a hash partitioning deals to it, so that each range has a task of its own."""
-    found = spark.range(40 * n).select(F.col("id").cast("int").alias("v")).groupBy(F.pmod(F.hash("v"), F.lit(n)).alias("p")).agg(F.min("v").alias("v")).collect()  # n rows
-    by_place = {r["p"]: r["v"] for r in found}
-    return [by_place.get(k, k) for k in range(n)]
-
-
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

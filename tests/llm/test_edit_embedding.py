@@ -153,3 +153,24 @@ def test_memory_of_a_task_is_bounded():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert done == n - 1 and peak < 64 << 20
+
+
+def test_marks_are_counted_by_blocks(spark):
+    values = list(range(-2, 60)) + [10**9]
+    for marks in ([], [5], [0, 1, 2], sorted({k * k % 53 for k in range(40)})):
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        got = [tuple(r) for r in df.select("v", ee._marks_up_to(F.col("v"), marks)).collect()]
+        assert got == [(v, sum(m <= v for m in marks)) for v in values]
+
+
+def test_as_many_ranges_as_partitions(spark):
+    """Ranges are alike at any number of partitions; one of a few hundred would hold several times the rows of the others."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    docs = spark.range(60_000).selectExpr("id * id as doc_id", "'t' as text").repartition(4)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "600")
+        ranged = ee.in_order(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = [r["count"] for r in ranged.where("place = 0").groupBy("bucket").count().collect()]
+    assert len(sizes) > 570 and max(sizes) <= 2.5 * 60_000 / 600
