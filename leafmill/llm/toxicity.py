@@ -12,8 +12,9 @@ What makes short windows comparable:
   all, on the windows that the last dictionaries told apart. A text is always measured by dictionaries trained without
   it (`PARTS` parts), so that they do not find what they hold by heart; the round that explains the labels best is kept.
 
-Fitting uses at most `SAMPLE` different labelled texts of each class, those with the least hash, and of each at most
-`SPREAD` windows, evenly spread over the whole text; scoring uses every window of every text.
+Fitting is bounded by three parameters of `score`: `most` different labelled texts of each class, those with the least
+hash; of each `each` windows, evenly spread over the whole text; and `train` windows that one training of a dictionary
+reads, drawn at random. Scoring uses every window of every text.
 
 Defined cases: a null or empty text is one empty window; repeated rows score alike; of an id's rows the text with the
 least hash is learnt from; with fewer than `LEAST` texts of a class to learn from, or too little text to train on, every
@@ -34,7 +35,7 @@ FOLDS, HELD_OUT = 3, 1
 SAMPLE, SPREAD, LEAST = 2000, 256, 20
 #: Words of a window; bytes of the dictionaries' common base and of their own parts, and of their segments.
 WINDOW, BASE, OWN, BASE_SEGMENT, SEGMENT = 6, 200_000, 4096, 24, 10
-#: Windows that one training reads.
+#: Windows that one training of a dictionary reads, at most.
 TRAIN = 40_000
 PARTS, ROUNDS = 4, 2
 #: Shares of ordinary windows below the thresholds, and below what makes a window worth training on again.
@@ -59,12 +60,12 @@ def spread(found: list, most: int = SPREAD) -> list:
 TABLES_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
-def trained(samples: list[bytes], size: int, segment: int, seed: int) -> tuple[bytes, bytes] | None:
+def trained(samples: list[bytes], size: int, segment: int, seed: int, most: int = TRAIN) -> tuple[bytes, bytes] | None:
     """(entropy tables, content) of a dictionary trained on samples; None where there is too little of them."""
     import zstandard as z
 
-    if len(samples) > TRAIN:
-        samples = [samples[i] for i in np.sort(np.random.default_rng(seed).choice(len(samples), TRAIN, replace=False))]
+    if len(samples) > most:
+        samples = [samples[i] for i in np.sort(np.random.default_rng(seed).choice(len(samples), most, replace=False))]
     try:
         whole = z.train_dictionary(size, samples, k=segment, d=6).as_bytes()
     except z.ZstdError:
@@ -113,18 +114,18 @@ def probability(x: np.ndarray, mean, scale, weights) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(x)), (x - mean) / scale] @ weights, -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, each: int = SPREAD) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """(windows of each text, labels, how many labelled texts each stands for), in the order of the texts' hashes."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     texts = rows.groupBy("doc_id").agg(F.min("th").alias("th")).join(known, "doc_id").groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}  # one row a class
-    order = F.xxhash64("th", F.lit(4))
+    order, windows_each = F.xxhash64("th", F.lit(4)), each
     chosen = texts.where("toxic = 1").orderBy(order, "th").limit(most).union(texts.where("toxic = 0").orderBy(order, "th").limit(most))
 
     def run(batches):
         for batch in slices(batches, column="text"):
-            found = [spread(windows(t)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            found = [spread(windows(t), windows_each) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["th", "toxic", "found"])
 
     text = F.coalesce("text", F.lit(""))
@@ -132,18 +133,18 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list
     wanted = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")).join(F.broadcast(chosen), ["doc_id", "th"]).dropDuplicates(["th"])
     got = wanted.select("th", "toxic", "text").mapInArrow(run, "th long, toxic int, found array<binary>").toArrow().sort_by("th")
     y = np.array(got.column("toxic").to_pylist(), int)
-    each = {c: sizes[c] / max(1, (y == c).sum()) for c in sizes}
-    return got.column("found").to_pylist(), y, np.array([each[c] for c in y])
+    stands_for = {c: sizes[c] / max(1, (y == c).sum()) for c in sizes}
+    return got.column("found").to_pylist(), y, np.array([stands_for[c] for c in y])
 
 
-def fit(found: list[list[bytes]], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, parts: int = PARTS):
+def fit(found: list[list[bytes]], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, parts: int = PARTS, train: int = TRAIN):
     """(dictionaries, thresholds, curve), or None without enough to learn from."""
     if min((y == 1).sum(), (y == 0).sum()) < LEAST:
         return None
     part = np.zeros(len(y), int)
     for c in (0, 1):
         part[y == c] = np.arange((y == c).sum()) % parts
-    base = trained([w for f, c in zip(found, y, strict=True) if not c for w in f], BASE, BASE_SEGMENT, 1)
+    base = trained([w for f, c in zip(found, y, strict=True) if not c for w in f], BASE, BASE_SEGMENT, 1, train)
     if base is None:
         return None
     tell: list[list[bytes]] = list(found)  # the windows of each text that are trained on
@@ -151,7 +152,7 @@ def fit(found: list[list[bytes]], y: np.ndarray, weight: np.ndarray, rounds: int
     for _ in range(rounds):
         own = []
         for p in range(parts + 1):  # the last has all parts
-            both = [trained([w for i in np.flatnonzero((y == c) & (part != p)) for w in tell[i]], OWN, SEGMENT, 2 + c) for c in (1, 0)]
+            both = [trained([w for i in np.flatnonzero((y == c) & (part != p)) for w in tell[i]], OWN, SEGMENT, 2 + c, train) for c in (1, 0)]
             own.append(None if None in both else (*base, both[0][1], both[1][1]))
         if None in own:
             break
@@ -193,25 +194,9 @@ def scores(texts: list[bytes], model) -> np.ndarray:
     return probability(np.array([features(distance.of(windows(t)), model[1]) for t in texts]), *model[2])
 
 
-def score(self, texts: list[bytes]) -> np.ndarray:
-        return probability(np.array([self.features(t) for t in texts]), *self.curve)
-
-
-_scorers: dict[bytes, Scorer] = {}
-
-
-def shared_scorer(model) -> Scorer:
-    """One for each worker, so that later tasks find it made."""
-    key = b"".join(b"".join(d) for d, _ in model[0])
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row."""
-    model = fit(*sample(docs, labels))
+def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, each: int = SPREAD, train: int = TRAIN) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row; the three bounds of what is learnt from are told above."""
+    model = fit(*sample(docs, labels, most, each), train=train)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
