@@ -181,3 +181,22 @@ def percent_encoded(text: Column) -> Column:
     """Characters above ASCII as percent escapes of their UTF-8."""
     escape = lambda c: F.when(c.rlike("^[\\x00-\\x7F]$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), escape), "")
+
+
+def letters(text: Column) -> Column:
+    """C17: only the Russian letters of a text, in lower case with ё as е."""
+    return F.regexp_replace(F.translate(F.lower(text), "ё", "е"), "[^а-я]+", "")
+
+
+def spoken_sentences(text: Column) -> Column:
+    """C17: the sentences of a passage as they are sent to a voice: a leading dash dropped, one inside as a comma."""
+    parts = F.split(text, "(?<=[.?!])[\\s\\p{Z}]+")
+    trimmed = lambda s: F.regexp_replace(s, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")
+    plain = lambda s: F.regexp_replace(F.regexp_replace(trimmed(s), "^—[\\s\\p{Z}]*", ""), "[\\s\\p{Z}]+—[\\s\\p{Z}]+", ", ")
+    return F.filter(F.transform(parts, plain), lambda s: s != "")
+
+
+def chapter_of(blocks: Column) -> Column:
+    """K2: blocks (text, style) as a struct of paragraphs and of styles by their place; a block without a style has none."""
+    styled = F.filter(F.transform(blocks, lambda b, i: F.struct(i.alias("key"), b["style"].alias("value"))), lambda e: e["value"].isNotNull())
+    return F.struct(F.transform(blocks, lambda b: b["text"]).alias("paragraphs"), F.map_from_entries(styled).alias("styles"))

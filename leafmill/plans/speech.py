@@ -66,3 +66,23 @@ def k8_chapter_segments(spark, sf):
 def c13_words(spark, sf):
     found = table(spark, sf, "documents").select("doc_id", words.plain_words(F.col("text")).alias("w"))
     return found.select("doc_id", F.array_size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+_DASHED = "translate(replace(replace(replace(text, ', ', ' — '), chr(10), ' '), '. ', '.  — '), 'aeiouy', 'аеиёуы')"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_DASHED} AS t FROM conversations), s AS (SELECT conv_id, turn, t, list_filter(list_transform(string_split(regexp_replace(t, '([.?!])[\\s\\pZ]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g'), '^—[\\s\\pZ]*', ''), '[\\s\\pZ]+—[\\s\\pZ]+', ', ', 'g')), lambda x: x <> '') AS s FROM t)
+    SELECT conv_id, turn, regexp_replace(replace(lower(t), 'ё', 'е'), '[^а-я]+', '', 'g') AS letters, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM s""")
+def c17_spoken_sentences(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_DASHED.replace("chr(10)", "char(10)")).alias("t"))
+    rows = rows.select("conv_id", "turn", words.letters(F.col("t")).alias("letters"), words.spoken_sentences(F.col("t")).alias("s"))
+    return rows.select("conv_id", "turn", "letters", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+@query("""WITH b AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, len(l) AS n, array_to_string(list_transform(list_filter(range(0, len(l)), lambda i: length(l[i + 1]) % 9 = 0), lambda i: i || ':' || CASE WHEN length(l[i + 1]) = 0 THEN 'NOTE' ELSE 'HEADING' END), ' ') AS styles, md5(array_to_string(l, '|')) AS digest FROM b""")
+def k2_chapter_of_blocks(spark, sf):
+    style = lambda t: F.when(F.length(t) == 0, "NOTE").when(F.length(t) % 9 == 0, "HEADING")
+    blocks = F.transform(F.split("text", "\n", -1), lambda t: F.struct(t.alias("text"), style(t).alias("style")))
+    rows = table(spark, sf, "documents").select("doc_id", words.chapter_of(blocks).alias("c"))
+    styles = F.array_join(F.transform(F.array_sort(F.map_entries("c.styles")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"])), " ")
+    return rows.select("doc_id", F.size("c.paragraphs").cast("long").alias("n"), styles.alias("styles"), F.md5(F.array_join("c.paragraphs", "|")).alias("digest"))
