@@ -92,3 +92,23 @@ def self_genders(tokens: DataFrame, keys: list[str], marks: DataFrame) -> DataFr
     votes = rows.withColumn("_told", told).where("self is not null and _told is not null")
     found = votes.groupBy(*keys).agg(F.min("_told").alias("gender"), F.max("_told").alias("_other"))
     return found.where("gender = _other").select(*keys, "gender")
+
+
+def beats(tokens: DataFrame, keys: list[str], marks: DataFrame) -> DataFrame:
+    """Q5: (keys, gender, name, unnamed, silent, still): who acts at the end of each stretch of narration.
+
+    The last sentence tells, and gives no clue if the one before it shows someone of the other gender who acted too; a
+    pronoun takes the name of the one before if their genders agree.
+    """
+    order = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = tokens.withColumn("_sentence", F.sum((F.col("after_end") & (F.col("i") > 0)).cast("int")).over(order))
+    last = rows.groupBy(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys))).agg(F.max("_sentence").alias("_last"))
+    rows = rows.join(last, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]).withColumn("back", F.col("_last") - F.col("_sentence")).where("back <= 1")
+    rows = rows.withColumn("i", (F.row_number().over(Window.partitionBy(*keys, "back").orderBy("i")) - 1)).drop("_sentence", "_last", *(f"_k{n}" for n in range(len(keys))))
+    who = F.struct("gender", "name", "unnamed", "silent", "still")
+    found = subjects(rows, [*keys, "back"], marks, attribution=False).groupBy(*keys).agg(F.max(F.when(F.col("back") == 0, who)).alias("_now"), F.max(F.when(F.col("back") == 1, who)).alias("_before"))
+    now, before = F.col("_now"), F.col("_before")
+    both = before["gender"] != now["gender"]
+    clear = ~F.coalesce(both & ~before["silent"] & ~before["still"], F.lit(False))
+    name = F.coalesce(now["name"], F.when(before["gender"] == now["gender"], before["name"]))
+    return found.where(now.isNotNull() & clear).select(*keys, now["gender"].alias("gender"), name.alias("name"), now["unnamed"].alias("unnamed"), now["silent"].alias("silent"), now["still"].alias("still"))

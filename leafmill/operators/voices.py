@@ -132,3 +132,34 @@ def encoded_choice(choice: Column) -> Column:
     """V3: a choice as it is stored."""
     names = F.create_map(*[F.lit(x) for name, (engine, _) in CODES.items() for x in (engine, name)])
     return F.when(choice["engine"] == "SYSTEM", F.concat(F.lit("system:"), choice["package"], F.lit(":"), choice["voice"])).otherwise(F.concat(names[choice["engine"]], F.lit(":"), choice["speaker"]))
+
+
+# Voices of a list that are shown, speakers of one engine that are women.
+OFFERED, WOMEN = 24, 5
+
+
+def offered(narrators: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(narrator, voice, gender, place): the voices that characters may have beside each narrator, OFFERED at most.
+
+    They are of the narrator's engine; of a system's voices those of its package that speak the language and are
+    installed. narrators have narrator, engine, package and language; the catalog engine, voice, speaker, description,
+    package, language, not_installed, male and ord. What a gender is told by depends on the engine: the number, the
+    description, or the catalog.
+    """
+    of = lambda c: F.when(F.col("engine") == "SYSTEM", F.col(c)).otherwise("").alias(f"_{c}")
+    group = ["engine", "_package", "_language"]
+    said = F.when(F.contains("description", F.lit("female")), "FEMALE").when(F.contains("description", F.lit("male")), "MALE")
+    by_flag = F.when(F.col("male"), "MALE").when(~F.col("male"), "FEMALE")
+    gender = F.when(F.col("engine") == "SUPERTONIC", F.when(F.col("speaker") < WOMEN, "FEMALE").otherwise("MALE")).when(F.col("engine") == ENGLISH_ONLY, said).otherwise(by_flag)
+    # a list is the same for all narrators of a group, so it is cut before it meets them
+    lists = catalog.where((F.col("engine") != "SYSTEM") | ~F.col("not_installed")).select("engine", of("package"), of("language"), "voice", "ord", gender.alias("gender"))
+    lists = lists.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("ord", "voice"))).where(F.col("place") <= OFFERED)
+    return narrators.select("narrator", "engine", of("package"), of("language")).join(lists, group).select("narrator", "voice", "gender", "place")
+
+
+def engine_default(narrators: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(narrator, heard): the voice that a narrator really has: an engine's default of the language where none is named."""
+    defaults = catalog.where("engine = 'SYSTEM' and is_default").groupBy("package", "language").agg(F.min_by("voice", "ord").alias("_default"))
+    named = F.nullif("voice", F.lit(""))
+    met = narrators.join(defaults, ["package", "language"], "left")
+    return met.select("narrator", F.coalesce(named, F.when(F.col("engine") == "SYSTEM", F.col("_default")), F.col("voice")).alias("heard"))

@@ -467,3 +467,22 @@ def s19_choices(spark, sf):
     key = F.col("s_suppkey")
     json = F.concat(F.lit('{"маша":"f","odd":"x","n'), key, F.lit('":"'), F.when(key % 2 == 0, "m").otherwise("?"), F.lit('"}'))
     return table(spark, sf, "supplier").select("s_suppkey", F.map_keys(stores.choices(json)).alias("names"))
+
+
+_ENGINE = "CASE {k} % 4 WHEN 0 THEN 'SYSTEM' WHEN 1 THEN 'KOKORO' WHEN 2 THEN 'SUPERTONIC' ELSE 'VOSK' END"
+_CATALOG = f"""{_ENGINE.format(k='p_partkey')} AS engine, p_name AS voice, p_size % 9 AS speaker, CASE p_size % 3 WHEN 0 THEN 'a female voice' WHEN 1 THEN 'male' ELSE 'clear' END AS description, p_brand AS package, CASE WHEN p_size % 2 = 0 THEN 'ru' ELSE 'en' END AS language, p_size % 5 = 0 AS not_installed, CASE WHEN p_size % 7 > 0 THEN p_size % 7 > 3 END AS male, p_partkey AS ord, p_size % 11 = 0 AS is_default"""
+_NARRATORS = f"""c_custkey AS narrator, {_ENGINE.format(k='c_custkey')} AS engine, 'Brand#' || (c_custkey % 5 + 1) || (c_nationkey % 5 + 1) AS package, CASE WHEN c_nationkey % 2 = 0 THEN 'ru' ELSE 'en' END AS language, CASE WHEN c_custkey % 3 = 0 THEN 'own' ELSE '' END AS voice"""
+
+
+@query(f"""WITH c AS (SELECT {_CATALOG} FROM part), n AS (SELECT {_NARRATORS} FROM customer)
+    SELECT narrator, voice, gender, place FROM (SELECT narrator, c.voice, CASE c.engine WHEN 'SUPERTONIC' THEN CASE WHEN speaker < 5 THEN 'FEMALE' ELSE 'MALE' END WHEN 'KOKORO' THEN CASE WHEN contains(description, 'female') THEN 'FEMALE' WHEN contains(description, 'male') THEN 'MALE' END ELSE CASE WHEN male THEN 'MALE' WHEN NOT male THEN 'FEMALE' END END AS gender, row_number() OVER (PARTITION BY narrator ORDER BY ord, c.voice) AS place
+    FROM c JOIN n USING (engine) WHERE c.engine <> 'SYSTEM' OR (c.package = n.package AND c.language = n.language AND NOT not_installed)) WHERE place <= 24""")
+def f20_offered_voices(spark, sf):
+    narrators = table(spark, sf, "customer").select(F.expr("struct(" + _NARRATORS + ")").alias("n")).select("n.*")
+    return voices.offered(narrators, table(spark, sf, "part").select(F.expr("struct(" + _CATALOG + ")").alias("c")).select("c.*"))
+
+
+@query(f"""WITH d AS (SELECT package, language, arg_min(voice, ord) AS heard FROM (SELECT {_CATALOG} FROM part) WHERE engine = 'SYSTEM' AND is_default GROUP BY 1, 2) SELECT narrator, coalesce(nullif(voice, ''), CASE WHEN engine = 'SYSTEM' THEN heard END, voice) AS heard FROM (SELECT {_NARRATORS} FROM customer) LEFT JOIN d USING (package, language)""")
+def f20_heard_narrators(spark, sf):
+    narrators = table(spark, sf, "customer").select(F.expr("struct(" + _NARRATORS + ")").alias("n")).select("n.*")
+    return voices.engine_default(narrators, table(spark, sf, "part").select(F.expr("struct(" + _CATALOG + ")").alias("c")).select("c.*"))

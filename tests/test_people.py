@@ -250,3 +250,9 @@ def test_vocatives(spark):
 def test_self_genders(spark):
     texts = ["Я уже пришла домой", "я, пришла", "Он сказал, что я вчера не ответил и я пришла", "я и она тут пришла", "пришла я", ""]
     assert {tuple(r) for r in told(spark, texts, clues.self_genders)} == {(0, "FEMALE")}
+
+
+def test_beats(spark):
+    texts = ["Маша вошла. Она села", "Он встал. Она села", "Он не встал. Она села", "Она села", "Дождь. Громов молчал", "Она села. Дождь шёл", "", None]
+    got = {r["n"]: (r["gender"], r["name"]) for r in told(spark, texts, clues.beats)}
+    assert got == {0: ("FEMALE", "маша"), 2: ("FEMALE", None), 3: ("FEMALE", None), 4: (None, "громов")}
