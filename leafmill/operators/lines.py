@@ -22,12 +22,13 @@ def bands(runs: DataFrame) -> DataFrame:
 
 
 def swept(rows: DataFrame) -> DataFrame:
-    """rows of bands with reach, how far the runs left of each come, gap, the room up to it, and em, the larger of both sizes.
+    """rows of bands with at, their place in the band, reach, how far the runs left of each come, gap, the room up to it, and em, the larger of both sizes.
 
-    The sweep goes from left to right; a run that another one covers is no end of it.
+    The sweep goes from left to right; a run that another one covers is no end of it. Runs of one place and number go by
+    their text, the greater first; later steps keep this order.
     """
-    w = Window.partitionBy("doc", "page", "band").orderBy("left", "right", "run")
-    rows = rows.withColumn("reach", F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    w = Window.partitionBy("doc", "page", "band").orderBy("left", "right", "run", F.desc("text"), "baseline", "size")
+    rows = rows.withColumn("at", F.row_number().over(w)).withColumn("reach", F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     return rows.withColumn("gap", F.col("left") - F.col("reach")).withColumn("em", F.greatest("size", F.lag("size").over(w)))
 
 
@@ -56,9 +57,9 @@ def built(runs: DataFrame) -> DataFrame:
     wide = F.coalesce(F.col("gap") > RUN_GAP * F.col("em"), F.lit(False))
     rows = rows.withColumn("_cell", F.when(wide, middle)).join(stripes, ["doc", "page", "_cell"], "left")
     ends = wide & ((F.col("gap") > GUTTER_GAP * F.col("em")) | F.col("_full").isNull())
-    w = Window.partitionBy("doc", "page", "band").orderBy("left", "right", "run").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("doc", "page", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("part", F.sum(ends.cast("int")).over(w).cast("int"))
     spaced = F.when(~ends & (F.col("gap") > SPACE_GAP * F.col("em")), F.concat(F.lit(" "), F.trim("text"))).otherwise(F.trim("text"))
-    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "run", "_text"))), lambda x: x["_text"]), ""))
+    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_text"))), lambda x: x["_text"]), ""))
     return rows.withColumn("_text", spaced).groupBy("doc", "page", "band", "part").agg(
         F.min("left").alias("left"), F.max("right").alias("right"), F.max("baseline").alias("baseline"), F.max("size").alias("size"), text.alias("text"))

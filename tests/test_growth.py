@@ -119,6 +119,17 @@ def page_lines(texts, per_page=3):
     return [(*r[:3], r[3].rstrip("~"), *r[4:]) for r in out]
 
 
+def test_tied_runs_keep_one_order(spark):
+    """Runs of one place and number (two copies of a line) have one order in all steps, whatever order they come in."""
+    rows = []
+    for page in range(60):
+        tied = [(1, page, 12, t, 289.0, 292.0, 49.0, 10.0) for t in ("R2", "A2")]
+        rows += [(1, page, 11, "A7", 165.0, 168.0, 49.0, 10.0), *(tied if page % 2 else tied[::-1])]
+    df = spark.createDataFrame(rows, RUN).repartition(7)
+    got = lines.built(df).orderBy("page", "part").collect()
+    assert [(r["page"], r["part"], r["text"]) for r in got] == [x for page in range(60) for x in ((page, 0, "A7"), (page, 1, "R2A2"))]
+
+
 def test_paragraphs_cross_pages(spark):
     texts = ["#Title", "A paragraph that goes", "on to the next page with a chang-", "ing word and a one-", "third and a shop-", "keeper, at www.ex.org/", "path/a which goes on and on", "over a whole range of pages,", "never ending at all, until", "it does.~", "Then a new one"]
     words = spark.createDataFrame([(w,) for w in ("changing", "one", "third", "shopkeeper", "keeper", "shop")], "word string")
