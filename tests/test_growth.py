@@ -80,6 +80,30 @@ def test_outline(spark):
     assert outline.outline_rows(tree, most=2).groupBy("doc").count().agg(F.max("count")).head()[0] == 2
 
 
+def _final_plan(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    return plan.toString()
+
+
+def test_outline_goes_down_by_joins(spark):
+    """No recursion that the driver holds: chapter_starts read an outline that is a table, and need no setting of the session."""
+    spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    tree = spark.createDataFrame([(1, k, k // 3 if k >= 3 else None, k, f"T{k}", k, 1.0) for k in range(1, 60)], "doc int, node int, parent int, ord int, title string, page int, top double")
+    rows = outline.outline_rows(tree)
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") != "-1"
+    plan = _final_plan(rows)
+    assert "UnionLoop" not in plan and "Join" not in plan
+    assert [r["node"] for r in rows.where("level = 1").orderBy("seq").collect()] == [1, 2]
+
+
+def test_needed_nodes_pass_by_the_driver(spark):
+    nodes = spark.createDataFrame([(1, k, [f"t{k + 1}"], [f"t{k}"]) for k in range(20)], "graph int, node int, inputs array<string>, outputs array<string>")
+    edges, _ = graph.producers(nodes)
+    plan = _final_plan(edges)
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_chapter_starts(spark):
     """A long part gives way to the chapters under it, a short one does not; the last one ends with the book."""
     rows = [(1, "Part", 0), (2, "One", 1), (3, "deep", 2), (2, "Two", 30), (1, "Short", 60), (2, "in short", 61), (1, "Last", 70), (2, "in last", 75)]
