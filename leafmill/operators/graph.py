@@ -15,7 +15,7 @@ def producers(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     made = nodes.select("graph", "node", F.explode("outputs").alias("name")).groupBy("graph", "name").agg(F.max("node").alias("node"))
     asks = nodes.select("graph", "node", F.explode("inputs").alias("name")).where("name != ''")
-    edges = asks.join(made.withColumnRenamed("node", "needs"), ["graph", "name"]).select("graph", "node", "needs").distinct()
+    edges = asks.join(made.withColumnRenamed("node", "needs").hint("merge"), ["graph", "name"]).select("graph", "node", "needs").distinct()
     return edges, made
 
 
@@ -24,7 +24,7 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: list[int] | None = No
 
     Only what the last round found is joined with the edges, and what was known already goes by an anti-join; so a node
     is followed once, cycles end, and there are as many rounds as the longest of the shortest ways. `rounds` takes how
-    many nodes each round found.
+    many nodes each round found. Joins are merges of what is dealt by node: nothing goes through the driver.
     """
     edges = settled(edges.where("node is not null and needs is not null").select("graph", "node", "needs").distinct())
     new = settled(starts.where("node is not null").select("graph", "node").distinct())
@@ -32,7 +32,7 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: list[int] | None = No
     while (count := new.count()) > 0:
         if rounds is not None:
             rounds.append(count)
-        next_ = new.join(edges, ["graph", "node"]).select("graph", F.col("needs").alias("node")).distinct()
-        new = settled(next_.join(known, ["graph", "node"], "left_anti"))
+        next_ = new.join(edges.hint("merge"), ["graph", "node"]).select("graph", F.col("needs").alias("node")).distinct()
+        new = settled(next_.join(known.hint("merge"), ["graph", "node"], "left_anti"))
         known = settled(known.unionByName(new))
     return known
