@@ -173,6 +173,17 @@ def test_ranges_do_not_matter(spark):
     assert one == fifty and 20 < len(one) < 150
 
 
+def test_paragraphs_shuffle_texts_twice(spark):
+    """Texts are dealt by range and by paragraph; what else is dealt has one row a range. Lines of no book are a book."""
+    rows = [(None if k % 2 else 1, *r[1:]) for k in (0, 1) for r in page_lines(["Some words", "go on", "and on a chang-", "ing page", "#Head", "New text", "that ends.~"])]
+    words = spark.createDataFrame([("changing",)], "word string")
+    found = flow.paragraphs(spark.createDataFrame(rows, LINE), words, 1)
+    want = [(0, "Some words go on and on a changing page"), (4, "Head"), (5, "New text that ends.")]
+    assert sorted((r["doc"] or 0, r["n"], r["text"]) for r in found.collect()) == [(d, *w) for d in (0, 1) for w in want]
+    dealt = _final_plan(found).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+    assert dealt <= 7
+
+
 def test_hosts(spark):
     names = ["Example.COM", "автор.today", "bücher.example", "例え.テスト", "a-ü-b.c", "xn--abc.de", "пример.рф", "😀.com", "ü" * 20 + ".com", "日本語日本語日本語abc.jp", "a%41.com", "b%zz.com", "", "ü", "ab..ü.c", "αβγδε.gr"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in [*names, None]], "h string").select(hosts.ascii_host(F.col("h"))).collect()]
