@@ -303,3 +303,12 @@ def test_look_ahead_counts_places(spark):
     assert {tuple(r)[1:] for r in shelf.look_ahead(many).where("index in (0, 80)").collect()} == {(0, 24), (80, 20)}
     slow = spark.range(9).selectExpr("1 as book", "id as index", "420 as length")
     assert {r["ahead"] for r in shelf.look_ahead(slow).where("index < 7").collect()} == {2}
+
+
+def test_words_of_documents_are_not_dealt(spark):
+    """A document's words are made single in its own row, so that only one row a word and task is dealt."""
+    from leafmill.plans import growth
+
+    variants = growth._variants(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in _final_plan(variants)
+    assert variants.count() == variants.distinct().count()
