@@ -80,6 +80,25 @@ def test_outline(spark):
     assert outline.outline_rows(tree, most=2).groupBy("doc").count().agg(F.max("count")).head()[0] == 2
 
 
+def test_whole_outline_has_no_bounds(spark):
+    """A chain of 70 levels, 6,000 entries of one book, a cycle, a missing parent, ords of several lengths and signs."""
+    rows = [(1, k, k - 1 if k else None, 1, f"d{k}", k, None) for k in range(70)] + [(2, k, k // 3 or None, k * 7 % 23 - 11, f"t{k}", k % 5 - 1, 1.0) for k in range(1, 6001)]
+    rows += [(3, 1, 2, 1, "x", 0, 0.0), (3, 2, 1, 1, "y", 0, 0.0), (3, 3, 1, 1, "under", 0, 0.0), (3, 4, 99, 1, "lost", 0, 0.0), (3, 5, None, 1, "root", 0, 0.0)]
+    tree = spark.createDataFrame(rows, "doc int, node long, parent long, ord int, title string, page int, top double")
+    under = {}
+    for doc, node, parent, ord_, title, page, _ in rows:
+        under.setdefault((doc, parent), []).append((ord_, node, title, page))
+    want = []
+    for doc in (1, 2, 3):
+        todo, seq = [(1, e) for e in sorted(under[doc, None], reverse=True)], 0
+        while todo:
+            level, (_, node, title, page) = todo.pop()
+            if page >= 0:
+                want.append((doc, seq := seq + 1, level, title))
+            todo += [(level + 1, e) for e in sorted(under.get((doc, node), ()), reverse=True)]
+    assert [(r["doc"], r["seq"], r["level"], r["title"]) for r in outline.whole_outline(tree).orderBy("doc", "seq").collect()] == want
+
+
 def _final_plan(df):
     plan = df._jdf.queryExecution().executedPlan()
     df.collect()
