@@ -176,6 +176,34 @@ def test_members_and_genders(spark):
     assert got == {"маше": "FEMALE", "цзян": "FEMALE", "галю": "FEMALE", "марина сергеевна": "FEMALE"}
 
 
+def test_pieces_tell_what_token_rows_tell(spark, monkeypatch):
+    """Random texts in many pieces: names, votes and tallies are those of the windows over all words; no word is a row of a window."""
+    rnd = random.Random(8)
+    words = "Маша маша Ивана Лёва лёва Он он Она она госпожа Купец пошла Пошёл сказала Нет нет Цзян Яньли d'Art О’Нил ǅин из-за Ёж x² Ⅷв 𝟘б 𐒰а 𐓘а Σας".split()
+    gaps = [" ", " ", " ", " ", ", ", ". ", "! — ", " «", "-", "--", "’ ", "\n", "… ", " 7 ", "½", "(", ": "]
+    texts = [(k % 90 if k else None, "".join(rnd.choice(words) + rnd.choice(gaps) for _ in range(rnd.choice([0, 1, 5, 60])))) for k in range(120)] + [(500, None), (501, ""), (502, "… 12 "), (503, "— Маша")]
+    docs = spark.createDataFrame([(k, f"{n}", t) for n, (k, t) in enumerate(texts)], "doc int, part string, text string").repartition(3)
+    never, persons, pronouns, endings = {"нет", "он", "она"}, {"госпожа": "FEMALE", "купец": "MALE"}, {"он": "MALE", "она": "FEMALE"}, {"ла": (4, "FEMALE"), "зала": (9, "MALE"), "шел": (4, "MALE")}
+    tokens = cues.token_rows(docs, "doc", "part")
+    pairs = lambda d: spark.createDataFrame(list(d.items()), "key string, gender string")
+    told = spark.createDataFrame([(e, n, g) for e, (n, g) in endings.items()], "ending string, least int, value string")
+    verbs = cues.by_suffix(tokens.select("key"), told, [2, 3, 4]).withColumnRenamed("value", "gender")
+    lexicon = cast.lexicon(cast.written(tokens, spark.createDataFrame([(k,) for k in never], "key string")), verbs, pairs(persons), pairs(pronouns))
+    names = cast.names(tokens, ["doc", "part"], lexicon)
+    monkeypatch.setattr(cast, "PIECE", 300)
+    tells = cast.Tells(frozenset(never), persons, pronouns, endings)
+    parts = cast.pieces(docs, ["doc", "part"], tells).localCheckpoint()
+    assert parts.count() > 10
+    got = cast.names_of(parts, ["doc", "part"], tells)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want = rows(names)
+    assert len(want) > 200 and {w for *_, w in want} == {None, 1, 2} and max(r[5] for r in want) == 4
+    assert rows(got) == want
+    assert rows(cast.tallies_of(parts, ["doc", "part"], tells).select("key", "size", "n", "shown", "voted", "female", "male")) == rows(cast.tallies(names, ["doc", "part"]))
+    assert cast.names_of(cast.pieces(docs.where("doc > 499 and text is null"), ["doc", "part"], tells).localCheckpoint(), ["doc", "part"], tells).count() == 0
+
+
 def test_longest_suffix_wins(spark):
     endings = spark.createDataFrame([("ла", 3, "F"), ("л", 3, "M"), ("лась", 6, "F"), ("лся", 5, "M"), ("а", 9, "never")], "ending string, least int, value string")
     words = spark.createDataFrame([(w,) for w in "сказала сказал улыбнулась улыбнулся стола лась ла дом сказала".split()], "key string")
