@@ -176,6 +176,19 @@ def test_members_and_genders(spark):
     assert got == {"маше": "FEMALE", "цзян": "FEMALE", "галю": "FEMALE", "марина сергеевна": "FEMALE"}
 
 
+def test_genders_look_a_form_up_once(spark):
+    """Each rank of the order; the forms of names meet the told ones in one join, not one for each thing that they may tell."""
+    pairs = lambda rows: spark.createDataFrame(rows, "key string, gender string")
+    counts = spark.createDataFrame([("анна", 9), ("анне", 2), ("ивана", 1), ("иван", 1), ("пётр юрьев", 3), ("лев толстой", 1)], "key string, n long")
+    told = pairs([("анна", "FEMALE"), ("анне", "MALE"), ("ивана", "FEMALE"), ("иван", "MALE"), ("юрьев", "MALE"), ("пётр", "FEMALE"), ("ольга", "FEMALE"), ("нина", None)])
+    by_form = pairs([("галя", "FEMALE"), ("сергеевна", "FEMALE"), ("иван", "FEMALE"), ("нина", "FEMALE"), ("а баба", "MALE")])
+    names = ["анне", "ивана", "пётр юрьев", "ольге", "вера сергеевна", "вера сергеевне", "галю", "нина", "никто", "он", "а б", "а бабе"]
+    rows = cast.genders(spark.createDataFrame([(k,) for k in names], "key string"), counts, told, by_form)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    want = {"анне": "FEMALE", "ивана": "FEMALE", "пётр юрьев": "MALE", "ольге": "FEMALE", "вера сергеевна": "FEMALE", "вера сергеевне": "FEMALE", "галю": "FEMALE", "нина": "FEMALE"}
+    assert {r["key"]: r["gender"] for r in rows.collect()} == want
+
+
 def test_pieces_tell_what_token_rows_tell(spark, monkeypatch):
     """Random texts in many pieces: names, votes and tallies are those of the windows over all words; no word is a row of a window."""
     rnd = random.Random(8)
